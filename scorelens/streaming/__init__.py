@@ -1,0 +1 @@
+"""scorelens.streaming."""
