@@ -113,3 +113,223 @@ FROM folds GROUP BY fold, label"""
 ORACLES["metrics_fold"] = _metrics(SCORED, ["model", "fold"])
 
 ORACLES["metrics_lineitem"] = _metrics(SCORED_LINEITEM, ["model"])
+
+# ------------------------------------------------------------------ cleaning
+
+VALID = r"""(regexp_matches(text, '\S')
+            AND length(text) - length(replace(text, '(', '')) = length(text) - length(replace(text, ')', ''))
+            AND length(text) = n_chars)"""
+
+ORACLES["validity_split"] = f"""
+SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce({VALID}, false) AS is_valid FROM documents"""
+
+ORACLES["validity_counts"] = f"""
+SELECT count(*) AS n_total, CAST(count_if(coalesce({VALID}, false)) AS BIGINT) AS n_valid,
+       CAST(count_if(NOT coalesce({VALID}, false)) AS BIGINT) AS n_dropped
+FROM documents"""
+
+ORACLES["sample_id"] = """
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id,
+       coalesce(CASE WHEN l.doc_id IS NOT NULL THEN d.source END, 'sample_' || CAST(d.doc_id AS VARCHAR))
+         AS sample_id
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLES["split_xy"] = """
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(l.toxic AS BIGINT) AS label, d.lang, d.source, d.n_chars
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL"""
+
+ORACLES["label_encode"] = """
+SELECT event_id, event_type, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS code
+FROM events"""
+
+ORACLES["label_distribution"] = """
+SELECT CAST(toxic AS BIGINT) AS label, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY toxic"""
+
+ORACLES["class_weights"] = """
+WITH c AS (SELECT CAST(toxic AS BIGINT) AS label, count(*) AS n_c FROM labels
+           WHERE toxic IS NOT NULL GROUP BY toxic)
+SELECT label, n_c,
+       round(CAST((SELECT sum(n_c) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n_c), 6) AS weight
+FROM c"""
+
+# ------------------------------------------------------------------ tokens and fingerprints
+
+def toks(source: str = "documents") -> str:
+    return rf"""
+toks AS (
+  SELECT CAST(s.doc_id AS BIGINT) AS doc_id, CAST(u.pos - 1 AS BIGINT) AS pos,
+         u.t AS tok_raw, lower(u.t) AS tok
+  FROM {source} s, unnest(regexp_split_to_array(s.text, '[ \n]+')) WITH ORDINALITY AS u(t, pos)
+  WHERE u.t <> ''
+)"""
+
+
+EDGES = """
+edges AS (
+  SELECT * FROM (
+    SELECT doc_id, pos AS src_pos, lead(pos) OVER w AS dst_pos, tok AS src_tok, lead(tok) OVER w AS dst_tok,
+           length(tok_raw) AS src_len, lead(length(tok_raw)) OVER w AS dst_len
+    FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) e
+  WHERE dst_pos IS NOT NULL
+)"""
+
+ORACLES["token_graph"] = f"""WITH {toks()}, {EDGES}
+SELECT doc_id, src_pos, dst_pos, src_tok, dst_tok FROM edges"""
+
+
+def envs(radius: int, fragments: bool = False) -> str:
+    """Identifiers h0..hR per token, then one row per (token, radius)."""
+    parts = ["h0 AS (SELECT doc_id, pos, tok, substr(md5(tok), 1, 8) AS h0 FROM toks)"]
+    for r in range(1, radius + 1):
+        p = f"h{r - 1}"
+        parts.append(
+            f"h{r} AS (SELECT *, substr(md5(coalesce(lag({p}) OVER w, '') || ' ' || {p} || ' ' || "
+            f"coalesce(lead({p}) OVER w, '')), 1, 8) AS h{r} FROM {p} "
+            f"WINDOW w AS (PARTITION BY doc_id ORDER BY pos))")
+    last = f"h{radius}"
+    if fragments:
+        frs = []
+        for r in range(radius + 1):
+            items = [f"lag(tok, {k}) OVER w" for k in range(r, 0, -1)] + ["tok"] + \
+                    [f"lead(tok, {k}) OVER w" for k in range(1, r + 1)]
+            frs.append(f"concat_ws(' ', {', '.join(items)}) AS f{r}")
+        parts.append(f"fr AS (SELECT *, {', '.join(frs)} FROM {last} "
+                     f"WINDOW w AS (PARTITION BY doc_id ORDER BY pos))")
+        last = "fr"
+    sel = " UNION ALL ".join(
+        f"SELECT doc_id, pos, {r} AS radius, h{r} AS ident"
+        + (f", f{r} AS fragment" if fragments else "") + f" FROM {last}"
+        for r in range(radius + 1))
+    parts.append(f"envs0 AS ({sel})")
+    parts.append("envs AS (SELECT *, CAST(('0x' || ident)::BIGINT % 1024 AS BIGINT) AS bit FROM envs0)")
+    return ",\n".join(parts)
+
+
+ORACLES["fingerprint_r1"] = f"""WITH {toks()}, {envs(1)}
+SELECT DISTINCT doc_id, bit FROM envs"""
+
+ORACLES["fingerprint_r3"] = f"""WITH {toks()}, {envs(3)}
+SELECT DISTINCT doc_id, bit FROM envs"""
+
+LABELLED = """
+labelled AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.toxic AS label
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL
+)"""
+
+FP_TABLE = f"""{LABELLED}, {toks('labelled')}, {envs(3)},
+bits AS (SELECT DISTINCT doc_id, bit FROM envs),
+fpt AS (
+  SELECT CAST(l.doc_id AS BIGINT) AS doc_id, l.source AS name, CAST(l.label AS BIGINT) AS label,
+         count(b.bit) AS n_on, coalesce(string_agg(CAST(b.bit AS VARCHAR), ',' ORDER BY b.bit), '') AS bits,
+         coalesce(sum(b.bit), 0) AS bit_sum
+  FROM labelled l LEFT JOIN bits b ON l.doc_id = b.doc_id
+  GROUP BY l.doc_id, l.source, l.label
+)"""
+
+ORACLES["fingerprint_table"] = f"""WITH {FP_TABLE}
+SELECT doc_id, name, label, n_on, bits FROM fpt"""
+
+ORACLES["fingerprint_width"] = f"""WITH {FP_TABLE}
+SELECT doc_id, CAST(1024 AS BIGINT) AS width, n_on, CAST(bit_sum AS BIGINT) AS checksum FROM fpt"""
+
+# ------------------------------------------------------------------ descriptors
+
+WEIGHTS = """
+weights AS (
+  SELECT * FROM (VALUES
+    (1, -0.5, 1.0, 12.0, 3.5), (2, -0.25, 2.5, 9.0, 5.0), (3, 0.125, 4.0, 6.0, 6.5),
+    (4, 0.25, 5.5, 3.0, 8.0), (5, 0.5, 7.0, 1.5, 9.5), (6, 0.75, 8.5, 0.5, 11.0),
+    (7, 0.875, 10.0, 0.0, 12.5), (8, 1.25, 12.0, 0.0, 15.0)
+  ) t(type, log_p, mol_mr, tpsa, labute_asa)
+)"""
+
+
+def descriptor_ctes(source: str) -> str:
+    """CTE chain ending in ``desc(doc_id, <15 descriptors>)`` for the docs in ``source``."""
+    return f"""{toks(source)}, {EDGES}, {WEIGHTS},
+nodes AS (SELECT *, length(tok_raw) AS len, least(length(tok_raw), 8) AS type FROM toks),
+base AS (
+  SELECT doc_id, count(*) AS heavy_atoms, CAST(sum(len) AS DOUBLE) AS mol_wt,
+         CAST(sum(strlen(tok_raw)) AS DOUBLE) AS exact_mol_wt,
+         count_if(regexp_matches(tok_raw, '[0-9]')) AS hbd,
+         count_if(substr(tok_raw, 1, 1) <> lower(substr(tok_raw, 1, 1))) AS hba,
+         count_if(regexp_matches(tok, '^[aeiou]')) AS vowel,
+         CAST(sum(w.log_p) AS DOUBLE) AS log_p, CAST(sum(w.mol_mr) AS DOUBLE) AS mol_mr,
+         CAST(sum(w.tpsa) AS DOUBLE) AS tpsa, CAST(sum(w.labute_asa) AS DOUBLE) AS labute_asa
+  FROM nodes n JOIN weights w ON n.type = w.type GROUP BY doc_id
+),
+rot AS (SELECT doc_id, count_if(src_len > 3 AND dst_len > 3) AS rotatable_bonds FROM edges GROUP BY doc_id),
+tc AS (SELECT doc_id, tok, count(*) AS c FROM nodes GROUP BY doc_id, tok),
+ent AS (SELECT doc_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS class_entropy FROM tc GROUP BY doc_id),
+va AS (SELECT doc_id, count(*) AS v FROM tc GROUP BY doc_id),
+ea AS (SELECT doc_id, count(*) AS e FROM (
+         SELECT DISTINCT doc_id, least(src_tok, dst_tok), greatest(src_tok, dst_tok)
+         FROM edges WHERE src_tok <> dst_tok) x GROUP BY doc_id),
+sv AS (SELECT DISTINCT doc_id, tok AS x FROM nodes WHERE len <= 4),
+sp AS (SELECT DISTINCT doc_id, least(src_tok, dst_tok) AS u, greatest(src_tok, dst_tok) AS v
+       FROM edges WHERE src_len <= 4 AND dst_len <= 4 AND src_tok <> dst_tok),
+arcs AS (SELECT doc_id, u AS a, v AS b FROM sp UNION ALL SELECT doc_id, v, u FROM sp),
+reach(doc_id, x, root) AS (
+  SELECT doc_id, x, x FROM sv
+  UNION
+  SELECT r.doc_id, a.b, r.root FROM reach r JOIN arcs a ON r.doc_id = a.doc_id AND r.x = a.a
+),
+comp AS (SELECT doc_id, x, min(root) AS root FROM reach GROUP BY doc_id, x),
+sr AS (
+  SELECT c.doc_id, c.nc - c.nv + coalesce(p.ne, 0) AS aromatic_rings
+  FROM (SELECT doc_id, count(DISTINCT root) AS nc, count(*) AS nv FROM comp GROUP BY doc_id) c
+  LEFT JOIN (SELECT doc_id, count(*) AS ne FROM sp GROUP BY doc_id) p ON c.doc_id = p.doc_id
+),
+desc0 AS (
+  SELECT b.doc_id, b.mol_wt, b.exact_mol_wt, b.log_p, b.tpsa, b.hbd, b.hba,
+         coalesce(r.rotatable_bonds, 0) AS rotatable_bonds,
+         coalesce(ea.e, 0) - va.v + 1 AS ring_count,
+         coalesce(sr.aromatic_rings, 0) AS aromatic_rings,
+         coalesce(ea.e, 0) - va.v + 1 - coalesce(sr.aromatic_rings, 0) AS aliphatic_rings,
+         b.heavy_atoms, CASE WHEN b.heavy_atoms > 0 THEN CAST(b.vowel AS DOUBLE) / b.heavy_atoms ELSE 0.0 END
+           AS fraction_csp3,
+         b.mol_mr, b.labute_asa, e.class_entropy
+  FROM base b LEFT JOIN rot r ON b.doc_id = r.doc_id
+  LEFT JOIN ent e ON b.doc_id = e.doc_id
+  LEFT JOIN va ON b.doc_id = va.doc_id
+  LEFT JOIN ea ON b.doc_id = ea.doc_id
+  LEFT JOIN sr ON b.doc_id = sr.doc_id
+)"""
+
+
+DESC_INT = ("hbd", "hba", "rotatable_bonds", "ring_count", "aromatic_rings", "aliphatic_rings",
+            "heavy_atoms")
+DESC_ALL = ("mol_wt", "exact_mol_wt", "log_p", "tpsa", "hbd", "hba", "rotatable_bonds",
+            "ring_count", "aromatic_rings", "aliphatic_rings", "heavy_atoms", "fraction_csp3",
+            "mol_mr", "labute_asa", "class_entropy")
+
+
+def desc_select(alias: str = "x", fill: bool = True) -> str:
+    out = []
+    for c in DESC_ALL:
+        v = f"coalesce({alias}.{c}, 0)" if fill else f"{alias}.{c}"
+        out.append(f"CAST({v} AS BIGINT) AS {c}" if c in DESC_INT else f"round(CAST({v} AS DOUBLE), 6) AS {c}")
+    return ", ".join(out)
+
+
+ORACLES["descriptors"] = f"""WITH RECURSIVE {descriptor_ctes('documents')}
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id, {desc_select()}
+FROM documents d LEFT JOIN desc0 x ON d.doc_id = x.doc_id"""
+
+ORACLES["fill_zero"] = f"""WITH RECURSIVE valid_docs AS (SELECT * FROM documents WHERE coalesce({VALID}, false)),
+{descriptor_ctes('valid_docs')}
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(l.toxic AS BIGINT) AS label, {desc_select()}
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN desc0 x ON d.doc_id = x.doc_id"""
+
+ORACLES["combined_features"] = f"""WITH RECURSIVE {FP_TABLE}, {descriptor_ctes('labelled').replace('toks AS (', 'toks2 AS (', 1).replace('FROM toks', 'FROM toks2')}
+SELECT f.doc_id, f.label, f.n_on, f.bits AS bits_csv, {desc_select()}
+FROM fpt f LEFT JOIN desc0 x ON f.doc_id = x.doc_id"""
+
+ORACLES["alignment_check"] = """
+SELECT count(d.doc_id) AS n_left, count(l.doc_id) AS n_right,
+       CAST(count_if(d.doc_id IS NULL OR l.doc_id IS NULL) AS BIGINT) AS n_mismatch
+FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLES["csv_roundtrip"] = "SELECT * FROM customer"
+ORACLES["tsv_roundtrip"] = "SELECT * FROM nation"

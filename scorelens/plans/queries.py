@@ -57,3 +57,196 @@ def q_metrics_fold(spark, sf_dir):
 def q_metrics_lineitem(spark, sf_dir):
     pred = inputs.scored_lineitems(spark, sf_dir)
     return _metric_select(M.fold_metrics(pred, ["model"]), ["model"])
+
+
+# ------------------------------------------------------- cleaning
+
+from scorelens.operators import clean as C  # noqa: E402
+from scorelens.sources.tables import table  # noqa: E402
+
+
+@register("validity_split")
+def q_validity_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", C.text_is_valid("text", "n_chars").alias("is_valid"))
+
+
+@register("validity_counts")
+def q_validity_counts(spark, sf_dir):
+    docs = C.with_validity(table(spark, sf_dir, "documents"), C.text_is_valid("text", "n_chars"))
+    return C.validity_counts(docs)
+
+
+@register("sample_id")
+def q_sample_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("_labelled"))
+    named = docs.join(lab, "doc_id", "left").withColumn(
+        "name", F.when(F.col("_labelled"), F.col("source")))
+    return named.select("doc_id", C.sample_id("name", "doc_id").alias("sample_id"))
+
+
+@register("split_xy")
+def q_split_xy(spark, sf_dir):
+    df, _ = C.split_xy(inputs.labelled_documents(spark, sf_dir), "label", "doc_id", ("text",))
+    return df.withColumn("label", F.col("label").cast("bigint"))
+
+
+@register("label_encode")
+def q_label_encode(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
+    model = C.fit_label_encoder(ev, "event_type", "code")
+    return model.transform(ev).withColumn("code", F.col("code").cast("bigint"))
+
+
+@register("label_distribution")
+def q_label_distribution(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select(F.col("toxic").cast("bigint").alias("label"))
+    return C.label_distribution(lab.filter(F.col("label").isNotNull()), "label")
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select(F.col("toxic").cast("bigint").alias("label"))
+    w = C.class_weights(lab.filter(F.col("label").isNotNull()), "label")
+    return w.select("label", "n_c", r6("weight", "weight"))
+
+
+# ------------------------------------------------------------ text graph + fingerprints
+
+from scorelens.operators import descriptors as D  # noqa: E402
+from scorelens.operators import fingerprint as FP  # noqa: E402
+from scorelens.operators.tokens import token_edges, token_nodes  # noqa: E402
+
+
+def _nodes(spark, sf_dir, docs=None):
+    docs = docs if docs is not None else table(spark, sf_dir, "documents")
+    return token_nodes(docs.select("doc_id", "text"))
+
+
+@register("token_graph")
+def q_token_graph(spark, sf_dir):
+    return token_edges(_nodes(spark, sf_dir))
+
+
+@register("fingerprint_r1")
+def q_fingerprint_r1(spark, sf_dir):
+    return FP.fingerprint_bits(FP.environments(_nodes(spark, sf_dir), radius=1))
+
+
+@register("fingerprint_r3")
+def q_fingerprint_r3(spark, sf_dir):
+    return FP.fingerprint_bits(FP.environments(_nodes(spark, sf_dir), radius=3))
+
+
+def labelled_fingerprints(spark, sf_dir):
+    """F3 on the labelled documents: (doc_id, name, label, bits ARRAY<BIGINT>)."""
+    lab = inputs.labelled_documents(spark, sf_dir)
+    ents = lab.select("doc_id", F.col("source").alias("name"), F.col("label").cast("bigint"))
+    bits = FP.fingerprint_bits(FP.environments(_nodes(spark, sf_dir, lab), radius=FP.RADIUS))
+    return FP.fingerprint_table(ents, bits)
+
+
+@register("fingerprint_table")
+def q_fingerprint_table(spark, sf_dir):
+    ft = labelled_fingerprints(spark, sf_dir)
+    return ft.select("doc_id", "name", "label", F.size("bits").cast("bigint").alias("n_on"),
+                     F.array_join("bits", ",").alias("bits"))
+
+
+@register("fingerprint_width")
+def q_fingerprint_width(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    vec = FP.bits_to_vector(labelled_fingerprints(spark, sf_dir), "bits", "ecfp")
+    dense = vec.select("doc_id", vector_to_array("ecfp").alias("x"))
+    return dense.select(
+        "doc_id",
+        F.size("x").cast("bigint").alias("width"),
+        F.aggregate("x", F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("n_on"),
+        F.aggregate(F.transform("x", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+        .cast("bigint").alias("checksum"),
+    )
+
+
+# ------------------------------------------------------------------ descriptors
+
+INT_DESCRIPTORS = ("hbd", "hba", "rotatable_bonds", "ring_count", "aromatic_rings",
+                   "aliphatic_rings", "heavy_atoms")
+
+
+def _desc_select(df, keys):
+    return df.select(*keys, *[
+        F.col(c).cast("bigint").alias(c) if c in INT_DESCRIPTORS else r6(c, c)
+        for c in D.DESCRIPTOR_COLUMNS])
+
+
+def document_descriptors(spark, sf_dir, docs=None):
+    docs = docs if docs is not None else table(spark, sf_dir, "documents")
+    return D.descriptor_table(docs.select("doc_id"), _nodes(spark, sf_dir, docs),
+                              D.node_type_weights(spark))
+
+
+@register("descriptors")
+def q_descriptors(spark, sf_dir):
+    return _desc_select(document_descriptors(spark, sf_dir), ["doc_id"])
+
+
+@register("fill_zero")
+def q_fill_zero(spark, sf_dir):
+    """Descriptors come only from valid documents; every document gets a row,
+    invalid ones all-zero; the (possibly null) label is left alone."""
+    docs = table(spark, sf_dir, "documents")
+    valid = docs.filter(C.text_is_valid("text", "n_chars"))
+    feats = document_descriptors(spark, sf_dir, valid)
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("bigint").alias("label"))
+    ents = docs.select("doc_id").join(lab, "doc_id", "left")
+    filled = D.fill_zero(ents.join(feats, "doc_id", "left"), D.DESCRIPTOR_COLUMNS)
+    return _desc_select(filled, ["doc_id", "label"])
+
+
+# -------------------------------------------------------------------- joins
+
+@register("combined_features")
+def q_combined_features(spark, sf_dir):
+    ft = labelled_fingerprints(spark, sf_dir)
+    lab = inputs.labelled_documents(spark, sf_dir)
+    desc = document_descriptors(spark, sf_dir, lab)
+    both = ft.join(desc, "doc_id", "inner")
+    return _desc_select(both.select("*", F.size("bits").cast("bigint").alias("n_on"),
+                                    F.array_join("bits", ",").alias("bits_csv")),
+                        ["doc_id", "label", "n_on", "bits_csv"])
+
+
+@register("alignment_check")
+def q_alignment_check(spark, sf_dir):
+    left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("l_id"))
+    right = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("r_id"))
+    j = left.join(right, F.col("l_id") == F.col("r_id"), "full_outer")
+    return j.agg(
+        F.count("l_id").alias("n_left"),
+        F.count("r_id").alias("n_right"),
+        F.count_if(F.col("l_id").isNull() | F.col("r_id").isNull()).alias("n_mismatch"),
+    )
+
+
+# -------------------------------------------------------------------- file round trips
+
+from scorelens.session import scratch_path  # noqa: E402
+from scorelens.sources import files as IO  # noqa: E402
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    cust = table(spark, sf_dir, "customer")
+    path = scratch_path(spark, "customer_csv")
+    IO.write_csv(cust, path, sep=",", encoding=IO.LATIN1)
+    return IO.read_csv(spark, path, cust.schema, sep=",", encoding=IO.LATIN1)
+
+
+@register("tsv_roundtrip")
+def q_tsv_roundtrip(spark, sf_dir):
+    nat = table(spark, sf_dir, "nation")
+    path = scratch_path(spark, "nation_tsv")
+    IO.write_csv(nat, path, sep="\t")
+    return IO.read_csv(spark, path, nat.schema, sep="\t", encoding="UTF-8")

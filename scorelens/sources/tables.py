@@ -15,3 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a scan is narrower than the cluster.
+
+    A table stored as one file with one row group scans as one task; the
+    CPU-heavy per-row work after it (tokenising long texts, hashing) would
+    then run on one core.  On a large input the scan already has thousands
+    of splits and this is a no-op.  The check is planning-only.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
