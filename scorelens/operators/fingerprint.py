@@ -34,7 +34,8 @@ def environments(nodes: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
     """(doc_id, pos, radius, ident, bit[, fragment]) for every node and radius 0..R.
 
     ``fragment`` is the text the identifier covers: tokens pos-r .. pos+r,
-    clipped at the document ends.  It is only computed when asked for.
+    clipped at the document ends; null when the centre token has no letter
+    (the fragment cannot be rebuilt).  It is only computed when asked for.
     """
     w = chunk_window()
     df = with_halo(nodes, radius, chunk).withColumn("h0", md5_prefix("tok"))
@@ -54,7 +55,9 @@ def environments(nodes: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
         for r in range(radius + 1):
             parts = [F.lag("tok", k).over(w) for k in range(r, 0, -1)] + [F.col("tok")] + \
                     [F.lead("tok", k).over(w) for k in range(1, r + 1)]
-            frag[r] = F.concat_ws(" ", *parts)
+            # a window centred on a token without any letter cannot be rebuilt
+            # into a fragment: null, like a failed rebuild
+            frag[r] = F.when(F.col("tok").rlike(r"\p{L}"), F.concat_ws(" ", *parts))
             df = df.withColumn(f"f{r}", frag[r])
     envs = F.array(*[
         F.struct(

@@ -192,7 +192,7 @@ def envs(radius: int, fragments: bool = False) -> str:
         for r in range(radius + 1):
             items = [f"lag(tok, {k}) OVER w" for k in range(r, 0, -1)] + ["tok"] + \
                     [f"lead(tok, {k}) OVER w" for k in range(1, r + 1)]
-            frs.append(f"concat_ws(' ', {', '.join(items)}) AS f{r}")
+            frs.append(f"CASE WHEN regexp_matches(tok, '\\p{{L}}') THEN concat_ws(' ', {', '.join(items)}) END AS f{r}")
         parts.append(f"fr AS (SELECT *, {', '.join(frs)} FROM {last} "
                      f"WINDOW w AS (PARTITION BY doc_id ORDER BY pos))")
         last = "fr"
@@ -245,9 +245,11 @@ weights AS (
 )"""
 
 
-def descriptor_ctes(source: str) -> str:
-    """CTE chain ending in ``desc(doc_id, <15 descriptors>)`` for the docs in ``source``."""
-    return f"""{toks(source)}, {EDGES}, {WEIGHTS},
+def descriptor_ctes(source: str, with_toks: bool = True) -> str:
+    """CTE chain ending in ``desc0(doc_id, <15 descriptors>)`` for the docs in ``source``
+    (``with_toks=False`` reuses a ``toks`` CTE defined earlier)."""
+    head = f"{toks(source)}, " if with_toks else ""
+    return f"""{head}{EDGES}, {WEIGHTS},
 nodes AS (SELECT *, length(tok_raw) AS len, least(length(tok_raw), 8) AS type FROM toks),
 base AS (
   SELECT doc_id, count(*) AS heavy_atoms, CAST(sum(len) AS DOUBLE) AS mol_wt,
@@ -322,7 +324,7 @@ ORACLES["fill_zero"] = f"""WITH RECURSIVE valid_docs AS (SELECT * FROM documents
 SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(l.toxic AS BIGINT) AS label, {desc_select()}
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN desc0 x ON d.doc_id = x.doc_id"""
 
-ORACLES["combined_features"] = f"""WITH RECURSIVE {FP_TABLE}, {descriptor_ctes('labelled').replace('toks AS (', 'toks2 AS (', 1).replace('FROM toks', 'FROM toks2')}
+ORACLES["combined_features"] = f"""WITH RECURSIVE {FP_TABLE}, {descriptor_ctes('labelled', with_toks=False)}
 SELECT f.doc_id, f.label, f.n_on, f.bits AS bits_csv, {desc_select()}
 FROM fpt f LEFT JOIN desc0 x ON f.doc_id = x.doc_id"""
 
@@ -333,3 +335,194 @@ FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id"""
 
 ORACLES["csv_roundtrip"] = "SELECT * FROM customer"
 ORACLES["tsv_roundtrip"] = "SELECT * FROM nation"
+
+# ------------------------------------------------------------------ metrics family
+
+DOC_CUM = SCORED + "," + _cum("model, fold")
+
+ORACLES["confusion"] = f"""WITH {SCORED}
+SELECT model, fold, CAST(y_true AS BIGINT) AS actual,
+       CAST(count_if(y_prob <= 0.5) AS BIGINT) AS pred_0, CAST(count_if(y_prob > 0.5) AS BIGINT) AS pred_1
+FROM scored GROUP BY model, fold, y_true"""
+
+ORACLES["roc_points"] = f"""WITH {DOC_CUM}
+SELECT model, fold, round(score, 6) AS threshold,
+       round(CASE WHEN N > 0 THEN CAST(cum_neg AS DOUBLE) / N END, 6) AS fpr,
+       round(CASE WHEN P > 0 THEN CAST(cum_pos AS DOUBLE) / P END, 6) AS tpr
+FROM cum"""
+
+ORACLES["roc_points_reduced"] = f"""WITH {DOC_CUM},
+turns AS (
+  SELECT *, (cum_neg - lag(cum_neg) OVER w) * (lead(cum_pos) OVER w - cum_pos)
+            - (cum_pos - lag(cum_pos) OVER w) * (lead(cum_neg) OVER w - cum_neg) AS turn
+  FROM cum WINDOW w AS (PARTITION BY model, fold ORDER BY score DESC)
+)
+SELECT model, fold, round(score, 6) AS threshold,
+       round(CASE WHEN N > 0 THEN CAST(cum_neg AS DOUBLE) / N END, 6) AS fpr,
+       round(CASE WHEN P > 0 THEN CAST(cum_pos AS DOUBLE) / P END, 6) AS tpr
+FROM turns WHERE turn IS NULL OR turn <> 0"""
+
+ORACLES["roc_auc"] = f"""WITH {DOC_CUM},{_rank("model, fold")}
+SELECT model, fold, round(roc_auc, 6) AS roc_auc FROM rnk"""
+
+ORACLES["average_precision"] = f"""WITH {DOC_CUM},{_rank("model, fold")}
+SELECT model, fold, round(pr_auc, 6) AS pr_auc FROM rnk"""
+
+_MNAMES = ("accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
+_CLS_RAW = CLS_COLUMNS.replace("round(", "(").replace(", 6) AS", ") AS")
+ORACLES["metric_summary"] = f"""WITH {SCORED},{_cls("model, fold")},{_cum("model, fold")},{_rank("model, fold")},
+per_fold AS (
+  SELECT c.model, c.fold, {_CLS_RAW}, r.roc_auc, r.pr_auc
+  FROM cls c JOIN rnk r ON c.model = r.model AND c.fold = r.fold
+)
+SELECT model, {", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std" for m in _MNAMES)}
+FROM per_fold GROUP BY model"""
+
+# ------------------------------------------------------------------ scaling
+
+def _desc_long(src: str = "desc0") -> str:
+    return " UNION ALL ".join(
+        f"SELECT doc_id, '{c}' AS feature, CAST({1024 + j} AS BIGINT) AS feature_idx, "
+        f"CAST({c} AS DOUBLE) AS x FROM {src}" for j, c in enumerate(DESC_ALL))
+
+
+ORACLES["scale_descriptors"] = f"""WITH RECURSIVE {LABELLED}, {descriptor_ctes('labelled')}, {FOLDS},
+dl AS (SELECT d.*, f.fold FROM desc0 d JOIN folds f ON d.doc_id = f.doc_id),
+lng AS ({_desc_long('dl')}),
+lf AS (SELECT l.*, f.fold FROM lng l JOIN folds f ON l.doc_id = f.doc_id),
+st AS (SELECT feature, avg(x) AS mu, stddev_pop(x) AS sd FROM lf WHERE fold <> 1 GROUP BY feature),
+z AS (SELECT lf.doc_id, lf.fold, lf.feature,
+             (lf.x - st.mu) / CASE WHEN st.sd > 0 THEN st.sd ELSE 1.0 END AS z
+      FROM lf JOIN st ON lf.feature = st.feature)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(fold AS BIGINT) AS fold,
+  {", ".join(f"round(max(CASE WHEN feature = '{c}' THEN z END), 6) AS {c}" for c in DESC_ALL)}
+FROM z GROUP BY doc_id, fold"""
+
+# ------------------------------------------------------------------ embedding attributions
+
+EMB = """
+el AS (
+  SELECT vec_id, label, CAST(u.x AS DOUBLE) AS x, CAST(u.j - 1 AS BIGINT) AS feature_idx
+  FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, j)
+),
+models AS (SELECT * FROM (VALUES ('lt3', 3), ('lt5', 5), ('lt7', 7)) t(model, thr)),
+coef AS (
+  SELECT m.model, e.feature_idx, avg(e.x) AS mu,
+         avg(CASE WHEN e.label < m.thr THEN e.x END) - avg(CASE WHEN NOT (e.label < m.thr) THEN e.x END) AS w
+  FROM el e, models m GROUP BY m.model, e.feature_idx
+),
+phi AS (
+  SELECT c.model, e.vec_id, e.feature_idx, e.x AS value, c.w * (e.x - c.mu) AS phi, c.w * e.x AS wx,
+         c.w * c.mu AS wmu
+  FROM el e JOIN coef c ON e.feature_idx = c.feature_idx
+),
+mabs AS (SELECT model, feature_idx, avg(abs(phi)) AS mean_abs FROM phi GROUP BY model, feature_idx)"""
+
+ORACLES["linear_attr"] = f"""WITH {EMB},
+base AS (SELECT model, sum(wmu) AS baseline FROM (SELECT DISTINCT model, feature_idx, wmu FROM phi) GROUP BY model)
+SELECT p.model, p.vec_id, round(max(b.baseline), 6) AS baseline, round(sum(p.wx), 6) AS raw_score,
+       round(sum(p.phi), 6) AS phi_sum
+FROM phi p JOIN base b ON p.model = b.model GROUP BY p.model, p.vec_id"""
+
+ORACLES["attr_long"] = f"""WITH {EMB}
+SELECT model, vec_id, feature_idx, round(phi, 6) AS phi FROM phi"""
+
+ORACLES["mean_abs_attr"] = f"""WITH {EMB}
+SELECT model, feature_idx, round(mean_abs, 6) AS mean_abs FROM mabs"""
+
+ORACLES["topn_importance"] = f"""WITH {EMB}
+SELECT feature_idx, round(mean_abs, 6) AS mean_abs FROM mabs WHERE model = 'lt5'
+ORDER BY mean_abs DESC, feature_idx LIMIT 10"""
+
+ORACLES["summary_points"] = f"""WITH {EMB},
+top AS (SELECT feature_idx FROM mabs WHERE model = 'lt5' ORDER BY mean_abs DESC, feature_idx LIMIT 5)
+SELECT vec_id, feature_idx, round(phi, 6) AS phi, round(value, 6) AS value
+FROM phi WHERE model = 'lt5' AND feature_idx IN (SELECT feature_idx FROM top)"""
+
+# ------------------------------------------------------------------ document importance
+
+DL = """
+dl AS (
+  SELECT doc_id, 'toxic' AS model, CAST(label AS INTEGER) AS label FROM labelled
+  UNION ALL
+  SELECT doc_id, 'quality', CAST(quality AS INTEGER) FROM labels_q
+)"""
+
+DOC_BASE = f"""{LABELLED.replace('d.n_chars, l.toxic AS label', 'd.n_chars, l.toxic AS label, l.quality')},
+labels_q AS (SELECT * FROM labelled WHERE quality IS NOT NULL),
+{DL.strip()}"""
+
+
+def _bit_imp(bits: str = "bits", dl: str = "dl", group: str = "model") -> str:
+    gsel = ", ".join(f"p.{g}" for g in group.split(", "))
+    gjoin = " AND ".join(f"p.{g} = t.{g}" for g in group.split(", "))
+    dsel = ", ".join(f"d.{g}" for g in group.split(", "))
+    return f"""
+tot_{bits} AS (SELECT {group}, count_if(label = 1) AS N1, count_if(label = 0) AS N0 FROM {dl} GROUP BY {group}),
+per_{bits} AS (
+  SELECT {dsel}, b.bit, count_if(d.label = 1) AS n1, count_if(d.label = 0) AS n0
+  FROM {bits} b JOIN {dl} d ON b.doc_id = d.doc_id GROUP BY {dsel}, b.bit
+),
+imp_{bits} AS (
+  SELECT {gsel}, 'ECFP_' || CAST(p.bit AS VARCHAR) AS feature, CAST(p.bit AS BIGINT) AS feature_idx,
+         'ECFP' AS family,
+         abs(p.n1 / t.N1 - p.n0 / t.N0) * 2 * ((p.n1 + p.n0) / (t.N1 + t.N0))
+           * (1 - (p.n1 + p.n0) / (t.N1 + t.N0)) AS mean_abs
+  FROM per_{bits} p JOIN tot_{bits} t ON {gjoin}
+)"""
+
+
+BITS_DOC = f"""{DOC_BASE}, {toks('labelled')}, {envs(3)},
+bits AS (SELECT DISTINCT doc_id, bit FROM envs),
+{_bit_imp().strip()}"""
+
+DESC_IMP = f"""
+dlong AS ({_desc_long('desc0')}),
+dst AS (SELECT feature, avg(x) AS mu, stddev_pop(x) AS sd FROM dlong GROUP BY feature),
+dz AS (SELECT l.doc_id, l.feature, l.feature_idx,
+              (l.x - s.mu) / CASE WHEN s.sd > 0 THEN s.sd ELSE 1.0 END AS z
+       FROM dlong l JOIN dst s ON l.feature = s.feature),
+dzl AS (SELECT z.*, d.model, d.label FROM dz z JOIN dl d ON z.doc_id = d.doc_id),
+dw AS (SELECT model, feature, feature_idx,
+              avg(CASE WHEN label = 1 THEN z END) - avg(CASE WHEN label = 0 THEN z END) AS w, avg(z) AS mu
+       FROM dzl GROUP BY model, feature, feature_idx),
+dmad AS (SELECT d.model, d.feature, d.feature_idx, max(w.w) AS w, avg(abs(d.z - w.mu)) AS mad
+         FROM dzl d JOIN dw w ON d.model = w.model AND d.feature = w.feature GROUP BY d.model, d.feature, d.feature_idx),
+dimp AS (SELECT model, feature, feature_idx, 'descriptor' AS family, abs(coalesce(w, 0.0)) * mad AS mean_abs FROM dmad),
+comb AS (SELECT * FROM imp_bits UNION ALL SELECT * FROM dimp)"""
+
+COMBINED = f"""{BITS_DOC}, {descriptor_ctes('labelled', with_toks=False)}, {DESC_IMP}"""
+
+ORACLES["family_filter"] = f"""WITH RECURSIVE {COMBINED}
+SELECT model, feature, round(mean_abs, 6) AS mean_abs FROM comb WHERE starts_with(feature, 'ECFP_')"""
+
+ORACLES["feature_index"] = f"""WITH {BITS_DOC}
+SELECT model, feature, CAST(regexp_extract(feature, '_(\\d+)$', 1) AS BIGINT) AS feature_idx
+FROM imp_bits WHERE starts_with(feature, 'ECFP_')"""
+
+ORACLES["importance_union"] = f"""WITH RECURSIVE {COMBINED}
+SELECT model, feature, family, round(mean_abs, 6) AS mean_abs,
+       CAST(row_number() OVER (ORDER BY mean_abs DESC, model, feature) AS BIGINT) AS rank
+FROM comb"""
+
+ORACLES["importance_preview"] = f"""WITH RECURSIVE {COMBINED}
+SELECT model, feature, round(mean_abs, 6) AS mean_abs FROM comb
+ORDER BY mean_abs DESC, model, feature LIMIT 10"""
+
+TOPN = """
+topn AS (
+  SELECT * FROM (
+    SELECT model, feature, feature_idx, mean_abs,
+           CAST(row_number() OVER (PARTITION BY model ORDER BY mean_abs DESC, feature_idx) AS BIGINT) AS rank
+    FROM imp_bits WHERE starts_with(feature, 'ECFP_')) t
+  WHERE rank <= 20
+)"""
+
+ORACLES["topn_per_model"] = f"""WITH {BITS_DOC}, {TOPN}
+SELECT model, feature, feature_idx, round(mean_abs, 6) AS mean_abs, rank FROM topn"""
+
+ORACLES["mean_of_fold_means"] = f"""WITH {BITS_DOC}, {FOLDS},
+dlf AS (SELECT d.*, f.fold FROM dl d JOIN folds f ON d.doc_id = f.doc_id),
+{_bit_imp('bits', 'dlf', 'model, fold').replace('tot_bits', 'tot_f').replace('per_bits', 'per_f').replace('imp_bits', 'imp_f').strip()}
+SELECT model, feature_idx AS bit, round(avg(mean_abs), 6) AS mean_abs, count(fold) AS n_folds
+FROM imp_f GROUP BY model, feature_idx"""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.functions.exprs import r6
+from scorelens.functions.exprs import r6, safe_div
 from scorelens.operators import metrics as M
 from scorelens.plans import inputs
 
@@ -250,3 +250,228 @@ def q_tsv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "nation_tsv")
     IO.write_csv(nat, path, sep="\t")
     return IO.read_csv(spark, path, nat.schema, sep="\t", encoding="UTF-8")
+
+
+# ------------------------------------------------------------ metrics family
+
+def _doc_thresholds(spark, sf_dir):
+    return M.threshold_table(inputs.scored_documents(spark, sf_dir), ["model", "fold"])
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    pred = inputs.scored_documents(spark, sf_dir).withColumn("y_pred", M.predict_class("y_prob"))
+    cm = M.confusion_matrix(pred, ["model", "fold"])
+    return cm.select("model", "fold", F.col("actual").cast("bigint").alias("actual"),
+                     F.col("pred_0").cast("bigint"), F.col("pred_1").cast("bigint"))
+
+
+@register("roc_points")
+def q_roc_points(spark, sf_dir):
+    pts = M.roc_points(_doc_thresholds(spark, sf_dir), ["model", "fold"])
+    return pts.select("model", "fold", r6("threshold", "threshold"), r6("fpr", "fpr"), r6("tpr", "tpr"))
+
+
+@register("roc_points_reduced")
+def q_roc_points_reduced(spark, sf_dir):
+    th = _doc_thresholds(spark, sf_dir).withColumnRenamed("score", "threshold")
+    red = M.roc_points_reduced(th, ["model", "fold"])
+    return red.select("model", "fold", r6("threshold", "threshold"),
+                      r6(safe_div("cum_neg", "N", None), "fpr"), r6(safe_div("cum_pos", "P", None), "tpr"))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    rk = M.ranking_metrics(_doc_thresholds(spark, sf_dir), ["model", "fold"])
+    return rk.select("model", "fold", r6("roc_auc", "roc_auc"))
+
+
+@register("average_precision")
+def q_average_precision(spark, sf_dir):
+    rk = M.ranking_metrics(_doc_thresholds(spark, sf_dir), ["model", "fold"])
+    return rk.select("model", "fold", r6("pr_auc", "pr_auc"))
+
+
+@register("metric_summary")
+def q_metric_summary(spark, sf_dir):
+    per_fold = M.fold_metrics(inputs.scored_documents(spark, sf_dir), ["model", "fold"])
+    s = M.metric_summary(per_fold, ["model"])
+    return s.select("model", *[r6(c, c) for c in s.columns if c != "model"])
+
+
+# ------------------------------------------------------------ scaling
+
+@register("scale_descriptors")
+def q_scale_descriptors(spark, sf_dir):
+    from scorelens.operators.scaling import FamilyScaler
+
+    lab = inputs.labelled_documents(spark, sf_dir)
+    desc = document_descriptors(spark, sf_dir, lab).join(
+        inputs.document_folds(spark, sf_dir).select("doc_id", "fold"), "doc_id")
+    cols = list(D.DESCRIPTOR_COLUMNS)
+    model = FamilyScaler(inputCols=cols, outputCols=cols).fit(desc.filter(F.col("fold") != 1))
+    out = model.transform(desc)
+    return out.select("doc_id", "fold", *[r6(c, c) for c in cols])
+
+
+# ------------------------------------------------------------ attributions on embeddings
+
+from scorelens.operators import attribution as A  # noqa: E402
+from scorelens.operators import importance as I  # noqa: E402
+from scorelens.plans import explain as X  # noqa: E402
+
+
+@register("linear_attr")
+def q_linear_attr(spark, sf_dir):
+    att = X.embedding_attributions(spark, sf_dir)
+    return att.select("model", "vec_id", r6("baseline", "baseline"), r6("raw_score", "raw_score"),
+                      r6(A.attribution_sum("phi"), "phi_sum"))
+
+
+@register("attr_long")
+def q_attr_long(spark, sf_dir):
+    lf = X.embedding_long(spark, sf_dir)
+    return lf.select("model", "vec_id", "feature_idx", r6("phi", "phi"))
+
+
+@register("mean_abs_attr")
+def q_mean_abs_attr(spark, sf_dir):
+    return X.embedding_mean_abs(spark, sf_dir).select("model", "feature_idx", r6("mean_abs", "mean_abs"))
+
+
+@register("topn_importance")
+def q_topn_importance(spark, sf_dir):
+    ma = X.embedding_mean_abs(spark, sf_dir).filter(F.col("model") == "lt5")
+    return I.top_n(ma, 10).select("feature_idx", r6("mean_abs", "mean_abs"))
+
+
+@register("summary_points")
+def q_summary_points(spark, sf_dir):
+    ma = X.embedding_mean_abs(spark, sf_dir).filter(F.col("model") == "lt5")
+    top = I.top_n(ma, 5).select("feature_idx")
+    lf = X.embedding_long(spark, sf_dir).filter(F.col("model") == "lt5")
+    pts = lf.join(F.broadcast(top), "feature_idx", "left_semi")  # top-5 list: 5 rows
+    return pts.select("vec_id", "feature_idx", r6("phi", "phi"), r6("value", "value"))
+
+
+# ------------------------------------------------------------ document importance
+
+@register("family_filter")
+def q_family_filter(spark, sf_dir):
+    ecfp = I.family_filter(X.combined_importance(spark, sf_dir))
+    return ecfp.select("model", "feature", r6("mean_abs", "mean_abs"))
+
+
+@register("feature_index")
+def q_feature_index(spark, sf_dir):
+    ecfp = I.family_filter(X.doc_bit_importance(spark, sf_dir))
+    return ecfp.select("model", "feature", I.feature_index("feature").alias("feature_idx"))
+
+
+@register("importance_union")
+def q_importance_union(spark, sf_dir):
+    from pyspark.sql import Window
+
+    u = X.combined_importance(spark, sf_dir)
+    # global rank over an importance table: (models x features) rows, not data rows
+    w = Window.orderBy(F.col("mean_abs").desc(), "model", "feature")
+    return u.select("model", "feature", "family", r6("mean_abs", "mean_abs"),
+                    F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+@register("importance_preview")
+def q_importance_preview(spark, sf_dir):
+    u = X.combined_importance(spark, sf_dir)
+    top = u.orderBy(F.col("mean_abs").desc(), "model", "feature").limit(10)
+    return top.select("model", "feature", r6("mean_abs", "mean_abs"))
+
+
+@register("topn_per_model")
+def q_topn_per_model(spark, sf_dir):
+    return X.top_bits(spark, sf_dir).select("model", "feature", "feature_idx",
+                                            r6("mean_abs", "mean_abs"), "rank")
+
+
+@register("mean_of_fold_means")
+def q_mean_of_fold_means(spark, sf_dir):
+    folds = inputs.document_folds(spark, sf_dir).select("doc_id", "fold")
+    labels = X.doc_labels_long(spark, sf_dir).join(folds, "doc_id")
+    bits = FP.fingerprint_bits(X.doc_environments(spark, sf_dir))
+    per_fold = I.bit_importance(bits, labels, group_cols=["model", "fold"])
+    pooled = I.mean_of_fold_means(per_fold, ["model", "bit"])
+    return pooled.select("model", "bit", r6("mean_abs", "mean_abs"), "n_folds")
+
+
+# ------------------------------------------------------------ fragments
+
+def _fragment_rows(spark, sf_dir, pooled=False):
+    top = X.pooled_top_bits(spark, sf_dir) if pooled else X.top_bits(spark, sf_dir)
+    return X.fragment_rows(spark, sf_dir, top)
+
+
+@register("bit_fragments")
+def q_bit_fragments(spark, sf_dir):
+    top = X.top_bits(spark, sf_dir).filter(F.col("model") == X.FRAGMENT_MODEL)
+    return X.first_fragments(spark, sf_dir, top).select(
+        "doc_id", "bit", F.col("radius").cast("bigint"), "pos", "fragment")
+
+
+@register("top_bit_fragments")
+def q_top_bit_fragments(spark, sf_dir):
+    return _fragment_rows(spark, sf_dir)
+
+
+@register("top_bit_fragments_pooled")
+def q_top_bit_fragments_pooled(spark, sf_dir):
+    return _fragment_rows(spark, sf_dir, pooled=True)
+
+
+@register("fragments_nonblank")
+def q_fragments_nonblank(spark, sf_dir):
+    rows = _fragment_rows(spark, sf_dir)
+    return rows.filter(F.col("fragment").isNotNull() & (F.trim("fragment") != "")) \
+        .select("model", "doc_id", "bit", "fragment")
+
+
+@register("unresolved_bits")
+def q_unresolved_bits(spark, sf_dir):
+    rows = _fragment_rows(spark, sf_dir)
+    ok = rows.groupBy("model", "bit").agg(F.bool_or(F.col("fragment").isNotNull()).alias("ok"))
+    return ok.filter(~F.col("ok")).select("model", "bit")
+
+
+@register("bit_collisions")
+def q_bit_collisions(spark, sf_dir):
+    envs = X.doc_environments(spark, sf_dir, with_fragments=True).filter(F.col("fragment").isNotNull())
+    return FP.bit_collisions(envs)
+
+
+@register("first_last_per_key")
+def q_first_last_per_key(spark, sf_dir):
+    rows = _fragment_rows(spark, sf_dir).filter(F.col("doc_id").isNotNull())
+    return rows.groupBy("model", "bit").agg(
+        F.min("doc_id").alias("first_doc"),
+        F.min_by(F.struct("fragment"), "doc_id")["fragment"].alias("first_fragment"),
+        F.max("doc_id").alias("last_doc"),
+        F.max_by(F.struct("fragment"), "doc_id")["fragment"].alias("last_fragment"),
+    )
+
+
+def _lookup(spark, sf_dir):
+    rows = _fragment_rows(spark, sf_dir)
+    dictionary = X.fragment_dictionary(rows.filter(F.col("model") == X.FRAGMENT_MODEL))
+    top = X.top_bits(spark, sf_dir).select("model", "feature", F.col("feature_idx").alias("bit"),
+                                          "mean_abs")
+    return I.lookup_with_default(top, dictionary, "bit", "fragment")
+
+
+@register("fragment_lookup")
+def q_fragment_lookup(spark, sf_dir):
+    return _lookup(spark, sf_dir).select("model", "bit", "feature", "fragment", r6("mean_abs", "mean_abs"))
+
+
+@register("importance_merge")
+def q_importance_merge(spark, sf_dir):
+    merged = I.merge_models(_lookup(spark, sf_dir), X.DOC_MODELS)
+    return merged.select("feature", "fragment",
+                         *[r6(f"mean_abs_{m}", f"mean_abs_{m}") for m in X.DOC_MODELS])
