@@ -526,3 +526,106 @@ dlf AS (SELECT d.*, f.fold FROM dl d JOIN folds f ON d.doc_id = f.doc_id),
 {_bit_imp('bits', 'dlf', 'model, fold').replace('tot_bits', 'tot_f').replace('per_bits', 'per_f').replace('imp_bits', 'imp_f').strip()}
 SELECT model, feature_idx AS bit, round(avg(mean_abs), 6) AS mean_abs, count(fold) AS n_folds
 FROM imp_f GROUP BY model, feature_idx"""
+
+# ------------------------------------------------------------------ fragments
+
+from scorelens.plans.explain import NOTE_FAILED, NOTE_RESOLVED, NOTE_UNRESOLVED  # noqa: E402
+
+FRAG_BASE = f"""{DOC_BASE}, {toks('labelled')}, {envs(3, fragments=True)},
+bits AS (SELECT DISTINCT doc_id, bit FROM envs),
+{_bit_imp().strip()}, {TOPN}"""
+
+
+def _frag_rows(top: str) -> str:
+    """rows + warn -> frows(model, name, doc_id, bit, fragment, note) for a top table."""
+    return f"""
+ftop AS (SELECT model, feature_idx AS bit FROM {top}),
+firstenv AS (
+  SELECT doc_id, bit, radius, pos, fragment FROM (
+    SELECT e.doc_id, e.bit, e.radius, e.pos, e.fragment,
+           row_number() OVER (PARTITION BY e.doc_id, e.bit ORDER BY e.radius, e.pos) AS rn
+    FROM envs e WHERE e.bit IN (SELECT bit FROM ftop)) x
+  WHERE rn = 1
+),
+frows0 AS (
+  SELECT t.model, l.source AS name, CAST(f.doc_id AS BIGINT) AS doc_id, CAST(t.bit AS BIGINT) AS bit,
+         f.fragment,
+         CASE WHEN f.fragment IS NOT NULL THEN '{NOTE_RESOLVED}' ELSE '{NOTE_FAILED}' END AS note
+  FROM ftop t JOIN firstenv f ON t.bit = f.bit JOIN labelled l ON l.doc_id = f.doc_id
+),
+fwarn AS (
+  SELECT t.model, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS doc_id, CAST(t.bit AS BIGINT) AS bit,
+         CAST(NULL AS VARCHAR) AS fragment, '{NOTE_UNRESOLVED}' AS note
+  FROM ftop t
+  WHERE NOT EXISTS (SELECT 1 FROM frows0 r WHERE r.model = t.model AND r.bit = t.bit AND r.fragment IS NOT NULL)
+),
+frows AS (SELECT * FROM frows0 UNION ALL SELECT * FROM fwarn)"""
+
+
+POOLED_TOP = f"""{FOLDS},
+tr AS (SELECT f.doc_id, o.outer_fold FROM folds f, (SELECT range + 1 AS outer_fold FROM range(5)) o
+       WHERE f.fold <> o.outer_fold),
+dlt AS (SELECT d.doc_id, d.model, d.label, t.outer_fold FROM dl d JOIN tr t ON d.doc_id = t.doc_id),
+{_bit_imp('bits', 'dlt', 'model, outer_fold').replace('tot_bits', 'tot_o').replace('per_bits', 'per_o').replace('imp_bits', 'imp_o').strip()},
+pooled AS (SELECT model, feature_idx, avg(mean_abs) AS mean_abs FROM imp_o GROUP BY model, feature_idx),
+ptop AS (
+  SELECT * FROM (
+    SELECT model, feature_idx, mean_abs,
+           row_number() OVER (PARTITION BY model ORDER BY mean_abs DESC, feature_idx) AS rank
+    FROM pooled) x
+  WHERE rank <= 20
+)"""
+
+ORACLES["bit_fragments"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn WHERE model = 'toxic'")}
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(bit AS BIGINT) AS bit, CAST(radius AS BIGINT) AS radius,
+       pos, fragment
+FROM firstenv"""
+
+ORACLES["top_bit_fragments"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn")}
+SELECT * FROM frows"""
+
+ORACLES["top_bit_fragments_pooled"] = f"""WITH {FRAG_BASE}, {POOLED_TOP}, {_frag_rows("ptop")}
+SELECT * FROM frows"""
+
+ORACLES["fragments_nonblank"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn")}
+SELECT model, doc_id, bit, fragment FROM frows WHERE fragment IS NOT NULL AND trim(fragment) <> ''"""
+
+ORACLES["unresolved_bits"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn")}
+SELECT model, bit FROM frows GROUP BY model, bit HAVING NOT bool_or(fragment IS NOT NULL)"""
+
+ORACLES["bit_collisions"] = f"""WITH {FRAG_BASE}
+SELECT CAST(bit AS BIGINT) AS bit, count(DISTINCT fragment) AS n_fragments
+FROM envs WHERE fragment IS NOT NULL GROUP BY bit HAVING count(DISTINCT fragment) > 1"""
+
+ORACLES["first_last_per_key"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn")},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model, bit ORDER BY doc_id) AS r_first,
+            row_number() OVER (PARTITION BY model, bit ORDER BY doc_id DESC) AS r_last
+  FROM frows WHERE doc_id IS NOT NULL
+)
+SELECT model, bit, min(doc_id) AS first_doc, max(CASE WHEN r_first = 1 THEN fragment END) AS first_fragment,
+       max(doc_id) AS last_doc, max(CASE WHEN r_last = 1 THEN fragment END) AS last_fragment
+FROM ranked GROUP BY model, bit"""
+
+LOOKUP = f"""{FRAG_BASE}, {_frag_rows("topn")},
+dict0 AS (
+  SELECT bit, fragment, row_number() OVER (
+           PARTITION BY bit ORDER BY CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END DESC,
+                                     coalesce(doc_id, -1) DESC) AS rn
+  FROM frows WHERE model = 'toxic'
+),
+dict AS (SELECT bit, fragment FROM dict0 WHERE rn = 1),
+lookup AS (
+  SELECT t.model, t.feature, CAST(t.feature_idx AS BIGINT) AS bit, t.mean_abs,
+         CASE WHEN d.bit IS NULL THEN 'N/A' ELSE d.fragment END AS fragment
+  FROM topn t LEFT JOIN dict d ON t.feature_idx = d.bit
+)"""
+
+ORACLES["fragment_lookup"] = f"""WITH {LOOKUP}
+SELECT model, bit, feature, fragment, round(mean_abs, 6) AS mean_abs FROM lookup"""
+
+ORACLES["importance_merge"] = f"""WITH {LOOKUP}
+SELECT feature, fragment,
+       round(max(CASE WHEN model = 'toxic' THEN mean_abs END), 6) AS mean_abs_toxic,
+       round(max(CASE WHEN model = 'quality' THEN mean_abs END), 6) AS mean_abs_quality
+FROM lookup GROUP BY feature, fragment"""
