@@ -475,3 +475,49 @@ def q_importance_merge(spark, sf_dir):
     merged = I.merge_models(_lookup(spark, sf_dir), X.DOC_MODELS)
     return merged.select("feature", "fragment",
                          *[r6(f"mean_abs_{m}", f"mean_abs_{m}") for m in X.DOC_MODELS])
+
+
+# ------------------------------------------------------------ models and nested CV (M1-M11, rows-only)
+
+from scorelens.plans import job as JOB  # noqa: E402
+
+
+def flagship(spark, sf_dir):
+    """Quick nested CV (Descriptors + Combined_Scaled, LogReg + RF) -> metric summary."""
+    s = JOB.flagship(spark, sf_dir)
+    return s.select("dataset", "feature_set", "model",
+                    *[r6(c, c) for c in s.columns if c not in ("dataset", "feature_set", "model")])
+
+
+register("flagship")(flagship)
+
+
+def _single_fold_scores(spark, sf_dir, model, feature_set="Combined_Naive"):
+    from scorelens.operators import tuning as T
+
+    feats = JOB.document_features(spark, sf_dir)
+    pred, _, _ = T.outer_fold_job(feats, feature_set, model, 1, True, "documents")
+    return pred.select("doc_id", "y_true", r6("y_prob", "y_prob"), "y_pred")
+
+
+@register("logreg_scores")
+def q_logreg_scores(spark, sf_dir):
+    return _single_fold_scores(spark, sf_dir, "logreg")
+
+
+@register("rf_scores")
+def q_rf_scores(spark, sf_dir):
+    return _single_fold_scores(spark, sf_dir, "rf")
+
+
+@register("gbt_scores")
+def q_gbt_scores(spark, sf_dir):
+    return _single_fold_scores(spark, sf_dir, "gbt", "Descriptors")
+
+
+@register("predictions_scan")
+def q_predictions_scan(spark, sf_dir):
+    path, _ = JOB.run_nested_cv(spark, sf_dir, ("Descriptors",), ("logreg",))
+    from scorelens.sources.files import scan_predictions
+
+    return scan_predictions(spark, path)
