@@ -71,6 +71,8 @@ def quantile_buckets(df: DataFrame, part_cols: Sequence[str], value_col: str,
     Boundaries are approximate per-group quantiles: they only balance the
     buckets, the exactness of ``running_totals`` does not depend on them.
     """
+    if n_buckets <= 1:
+        return df.withColumn(name, F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     keys = list(part_cols) or ["_all"]
     src = df if part_cols else df.withColumn("_all", F.lit(0))

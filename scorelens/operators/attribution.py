@@ -52,19 +52,25 @@ def class_mean_differences(df: DataFrame, features: str, dim: int,
                            labels: dict[str, Column]) -> dict[str, tuple[list[float], list[float]]]:
     """Several class-mean-difference models over the same rows in ONE aggregate.
 
-    Returns {name: (weights, background means)}; (1 + 2 * models) * dim numbers
-    reach the driver.
+    The array is exploded to (slot, value) and grouped by slot -- a small
+    plan whatever the width, with map-side partial aggregation.  Returns
+    {name: (weights, background means)}; (1 + 2 * models) * dim numbers reach
+    the driver.
     """
-    x = [F.col(features)[j].cast("double") for j in range(dim)]
-    aggs = [F.avg(x[j]).alias(f"a{j}") for j in range(dim)]
-    for k, (name, lab) in enumerate(labels.items()):
-        aggs += [F.avg(F.when(lab, x[j])).alias(f"p{k}_{j}") for j in range(dim)]
-        aggs += [F.avg(F.when(~lab, x[j])).alias(f"n{k}_{j}") for j in range(dim)]
-    row = df.agg(*aggs).first()
-    mu = [float(row[f"a{j}"] or 0.0) for j in range(dim)]
+    names = list(labels)
+    flags = [lab.alias(f"_y{k}") for k, lab in enumerate(labels.values())]
+    long_df = df.select(F.posexplode(features).alias("slot", "x"), *flags)
+    x = F.col("x").cast("double")
+    aggs = [F.avg(x).alias("a")]
+    for k in range(len(names)):
+        aggs += [F.avg(F.when(F.col(f"_y{k}"), x)).alias(f"p{k}"),
+                 F.avg(F.when(~F.col(f"_y{k}"), x)).alias(f"n{k}")]
+    rows = {r["slot"]: r for r in long_df.groupBy("slot").agg(*aggs).collect()}  # dim rows
+    mu = [float(rows[j]["a"] or 0.0) if j in rows else 0.0 for j in range(dim)]
     out = {}
-    for k, name in enumerate(labels):
-        w = [float(row[f"p{k}_{j}"] or 0.0) - float(row[f"n{k}_{j}"] or 0.0) for j in range(dim)]
+    for k, name in enumerate(names):
+        w = [(float(rows[j][f"p{k}"] or 0.0) - float(rows[j][f"n{k}"] or 0.0)) if j in rows else 0.0
+             for j in range(dim)]
         out[name] = (w, mu)
     return out
 

@@ -185,4 +185,4 @@ def embedding_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_mean_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.mean_abs_wide(embedding_attributions(spark, sf_dir), ["model"], "phi", EMB_DIM)
+    return A.mean_abs(embedding_long(spark, sf_dir), ["model"])

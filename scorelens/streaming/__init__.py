@@ -1 +1,10 @@
-"""scorelens.streaming."""
+"""scorelens.streaming -- intentionally empty.
+
+The reference pipeline has no stream source, watermark, window, state or
+late-data logic: it is a batch job over files.  So no streaming operator is
+built.  Every operator here is a DataFrame -> DataFrame function, so the
+row-level ones (validity filter, tokens, descriptors, attributions with
+fixed coefficients) can be applied to a ``readStream`` DataFrame unchanged;
+the ones that rank or search (folds, metrics, top-N, grid search) need a
+complete table by definition.
+"""
