@@ -10,9 +10,8 @@ Morgan / Weisfeiler-Lehman refinement on the token graph:
   (presence, not count).
 
 Identifiers are compressed to a fixed width at every round (as Morgan
-does), so labels never grow with the radius.  All rounds run in one window
-pass over halo chunks (``tokens.with_halo``): no shuffle per round and no
-document-sized window partition.  ``(doc_id, bit)`` pairs are made distinct
+does), so labels never grow with the radius.  All rounds are array
+expressions inside the document's own row: no shuffle at all.  ``(doc_id, bit)`` pairs are made distinct
 right away, with map-side partial aggregation, because a document has at
 most ``n_bits`` of them.
 """
@@ -23,51 +22,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.exprs import bit_of, md5_prefix
-from scorelens.operators.tokens import DEFAULT_CHUNK, chunk_window, with_halo
+from scorelens.operators.tokens import TOKEN_SPLIT
+from scorelens.sources.tables import spread
 
 N_BITS = 1024
 RADIUS = 3
 
 
-def environments(nodes: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
-                 chunk: int = DEFAULT_CHUNK, with_fragments: bool = False) -> DataFrame:
-    """(doc_id, pos, radius, ident, bit[, fragment]) for every node and radius 0..R.
+def environments(docs: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
+                 with_fragments: bool = False, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, radius, ident, bit[, fragment]) for every token and radius 0..R.
+
+    Input: one row per document (id, text).  A document is one row, so every
+    neighbour of a token is in the same row: the identifiers of all radii
+    are array expressions over the split text (``transform`` with ``get``
+    for the neighbours) -- no shuffle, no sort, no window.  ``pos`` is the
+    index in the raw whitespace split (as ``tokens.token_nodes``).
 
     ``fragment`` is the text the identifier covers: tokens pos-r .. pos+r,
     clipped at the document ends; null when the centre token has no letter
     (the fragment cannot be rebuilt).  It is only computed when asked for.
     """
-    w = chunk_window()
-    df = with_halo(nodes, radius, chunk).withColumn("h0", md5_prefix("tok"))
+    raw = F.split(F.col(text_col), TOKEN_SPLIT)
+    d = spread(docs.select(id_col, text_col)).select(
+        F.col(id_col).alias("doc_id"),
+        F.transform(raw, lambda x: F.when(x != "", F.lower(x))).alias("t"))
+    d = d.withColumn("h0", F.transform("t", lambda x: md5_prefix(x)))
     for r in range(1, radius + 1):
-        prev = f"h{r - 1}"
-        df = df.withColumn(
-            f"h{r}",
-            md5_prefix(F.concat_ws(
-                " ",
-                F.coalesce(F.lag(prev).over(w), F.lit("")),
-                F.col(prev),
-                F.coalesce(F.lead(prev).over(w), F.lit("")),
-            )),
-        )
-    frag = {}
+        prev = F.col(f"h{r - 1}")
+        d = d.withColumn(f"h{r}", F.transform(prev, lambda x, i: F.when(x.isNotNull(), md5_prefix(
+            F.concat_ws(" ", F.coalesce(F.get(prev, i - 1), F.lit("")), x,
+                        F.coalesce(F.get(prev, i + 1), F.lit("")))))))
+    parts = [F.col(f"h{r}") for r in range(radius + 1)]
+    names = [f"h{r}" for r in range(radius + 1)]
     if with_fragments:
-        for r in range(radius + 1):
-            parts = [F.lag("tok", k).over(w) for k in range(r, 0, -1)] + [F.col("tok")] + \
-                    [F.lead("tok", k).over(w) for k in range(1, r + 1)]
+        t = F.col("t")
+
+        def window_text(r):
             # a window centred on a token without any letter cannot be rebuilt
             # into a fragment: null, like a failed rebuild
-            frag[r] = F.when(F.col("tok").rlike(r"\p{L}"), F.concat_ws(" ", *parts))
-            df = df.withColumn(f"f{r}", frag[r])
+            return lambda x, i: F.when(
+                x.rlike(r"\p{L}"), F.concat_ws(" ", *[F.get(t, i + k) for k in range(-r, r + 1)]))
+
+        for r in range(radius + 1):
+            d = d.withColumn(f"f{r}", F.transform(t, window_text(r)))
+            parts.append(F.col(f"f{r}"))
+            names.append(f"f{r}")
+    zipped = d.select("doc_id", F.posexplode(F.arrays_zip(*parts)).alias("pos", "z"))
+    zipped = zipped.filter(F.col("z.h0").isNotNull())
     envs = F.array(*[
         F.struct(
             F.lit(r).cast("int").alias("radius"),
-            F.col(f"h{r}").alias("ident"),
-            *([F.col(f"f{r}").alias("fragment")] if with_fragments else []),
+            F.col(f"z.h{r}").alias("ident"),
+            *([F.col(f"z.f{r}").alias("fragment")] if with_fragments else []),
         )
         for r in range(radius + 1)
     ])
-    out = df.filter(F.col("core")).select("doc_id", "pos", F.inline(envs))
+    out = zipped.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.inline(envs))
     return out.withColumn("bit", bit_of("ident", n_bits))
 
 

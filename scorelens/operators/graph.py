@@ -30,15 +30,18 @@ def undirected_simple(edges: DataFrame, group_col: str, a: str, b: str) -> DataF
     ).distinct()
 
 
-def _components_of_group(pdf):
-    """All components of one bounded group: vectorised min-label propagation
-    with pointer jumping over integer codes (codes sorted like the vertices,
-    so the smallest code of a component is its smallest vertex)."""
+def _components_of_bucket(pdf):
+    """All components of the (bounded) groups hashed to one bucket, in one
+    vectorised pass: vertices are coded by (group, vertex) in sorted order,
+    so the smallest code of a component is its smallest vertex, and labels
+    never cross groups.  Min-label propagation with pointer jumping."""
     import numpy as np
     import pandas as pd
 
     m = len(pdf)
-    codes, uniq = pd.factorize(pd.concat([pdf["u"], pdf["v"]], ignore_index=True), sort=True)
+    g = np.concatenate([pdf["g"].to_numpy(), pdf["g"].to_numpy()])
+    x = np.concatenate([pdf["u"].to_numpy(dtype=object), pdf["v"].to_numpy(dtype=object)])
+    codes, uniq = pd.factorize(pd.MultiIndex.from_arrays([g, x]), sort=True)
     a, b = codes[:m], codes[m:]
     lab = np.arange(len(uniq))
     while True:
@@ -49,7 +52,8 @@ def _components_of_group(pdf):
         lab = lab[lab]
         if np.array_equal(lab, prev):
             break
-    return pd.DataFrame({"g": pdf["g"].iloc[0], "x": uniq, "comp": uniq[lab]})
+    ux = np.asarray(uniq.get_level_values(1), dtype=object)
+    return pd.DataFrame({"g": uniq.get_level_values(0), "x": ux, "comp": ux[lab]})
 
 
 def _components_distributed(pairs: DataFrame, max_rounds: int, checkpoint_every: int = 4) -> DataFrame:
@@ -82,16 +86,21 @@ def connected_components(vertices: DataFrame, pairs: DataFrame, max_rounds: int
                          local_limit: int = 2_000_000) -> DataFrame:
     """vertices (g, x), pairs (g, u, v) -> (g, x, comp), comp = min vertex of the component.
 
-    Groups with at most ``local_limit`` edges are solved in one grouped pandas
-    pass (the group is bounded, so one task can hold it); larger groups go to
-    the distributed join loop.  Vertices without edges are their own component.
+    Groups with at most ``local_limit`` edges are hashed into buckets (4 per
+    shuffle partition) and each bucket is solved in one vectorised pandas
+    pass -- a bucket holds whole groups, each bounded, so a task never holds
+    an unbounded group.  Larger groups go to the distributed join loop.
+    Vertices without edges are their own component.
     """
     ensure_checkpoint_dir(vertices.sparkSession)
     sizes = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("_ne"))
     small = pairs.join(sizes.filter(F.col("_ne") <= local_limit), "g", "left_semi")
     big = pairs.join(sizes.filter(F.col("_ne") > local_limit), "g", "left_semi")
     schema = "g long, x string, comp string"
-    local = small.groupBy("g").applyInPandas(_components_of_group, schema)
+    # many bounded groups per bucket: one Python call per bucket, not per group
+    n_buckets = 4 * int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = small.withColumn("_b", F.pmod(F.xxhash64("g"), F.lit(n_buckets))) \
+        .groupBy("_b").applyInPandas(_components_of_bucket, schema)
     parts = [local]
     if big.limit(1).count() > 0:
         parts.append(_components_distributed(big, max_rounds).select("g", "x", "comp"))

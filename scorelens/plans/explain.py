@@ -53,8 +53,8 @@ def doc_labels_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_environments(spark: SparkSession, sf_dir: str, with_fragments: bool = False) -> DataFrame:
-    nodes = token_nodes(labelled_docs(spark, sf_dir).select("doc_id", "text"))
-    return FP.environments(nodes, FP.RADIUS, FP.N_BITS, with_fragments=with_fragments)
+    return FP.environments(labelled_docs(spark, sf_dir), FP.RADIUS, FP.N_BITS,
+                           with_fragments=with_fragments)
 
 
 def doc_bit_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

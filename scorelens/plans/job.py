@@ -34,7 +34,7 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     lab = inputs.labelled_documents(spark, sf_dir)
     nodes = token_nodes(lab.select("doc_id", "text"))
-    bits = FP.fingerprint_bits(FP.environments(nodes, FP.RADIUS, FP.N_BITS))
+    bits = FP.fingerprint_bits(FP.environments(lab, FP.RADIUS, FP.N_BITS))
     fp = FP.bits_to_vector(FP.fingerprint_table(lab.select("doc_id"), bits), "bits", "ecfp")
     desc = descriptor_table(lab.select("doc_id"), nodes, node_type_weights(spark))
     folds = inputs.document_folds(spark, sf_dir).select("doc_id", F.col("label").cast("double"), "fold")

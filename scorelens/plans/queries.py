@@ -131,19 +131,19 @@ def q_token_graph(spark, sf_dir):
 
 @register("fingerprint_r1")
 def q_fingerprint_r1(spark, sf_dir):
-    return FP.fingerprint_bits(FP.environments(_nodes(spark, sf_dir), radius=1))
+    return FP.fingerprint_bits(FP.environments(table(spark, sf_dir, "documents"), radius=1))
 
 
 @register("fingerprint_r3")
 def q_fingerprint_r3(spark, sf_dir):
-    return FP.fingerprint_bits(FP.environments(_nodes(spark, sf_dir), radius=3))
+    return FP.fingerprint_bits(FP.environments(table(spark, sf_dir, "documents"), radius=3))
 
 
 def labelled_fingerprints(spark, sf_dir):
     """F3 on the labelled documents: (doc_id, name, label, bits ARRAY<BIGINT>)."""
     lab = inputs.labelled_documents(spark, sf_dir)
     ents = lab.select("doc_id", F.col("source").alias("name"), F.col("label").cast("bigint"))
-    bits = FP.fingerprint_bits(FP.environments(_nodes(spark, sf_dir, lab), radius=FP.RADIUS))
+    bits = FP.fingerprint_bits(FP.environments(lab, radius=FP.RADIUS))
     return FP.fingerprint_table(ents, bits)
 
 
