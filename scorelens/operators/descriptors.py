@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.operators.graph import cycle_rank
-from scorelens.operators.tokens import token_edges
+from scorelens.operators.tokens import doc_edges, token_nodes
 
 DESCRIPTOR_COLUMNS = (
     "mol_wt", "exact_mol_wt", "log_p", "tpsa", "hbd", "hba", "rotatable_bonds",
@@ -145,7 +145,7 @@ def edge_descriptors(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
                       (ring - F.col("aromatic_rings")).alias("aliphatic_rings"))
 
 
-def descriptor_table(entities: DataFrame, nodes: DataFrame, weights: DataFrame,
+def descriptor_table(entities: DataFrame, docs: DataFrame, weights: DataFrame,
                      id_col: str = "doc_id") -> DataFrame:
     """entities LEFT JOIN their 15 descriptors; P8 fills only descriptor nulls with 0.
 
@@ -153,8 +153,8 @@ def descriptor_table(entities: DataFrame, nodes: DataFrame, weights: DataFrame,
     Three aggregates over the nodes (per node, per token, per pair); the pair
     table feeds both the counts and the component search, so it is persisted.
     """
-    tn = typed_nodes(nodes)
-    pairs = pair_table(token_edges(tn, carry=("tok", "len"))).persist(StorageLevel.MEMORY_AND_DISK)
+    tn = typed_nodes(token_nodes(docs.select("doc_id", "text")))
+    pairs = pair_table(doc_edges(docs)).persist(StorageLevel.MEMORY_AND_DISK)
     toks = token_aggregates(tn)
     feats = node_aggregates(tn, weights).join(toks, "doc_id", "left") \
         .join(edge_descriptors(pairs, toks), "doc_id", "left")

@@ -6,12 +6,15 @@ next one.  ``pos`` comes from ``posexplode`` of the split, so inner tokens are
 numbered contiguously (only a leading / trailing empty piece is dropped).
 
 Neighbourhood work (fingerprints, fragments, adjacent-pair descriptors) needs
-each token's neighbours up to a radius R.  A window partitioned by document
-would put a whole document in one task, so the token stream is cut into
-chunks of ``chunk`` positions, and every chunk also receives the R tokens on
-either side as a read-only halo.  Windows then run per (doc_id, chunk): a few
-thousand rows per window partition no matter how long a document is, and the
-core rows of every chunk get exactly the values a whole-document window gives.
+each token's neighbours.  A document is one row, so the neighbours are in
+the same row: ``doc_edges`` and ``fingerprint.environments`` work on the
+split array inside the row and never shuffle tokens.  For token tables that
+arrive without their document row, ``with_halo`` + ``token_edges`` give the
+same edges with windows over (doc_id, chunk) partitions: the token stream is
+cut into chunks of ``chunk`` positions, each chunk also gets the R tokens on
+either side as a read-only halo, so no window partition holds a whole
+document and the core rows get exactly the values a whole-document window
+gives.
 """
 
 from __future__ import annotations
@@ -75,3 +78,23 @@ def token_edges(nodes: DataFrame, chunk: int = DEFAULT_CHUNK,
         *[F.col(c).alias(f"src_{c}") for c in carry],
         *[f"dst_{c}" for c in carry],
     )
+
+
+def doc_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """F1 edges straight from the documents, without a shuffle.
+
+    A document is one row, so token i and token i+1 are zipped inside the
+    row (``arrays_zip`` of the split and its shift) and exploded; only pairs
+    of two non-empty tokens are edges.  Columns: doc_id, src_pos, dst_pos,
+    src_tok, dst_tok (lower case), src_len, dst_len (raw lengths).
+    """
+    d = spread(docs.select(id_col, text_col)).select(
+        F.col(id_col).alias("doc_id"), F.split(F.col(text_col), TOKEN_SPLIT).alias("a"))
+    d = d.withColumn("b", F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))))
+    z = d.select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "z"))
+    z = z.filter((F.col("z.a") != "") & F.col("z.b").isNotNull() & (F.col("z.b") != ""))
+    return z.select(
+        "doc_id", F.col("pos").cast("bigint").alias("src_pos"),
+        (F.col("pos") + 1).cast("bigint").alias("dst_pos"),
+        F.lower("z.a").alias("src_tok"), F.lower("z.b").alias("dst_tok"),
+        F.length("z.a").alias("src_len"), F.length("z.b").alias("dst_len"))

@@ -73,7 +73,7 @@ def doc_descriptor_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     per document.
     """
     ld = labelled_docs(spark, sf_dir)
-    desc = D.descriptor_table(ld.select("doc_id"), token_nodes(ld.select("doc_id", "text")),
+    desc = D.descriptor_table(ld.select("doc_id"), ld.select("doc_id", "text"),
                               D.node_type_weights(spark))
     cols = list(D.DESCRIPTOR_COLUMNS)
     z = FamilyScaler(inputCols=cols, outputCols=cols).fit(desc).transform(desc)

@@ -14,7 +14,6 @@ from scorelens.operators import fingerprint as FP
 from scorelens.operators import metrics as M
 from scorelens.operators import tuning as T
 from scorelens.operators.descriptors import descriptor_table, node_type_weights
-from scorelens.operators.tokens import token_nodes
 from scorelens.plans import inputs
 from scorelens.session import ensure_checkpoint_dir, scratch_path
 from scorelens.sources.files import scan_predictions
@@ -33,10 +32,9 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ensure_checkpoint_dir(spark)
     lab = inputs.labelled_documents(spark, sf_dir)
-    nodes = token_nodes(lab.select("doc_id", "text"))
     bits = FP.fingerprint_bits(FP.environments(lab, FP.RADIUS, FP.N_BITS))
     fp = FP.bits_to_vector(FP.fingerprint_table(lab.select("doc_id"), bits), "bits", "ecfp")
-    desc = descriptor_table(lab.select("doc_id"), nodes, node_type_weights(spark))
+    desc = descriptor_table(lab.select("doc_id"), lab.select("doc_id", "text"), node_type_weights(spark))
     folds = inputs.document_folds(spark, sf_dir).select("doc_id", F.col("label").cast("double"), "fold")
     feats = folds.join(fp.select("doc_id", "ecfp"), "doc_id").join(desc, "doc_id").checkpoint(eager=True)
     # many small fits follow: size partitions to the rows (1 partition per

@@ -126,7 +126,10 @@ def _nodes(spark, sf_dir, docs=None):
 
 @register("token_graph")
 def q_token_graph(spark, sf_dir):
-    return token_edges(_nodes(spark, sf_dir))
+    from scorelens.operators.tokens import doc_edges
+
+    return doc_edges(table(spark, sf_dir, "documents")).select(
+        "doc_id", "src_pos", "dst_pos", "src_tok", "dst_tok")
 
 
 @register("fingerprint_r1")
@@ -183,7 +186,7 @@ def _desc_select(df, keys):
 
 def document_descriptors(spark, sf_dir, docs=None):
     docs = docs if docs is not None else table(spark, sf_dir, "documents")
-    return D.descriptor_table(docs.select("doc_id"), _nodes(spark, sf_dir, docs),
+    return D.descriptor_table(docs.select("doc_id"), docs.select("doc_id", "text"),
                               D.node_type_weights(spark))
 
 

@@ -38,6 +38,16 @@ def test_environments_match_brute_force(spark):
         assert got.get(r["doc_id"], set()) == _python_bits(r["text"])
 
 
+def test_doc_edges_equal_window_edges(spark):
+    from scorelens.operators.tokens import doc_edges
+
+    nodes = token_nodes(_docs(spark)).withColumn("len", F.length("tok_raw"))
+    a = token_edges(nodes, chunk=5, carry=("tok", "len")).select(
+        "doc_id", "src_pos", "dst_pos", "src_tok", "dst_tok", "src_len", "dst_len")
+    b = doc_edges(_docs(spark))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_edges_cross_chunks(spark):
     nodes = token_nodes(_docs(spark))
     a = token_edges(nodes, chunk=5)
