@@ -524,3 +524,80 @@ def q_predictions_scan(spark, sf_dir):
     from scorelens.sources.files import scan_predictions
 
     return scan_predictions(spark, path)
+
+
+# ------------------------------------------------------------ fitted-model attributions (E1-E4, rows-only)
+
+def _fold1_fit(spark, sf_dir, model, feature_set):
+    from scorelens.operators import tuning as T
+
+    feats = JOB.document_features(spark, sf_dir)
+    train, test = feats.filter(F.col("fold") != 1), feats.filter(F.col("fold") == 1)
+    best, params, score = T.grid_search(train, feature_set, model, quick=True)
+    return feats, train, test, best
+
+
+@register("tree_attr")
+def q_tree_attr(spark, sf_dir):
+    """E2 + E3: TreeSHAP of the fold-1 forest (quick grid) on its test rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    from scorelens.operators import treeshap as TS
+
+    _, _, test, best = _fold1_fit(spark, sf_dir, "rf", "Descriptors")
+    forest = best.stages[-1]
+    tables = TS.tree_tables(spark, forest, "rf")
+    prepared = test
+    for stage in best.stages[:-1]:
+        prepared = stage.transform(prepared)
+    rows = prepared.withColumn("x", vector_to_array("features"))
+    att = TS.explain_rows(rows, tables, "x", ["doc_id"], forest.numFeatures)
+    return att.select("doc_id", r6("baseline", "baseline"), r6("output", "output"),
+                      r6(A.attribution_sum("phi"), "phi_sum"))
+
+
+@register("logreg_attr")
+def q_logreg_attr(spark, sf_dir):
+    """E1 + E3 + E4: linear attributions of the fold-1 LogReg in its scaled space;
+    background = mean of the transformed training rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    _, train, test, best = _fold1_fit(spark, sf_dir, "logreg", "Descriptors")
+    lr = best.stages[-1]
+
+    def prep(df):
+        for stage in best.stages[:-1]:
+            df = stage.transform(df)
+        return df.withColumn("x", vector_to_array("features"))
+
+    dim = lr.numFeatures
+    mu = A.feature_means(prep(train), "x", dim)["all"]
+    att = A.linear_attributions(prep(test), "x", lr.coefficients.toArray().tolist(), mu,
+                                float(lr.intercept))
+    return att.select("doc_id", r6("baseline", "baseline"), r6("raw_score", "raw_score"),
+                      r6(A.attribution_sum("phi"), "phi_sum"))
+
+
+def _grid_search_rows(spark, sf_dir):
+    from scorelens.operators import tuning as T
+
+    feats = JOB.document_features(spark, sf_dir)
+    train = feats.filter(F.col("fold") != 1)
+    _, params, score = T.grid_search(train, "Descriptors", "logreg", quick=False, score_single=True)
+    row = [("Descriptors", "logreg", {f"clf__{k}": str(v) for k, v in params.items()}, float(score))]
+    return spark.createDataFrame(
+        row, "feature_set string, model string, best_params map<string,string>, "
+             "inner_cv_best_score double")
+
+
+@register("grid_search")
+def q_grid_search(spark, sf_dir):
+    """M5: full LogReg grid (4 points) by mean inner ROC-AUC on the fold-1 training rows."""
+    return _grid_search_rows(spark, sf_dir)
+
+
+@register("params_json")
+def q_params_json(spark, sf_dir):
+    """S8 + P12: the best parameters as JSON, estimator prefix stripped."""
+    return IO.best_params_json(_grid_search_rows(spark, sf_dir)).select(
+        "feature_set", "model", "params_json")
