@@ -31,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.operators.graph import cycle_rank
+from scorelens.operators.graph import component_counts
 from scorelens.operators.tokens import doc_edges, token_nodes
 
 DESCRIPTOR_COLUMNS = (
@@ -134,10 +134,10 @@ def edge_descriptors(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
     short = pairs.filter(F.col("short") & (F.col("u") != F.col("v"))).select(
         F.col("doc_id").alias("g"), "u", "v")
-    touched = short.select("g", F.col("u").alias("x")).unionByName(
-        short.select("g", F.col("v").alias("x"))).distinct()
-    arom = cycle_rank(touched, short).select(F.col("g").alias("doc_id"),
-                                              F.col("cycle_rank").alias("aromatic_rings"))
+    e_short = short.groupBy("g").agg(F.count(F.lit(1)).alias("_es"))
+    arom = component_counts(short).join(e_short, "g").select(
+        F.col("g").alias("doc_id"),
+        (F.col("_es") - F.col("n_vertices") + F.col("n_components")).alias("aromatic_rings"))
     out = tokens.select("doc_id", "n_tokens_distinct").join(counts, "doc_id", "left") \
         .join(arom, "doc_id", "left").na.fill(0, ["rotatable_bonds", "_e", "aromatic_rings"])
     ring = F.col("_e") - F.col("n_tokens_distinct") + 1

@@ -56,6 +56,19 @@ def _components_of_bucket(pdf):
     return pd.DataFrame({"g": uniq.get_level_values(0), "x": ux, "comp": ux[lab]})
 
 
+def _component_counts_of_bucket(pdf):
+    """Per group of the bucket: vertices touched by an edge and their components."""
+    import numpy as np
+    import pandas as pd
+
+    lab = _components_of_bucket(pdf)
+    if lab.empty:
+        return pd.DataFrame({"g": np.array([], dtype="int64"), "n_vertices": np.array([], dtype="int64"),
+                             "n_components": np.array([], dtype="int64")})
+    out = lab.groupby("g").agg(n_vertices=("x", "size"), n_components=("comp", "nunique")).reset_index()
+    return out.astype({"g": "int64", "n_vertices": "int64", "n_components": "int64"})
+
+
 def _components_distributed(pairs: DataFrame, max_rounds: int, checkpoint_every: int = 4) -> DataFrame:
     """Min-label propagation by join + group-by, keyed by (group, vertex)."""
     arcs = pairs.select("g", F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(
@@ -109,6 +122,29 @@ def connected_components(vertices: DataFrame, pairs: DataFrame, max_rounds: int
     return out.select("g", "x", F.coalesce("comp", "x").alias("comp"))
 
 
+def component_counts(pairs: DataFrame, max_rounds: int = 200,
+                     local_limit: int = 2_000_000) -> DataFrame:
+    """(g, n_vertices, n_components) over the vertices that touch an edge.
+
+    Same split as ``connected_components``; the bounded groups return their
+    two counts straight from the bucket pass, so nothing per vertex is
+    shuffled again.
+    """
+    ensure_checkpoint_dir(pairs.sparkSession)
+    sizes = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("_ne"))
+    small = pairs.join(sizes.filter(F.col("_ne") <= local_limit), "g", "left_semi")
+    big = pairs.join(sizes.filter(F.col("_ne") > local_limit), "g", "left_semi")
+    n_buckets = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = small.withColumn("_b", F.pmod(F.xxhash64("g"), F.lit(n_buckets))) \
+        .groupBy("_b").applyInPandas(_component_counts_of_bucket,
+                                     "g long, n_vertices long, n_components long")
+    if big.limit(1).count() > 0:
+        labels = _components_distributed(big, max_rounds)
+        out = out.unionByName(labels.groupBy("g").agg(
+            F.count(F.lit(1)).alias("n_vertices"), F.count_distinct("comp").alias("n_components")))
+    return out
+
+
 def cycle_rank(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     """(g, n_vertices, n_edges, n_components, cycle_rank) per group."""
     comps = connected_components(vertices, pairs)

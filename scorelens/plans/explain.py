@@ -73,8 +73,10 @@ def doc_descriptor_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     per document.
     """
     ld = labelled_docs(spark, sf_dir)
+    # read three times below (scaler fit, class means, deviations): one row per
+    # document, so it is checkpointed once instead of re-derived from the text
     desc = D.descriptor_table(ld.select("doc_id"), ld.select("doc_id", "text"),
-                              D.node_type_weights(spark))
+                              D.node_type_weights(spark)).checkpoint(eager=True)
     cols = list(D.DESCRIPTOR_COLUMNS)
     z = FamilyScaler(inputCols=cols, outputCols=cols).fit(desc).transform(desc)
     longz = z.select("doc_id", F.explode(F.array(*[

@@ -310,7 +310,8 @@ def q_scale_descriptors(spark, sf_dir):
 
     lab = inputs.labelled_documents(spark, sf_dir)
     desc = document_descriptors(spark, sf_dir, lab).join(
-        inputs.document_folds(spark, sf_dir).select("doc_id", "fold"), "doc_id")
+        inputs.document_folds(spark, sf_dir).select("doc_id", "fold"), "doc_id") \
+        .checkpoint(eager=True)  # fitted on, then transformed: derive it once
     cols = list(D.DESCRIPTOR_COLUMNS)
     model = FamilyScaler(inputCols=cols, outputCols=cols).fit(desc.filter(F.col("fold") != 1))
     out = model.transform(desc)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scorelens.operators import fingerprint as FP
-from scorelens.operators.graph import connected_components, cycle_rank
+from scorelens.operators.graph import component_counts, connected_components, cycle_rank
 from scorelens.operators.tokens import token_edges, token_nodes
 
 from conftest import SF
@@ -77,6 +77,8 @@ def test_cycle_ranks_of_small_graphs(spark):
         pairs.select("g", F.col("v").alias("x"))).distinct()
     ranks = {r["g"]: r["cycle_rank"] for r in cycle_rank(verts, pairs).collect()}
     assert ranks == {1: 1, 2: 0, 3: 2}
+    counts = {r["g"]: (r["n_vertices"], r["n_components"]) for r in component_counts(pairs).collect()}
+    assert counts == {1: (6, 1), 2: (3, 1), 3: (4, 1)}
 
 
 def test_distributed_components_equal_local(spark):
