@@ -22,19 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.sources.tables import spread
 
 TOKEN_SPLIT = r"[ \n]+"
 DEFAULT_CHUNK = 4096
 
 
 def token_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, tok_raw, tok): one row per non-empty token, whole text.
-
-    A narrow scan is spread over the cluster first (``spread``): splitting
-    and lower-casing long texts is the CPU-heavy step.
-    """
-    pieces = spread(docs.select(id_col, text_col)).select(
+    """(doc_id, pos, tok_raw, tok): one row per non-empty token, whole text."""
+    pieces = docs.select(
         F.col(id_col).alias("doc_id"),
         F.posexplode(F.split(F.col(text_col), TOKEN_SPLIT)).alias("pos", "tok_raw"),
     )
@@ -88,7 +83,7 @@ def doc_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     of two non-empty tokens are edges.  Columns: doc_id, src_pos, dst_pos,
     src_tok, dst_tok (lower case), src_len, dst_len (raw lengths).
     """
-    d = spread(docs.select(id_col, text_col)).select(
+    d = docs.select(
         F.col(id_col).alias("doc_id"), F.split(F.col(text_col), TOKEN_SPLIT).alias("a"))
     d = d.withColumn("b", F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))))
     z = d.select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "z"))

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.session import scratch_path
-from scorelens.sources.tables import spread
 
 
 def tree_tables(spark: SparkSession, model, kind: str) -> dict:
@@ -149,5 +148,7 @@ def explain_rows(df: DataFrame, tables: dict, features: str, keys: list[str], di
 
     key_fields = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
     schema = f"{key_fields}, baseline double, output double, phi array<double>"
-    # per-row Python work: never leave it on fewer tasks than the cluster has cores
-    return spread(df.select(*keys, features)).mapInPandas(run, schema)
+    # per-row Python work dwarfs a round-robin shuffle of the rows: spread them
+    # over at least as many tasks as the cluster has cores
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.select(*keys, features).repartition(n).mapInPandas(run, schema)

@@ -123,8 +123,10 @@ def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFra
 
 def first_fragments(spark: SparkSession, sf_dir: str, bits: DataFrame) -> DataFrame:
     """(doc_id, bit, radius, pos, fragment) -- first environment per (doc, selected bit)."""
-    envs = doc_environments(spark, sf_dir, with_fragments=True)
-    return FP.first_environment_per_bit(envs, bits.select(F.col("feature_idx").alias("bit")))
+    envs = doc_environments(spark, sf_dir)
+    first = FP.first_environment_per_bit(envs, bits.select(F.col("feature_idx").alias("bit")))
+    return FP.fragment_text(labelled_docs(spark, sf_dir), first).select(
+        "doc_id", "bit", "radius", "pos", "fragment")
 
 
 def fragment_rows(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame:

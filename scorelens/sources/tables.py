@@ -10,11 +10,19 @@ TABLES = (
 )
 
 
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan: Catalyst prunes columns and pushes filters into it."""
+    """Lazy parquet scan: Catalyst prunes columns and pushes filters into it.
+
+    Text tables feed CPU-heavy per-row work, so a narrow scan of one is
+    spread over the cluster (``spread``; a no-op for a many-split input).
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -23,7 +31,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A table stored as one file with one row group scans as one task; the
     CPU-heavy per-row work after it (tokenising long texts, hashing) would
     then run on one core.  On a large input the scan already has thousands
-    of splits and this is a no-op.  The check is planning-only.
+    of splits and this is a no-op.  Call it on a plain scan: there the
+    partition count is planning-only (on a plan with shuffles it is not).
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
