@@ -99,10 +99,24 @@ def combined_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_bit_importance(spark, sf_dir).unionByName(doc_descriptor_importance(spark, sf_dir))
 
 
+_TOP: dict = {}
+
+
+def _once(key, build):
+    """A small derived table (a top-N list: models x N rows), computed once per
+    (session, table folder) and checkpointed, so the reports that read it
+    several times do not re-derive it from the text."""
+    if key not in _TOP:
+        _TOP[key] = build().checkpoint(eager=True)
+    return _TOP[key]
+
+
 def top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
     """W4 after P5: top-n hashed slots per model, ties by slot."""
-    ecfp = I.family_filter(doc_bit_importance(spark, sf_dir))
-    return I.top_n_per_group(ecfp, ["model"], n)
+    def build():
+        ecfp = I.family_filter(doc_bit_importance(spark, sf_dir))
+        return I.top_n_per_group(ecfp, ["model"], n)
+    return _once(("top", id(spark), sf_dir, n), build)
 
 
 def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
@@ -118,7 +132,7 @@ def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFra
     pooled = I.mean_of_fold_means(per_fold, ["model", "bit"], fold="outer_fold")
     pooled = pooled.withColumnRenamed("bit", "feature_idx").withColumn(
         "feature", I.feature_name(I.ECFP_PREFIX, "feature_idx"))
-    return I.top_n_per_group(pooled, ["model"], n)
+    return _once(("pooled", id(spark), sf_dir, n), lambda: I.top_n_per_group(pooled, ["model"], n))
 
 
 def first_fragments(spark: SparkSession, sf_dir: str, bits: DataFrame) -> DataFrame:
@@ -138,10 +152,11 @@ def fragment_rows(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame
     top = top.select("model", F.col("feature_idx").alias("bit"))
     first = first_fragments(spark, sf_dir, top.select(F.col("bit").alias("feature_idx")))
     names = labelled_docs(spark, sf_dir).select("doc_id", F.col("source").alias("name"))
+    # read twice below (rows and the resolved check); bounded by entities x top-N
     rows = top.join(first, "bit", "inner").join(names, "doc_id", "inner").select(
         "model", "name", "doc_id", "bit", "fragment",
         F.when(F.col("fragment").isNotNull(), F.lit(NOTE_RESOLVED))
-        .otherwise(F.lit(NOTE_FAILED)).alias("note"))
+        .otherwise(F.lit(NOTE_FAILED)).alias("note")).checkpoint(eager=True)
     resolved = rows.groupBy("model", "bit").agg(
         F.bool_or(F.col("fragment").isNotNull()).alias("_ok"))
     missing = top.join(resolved.filter("_ok"), ["model", "bit"], "left_anti")
