@@ -25,10 +25,22 @@ def labelled_documents(spark: SparkSession, sf_dir: str, label: str = "toxic") -
     return docs.join(labels, "doc_id", "inner").filter(F.col("label").isNotNull())
 
 
+_FOLDS: dict = {}
+
+
 def document_folds(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFrame:
-    """(doc_id, label, fold) for the labelled documents, stratified, seed 42."""
-    ids = labelled_documents(spark, sf_dir, label).select("doc_id", "label")
-    return stratified_folds(ids, "doc_id", "label", k=N_FOLDS, seed=SEED)
+    """(doc_id, label, fold) for the labelled documents, stratified, seed 42.
+
+    Every metric, scaler and CV query reads the folds, often several times in
+    one plan; they are one row per entity, so they are derived once per
+    (session, table folder) and checkpointed to the shared checkpoint folder.
+    """
+    key = (id(spark), sf_dir, label)
+    if key not in _FOLDS:
+        ids = labelled_documents(spark, sf_dir, label).select("doc_id", "label")
+        _FOLDS[key] = stratified_folds(ids, "doc_id", "label", k=N_FOLDS, seed=SEED) \
+            .checkpoint(eager=True)
+    return _FOLDS[key]
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
