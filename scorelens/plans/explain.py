@@ -116,7 +116,7 @@ def top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
     def build():
         ecfp = I.family_filter(doc_bit_importance(spark, sf_dir))
         return I.top_n_per_group(ecfp, ["model"], n)
-    return _once(("top", id(spark), sf_dir, n), build)
+    return _once(("top", spark.sparkContext.applicationId, sf_dir, n), build)
 
 
 def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
@@ -132,7 +132,7 @@ def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFra
     pooled = I.mean_of_fold_means(per_fold, ["model", "bit"], fold="outer_fold")
     pooled = pooled.withColumnRenamed("bit", "feature_idx").withColumn(
         "feature", I.feature_name(I.ECFP_PREFIX, "feature_idx"))
-    return _once(("pooled", id(spark), sf_dir, n), lambda: I.top_n_per_group(pooled, ["model"], n))
+    return _once(("pooled", spark.sparkContext.applicationId, sf_dir, n), lambda: I.top_n_per_group(pooled, ["model"], n))
 
 
 def first_fragments(spark: SparkSession, sf_dir: str, bits: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ _FITTED: dict = {}
 
 def embedding_models(spark: SparkSession, sf_dir: str):
     """Fit the three embedding models once per (session, table folder)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
         emb = table(spark, sf_dir, "embeddings")
         _FITTED[key] = A.class_mean_differences(

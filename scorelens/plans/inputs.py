@@ -35,7 +35,7 @@ def document_folds(spark: SparkSession, sf_dir: str, label: str = "toxic") -> Da
     one plan; they are one row per entity, so they are derived once per
     (session, table folder) and checkpointed to the shared checkpoint folder.
     """
-    key = (id(spark), sf_dir, label)
+    key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _FOLDS:
         ids = labelled_documents(spark, sf_dir, label).select("doc_id", "label")
         _FOLDS[key] = stratified_folds(ids, "doc_id", "label", k=N_FOLDS, seed=SEED) \
