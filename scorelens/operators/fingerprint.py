@@ -30,7 +30,7 @@ RADIUS = 3
 
 def environments(docs: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
                  with_fragments: bool = False, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", fragment_bits: list[int] | None = None) -> DataFrame:
     """(doc_id, pos, radius, ident, bit[, fragment]) for every token and radius 0..R.
 
     Input: one row per document (id, text).  A document is one row, so every
@@ -41,7 +41,10 @@ def environments(docs: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
 
     ``fragment`` is the text the identifier covers: tokens pos-r .. pos+r,
     clipped at the document ends; null when the centre token has no letter
-    (the fragment cannot be rebuilt).  It is only computed when asked for.
+    (the fragment cannot be rebuilt).  It is only computed when asked for,
+    and with ``fragment_bits`` (a short list, e.g. a top-N) only for the
+    environments whose slot is in the list -- inside the row, so selecting
+    fragments never moves document text.
     """
     raw = F.split(F.col(text_col), TOKEN_SPLIT)
     d = docs.select(
@@ -58,11 +61,18 @@ def environments(docs: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
     if with_fragments:
         t = F.col("t")
 
+        wanted = F.array(*[F.lit(int(b)).cast("bigint") for b in fragment_bits]) \
+            if fragment_bits is not None else None
+
         def window_text(r):
             # a window centred on a token without any letter cannot be rebuilt
             # into a fragment: null, like a failed rebuild
-            return lambda x, i: F.when(
-                x.rlike(r"\p{L}"), F.concat_ws(" ", *[F.get(t, i + k) for k in range(-r, r + 1)]))
+            def fn(x, i):
+                ok = x.rlike(r"\p{L}")
+                if wanted is not None:
+                    ok = ok & F.array_contains(wanted, bit_of(F.get(F.col(f"h{r}"), i), n_bits))
+                return F.when(ok, F.concat_ws(" ", *[F.get(t, i + k) for k in range(-r, r + 1)]))
+            return fn
 
         for r in range(radius + 1):
             d = d.withColumn(f"f{r}", F.transform(t, window_text(r)))

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.exprs import safe_div
@@ -121,18 +121,25 @@ def roc_points(thresholds: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 def roc_points_reduced(points: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Drop ROC points that lie on the segment between their neighbours.
 
-    A point is kept if it is the first or last of its group or the second
-    difference is non-zero (the curve turns there).  Integer cross product of
-    the count differences avoids float noise.  The window runs over distinct
-    thresholds only (bounded by the score resolution of one group).
+    Input: the threshold table (``threshold`` = distinct score, pos, neg,
+    cumulative counts).  Point i is kept if it is the first or the last of its
+    group, or if its step (neg_i, pos_i) is not parallel to the next step
+    (neg_i+1, pos_i+1): neg_i * pos_i+1 - pos_i * neg_i+1 != 0 (integers, no
+    float noise).  The previous point's step is the row's own counts; the
+    next one comes from an equi-join on (group, rank + 1), where the rank is
+    an exact running count -- no window over a whole group.
     """
-    w = Window.partitionBy(*group_cols).orderBy(F.col("threshold").desc())
-    prev_n, prev_p = F.lag("cum_neg").over(w), F.lag("cum_pos").over(w)
-    next_n, next_p = F.lead("cum_neg").over(w), F.lead("cum_pos").over(w)
-    turn = ((F.col("cum_neg") - prev_n) * (next_p - F.col("cum_pos"))
-            - (F.col("cum_pos") - prev_p) * (next_n - F.col("cum_neg")))
-    with_turn = points.withColumn("_turn", turn)
-    return with_turn.filter(F.col("_turn").isNull() | (F.col("_turn") != 0)).drop("_turn")
+    group_cols = list(group_cols)
+    ranked = points.withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = quantile_buckets(ranked, group_cols, "threshold", n_buckets=64, name="_rb")
+    ranked = running_totals(ranked, group_cols, ["_rb"], ["threshold"], ["_one"],
+                            descending=True, prefix="_r").drop("_rb", "_one")
+    nxt = ranked.select(*group_cols, (F.col("_r_one") - 1).alias("_r_one"),
+                        F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
+    j = ranked.join(nxt, group_cols + ["_r_one"], "left")
+    turn = F.col("neg") * F.col("_npos") - F.col("pos") * F.col("_nneg")
+    keep = (F.col("_r_one") == 1) | F.col("_npos").isNull() | (turn != 0)
+    return j.filter(keep).drop("_r_one", "_npos", "_nneg")
 
 
 def fold_metrics(pred: DataFrame, group_cols: Sequence[str], y_true: str = "y_true",

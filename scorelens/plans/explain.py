@@ -137,10 +137,13 @@ def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFra
 
 def first_fragments(spark: SparkSession, sf_dir: str, bits: DataFrame) -> DataFrame:
     """(doc_id, bit, radius, pos, fragment) -- first environment per (doc, selected bit)."""
-    envs = doc_environments(spark, sf_dir)
-    first = FP.first_environment_per_bit(envs, bits.select(F.col("feature_idx").alias("bit")))
-    return FP.fragment_text(labelled_docs(spark, sf_dir), first).select(
-        "doc_id", "bit", "radius", "pos", "fragment")
+    # the selected slots are a top-N list (models x N values): they go into the
+    # row-level pass as a literal, so fragments are built only where needed
+    wanted = sorted({int(r[0]) for r in bits.select("feature_idx").collect()})
+    envs = FP.environments(labelled_docs(spark, sf_dir), FP.RADIUS, FP.N_BITS,
+                           with_fragments=True, fragment_bits=wanted)
+    envs = envs.filter(F.col("bit").isin(wanted))
+    return FP.first_environment_per_bit(envs).select("doc_id", "bit", "radius", "pos", "fragment")
 
 
 def fragment_rows(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame:
