@@ -112,11 +112,3 @@ def mean_abs(long_df: DataFrame, keys: Sequence[str], feature: str = "feature_id
              phi: str = "phi") -> DataFrame:
     """A2 + P17: mean |phi| per (keys, feature) -- partial aggregation on the map side."""
     return long_df.groupBy(*keys, feature).agg(F.avg(F.abs(F.col(phi))).alias("mean_abs"))
-
-
-def mean_abs_wide(df: DataFrame, keys: Sequence[str], phi: str, dim: int) -> DataFrame:
-    """A2 without an explode: one aggregate with a column per slot, then unpivot the tiny result."""
-    agg = df.groupBy(*keys).agg(*[F.avg(F.abs(F.col(phi)[j])).alias(f"s{j}") for j in range(dim)])
-    stacked = F.explode(F.array(*[F.struct(F.lit(j).cast("bigint").alias("feature_idx"),
-                                           F.col(f"s{j}").alias("mean_abs")) for j in range(dim)]))
-    return agg.select(*keys, stacked.alias("_s")).select(*keys, "_s.feature_idx", "_s.mean_abs")

@@ -138,27 +138,6 @@ def first_environment_per_bit(envs: DataFrame, bits: DataFrame | None = None) ->
     return first.select("doc_id", "bit", "_f.*")
 
 
-def fragment_text(docs: DataFrame, envs: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """Add ``fragment`` to a (small) set of environments (doc_id, pos, radius, ...).
-
-    The text is cut from the document's own token array -- tokens
-    pos-r .. pos+r of the raw split, empty pieces dropped -- so fragments are
-    built only for the rows asked for, not for every token of the corpus.
-    Null when the centre token has no letter.  Same text as
-    ``environments(with_fragments=True)``.
-    """
-    toks = docs.select(F.col(id_col).alias("doc_id"),
-                       F.split(F.col(text_col), TOKEN_SPLIT).alias("_a"))
-    j = envs.join(toks, "doc_id", "inner")
-    lo = F.greatest(F.col("pos") - F.col("radius"), F.lit(0))
-    hi = F.least(F.col("pos") + F.col("radius"), F.size("_a") - 1)
-    window = F.slice("_a", (lo + 1).cast("int"), (hi - lo + 1).cast("int"))
-    text = F.array_join(F.transform(F.filter(window, lambda x: x != ""), lambda x: F.lower(x)), " ")
-    centre = F.lower(F.get(F.col("_a"), F.col("pos").cast("int")))
-    return j.withColumn("fragment", F.when(centre.rlike(r"\p{L}"), text)).drop("_a")
-
-
 def bit_collisions(envs: DataFrame) -> DataFrame:
     """slots that hold more than one distinct fragment, with the count."""
     return (

@@ -83,11 +83,12 @@ def grid_search(train: DataFrame, feature_set: str, model: str, quick: bool = Tr
 
 
 def outer_fold_job(features: DataFrame, feature_set: str, model: str, fold: int, quick: bool,
-                   dataset: str, parallelism: int = 4):
+                   dataset: str, parallelism: int = 4, score_single: bool = False):
     """One (feature set, model, outer fold): tune on train, score test."""
     train = features.filter(F.col("fold") != fold)
     test = features.filter(F.col("fold") == fold)
-    best, params, score = grid_search(train, feature_set, model, quick, parallelism=parallelism)
+    best, params, score = grid_search(train, feature_set, model, quick, parallelism=parallelism,
+                                      score_single=score_single)
     pred = positive_probability(best.transform(test)).select(
         F.lit(dataset).alias("dataset"), F.lit(feature_set).alias("feature_set"),
         F.lit(model).alias("model"), F.lit(fold).cast("bigint").alias("fold"),
@@ -101,7 +102,7 @@ def outer_fold_job(features: DataFrame, feature_set: str, model: str, fold: int,
 
 def nested_cv(features: DataFrame, out_path: str, feature_sets=("Descriptors",), models=("logreg",),
               quick: bool = True, dataset: str = "documents", n_folds: int = 5,
-              workers: int = 8, parallelism: int = 2):
+              workers: int = 8, parallelism: int = 2, score_single: bool = False):
     """M8 + M10: run the job table and write predictions partitioned by
     (dataset, feature_set, model, fold).  Unknown models are skipped (P19).
 
@@ -116,7 +117,7 @@ def nested_cv(features: DataFrame, out_path: str, feature_sets=("Descriptors",),
 
     def run(job):
         fs, m, f = job
-        pred, info, _ = outer_fold_job(features, fs, m, f, quick, dataset, parallelism)
+        pred, info, _ = outer_fold_job(features, fs, m, f, quick, dataset, parallelism, score_single)
         write_partitioned(pred, out_path)
         return info
 

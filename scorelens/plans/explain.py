@@ -19,7 +19,6 @@ from scorelens.operators import descriptors as D
 from scorelens.operators import fingerprint as FP
 from scorelens.operators import importance as I
 from scorelens.operators.scaling import FamilyScaler
-from scorelens.operators.tokens import token_nodes
 from scorelens.plans import inputs
 from scorelens.sources.tables import table
 

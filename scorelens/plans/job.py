@@ -44,10 +44,11 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_nested_cv(spark: SparkSession, sf_dir: str, feature_sets=FLAGSHIP_SETS,
-                  models=FLAGSHIP_MODELS, quick: bool = True) -> tuple[str, list[dict]]:
+                  models=FLAGSHIP_MODELS, quick: bool = True,
+                  score_single: bool = False) -> tuple[str, list[dict]]:
     feats = document_features(spark, sf_dir)
     out = scratch_path(spark, "results")
-    info = T.nested_cv(feats, out, feature_sets, models, quick=quick)
+    info = T.nested_cv(feats, out, feature_sets, models, quick=quick, score_single=score_single)
     return out, info
 
 

@@ -116,12 +116,6 @@ def q_class_weights(spark, sf_dir):
 
 from scorelens.operators import descriptors as D  # noqa: E402
 from scorelens.operators import fingerprint as FP  # noqa: E402
-from scorelens.operators.tokens import token_edges, token_nodes  # noqa: E402
-
-
-def _nodes(spark, sf_dir, docs=None):
-    docs = docs if docs is not None else table(spark, sf_dir, "documents")
-    return token_nodes(docs.select("doc_id", "text"))
 
 
 @register("token_graph")
@@ -602,3 +596,16 @@ def q_params_json(spark, sf_dir):
     """S8 + P12: the best parameters as JSON, estimator prefix stripped."""
     return IO.best_params_json(_grid_search_rows(spark, sf_dir)).select(
         "feature_set", "model", "params_json")
+
+
+@register("nested_cv")
+def q_nested_cv(spark, sf_dir):
+    """M8: per outer fold, the tuned parameters and the inner CV score (quick grid,
+    its one point scored by the inner folds), as written next to each fold's predictions."""
+    _, info = JOB.run_nested_cv(spark, sf_dir, ("Descriptors",), ("logreg",), quick=True,
+                                score_single=True)
+    return spark.createDataFrame(
+        [(i["dataset"], i["feature_set"], i["model"], int(i["fold"]), i["best_params"],
+          i["inner_cv_best_score"]) for i in info],
+        "dataset string, feature_set string, model string, fold long, best_params string, "
+        "inner_cv_best_score double")
