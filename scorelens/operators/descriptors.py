@@ -72,7 +72,10 @@ def typed_nodes(nodes: DataFrame) -> DataFrame:
 
 def node_aggregates(nodes: DataFrame, weights: DataFrame, weight_cols=WEIGHT_COLUMNS,
                     max_types: int = 100_000) -> DataFrame:
-    """Every per-node count and sum in ONE group-by, weights included.
+    """Every per-node count and sum, the distinct-token count and the token
+    entropy, from ONE pass over the nodes and a two-level aggregate:
+    per (doc, token) first -- repeated tokens collapse on the map side -- then
+    per doc.  class_entropy = log2(n) - sum(c log2 c) / n over token counts c.
 
     The weight table (one row per node type) is the additive-contribution
     input.  Its row count is checked -- a tiny action on a tiny table --
@@ -82,28 +85,28 @@ def node_aggregates(nodes: DataFrame, weights: DataFrame, weight_cols=WEIGHT_COL
     w = F.broadcast(w) if weights.count() <= max_types else w
     joined = nodes.join(w, F.col("type") == F.col("_wtype"), "left")
     first = F.substring("tok_raw", 1, 1)
-    return joined.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("heavy_atoms"),
-        F.sum("len").cast("double").alias("mol_wt"),
-        F.sum(F.octet_length("tok_raw")).cast("double").alias("exact_mol_wt"),
-        F.count_if(F.col("tok_raw").rlike("[0-9]")).alias("hbd"),
-        F.count_if(first != F.lower(first)).alias("hba"),
-        F.count_if(F.col("tok").rlike("^[aeiou]")).alias("_vowel"),
-        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in weight_cols],
+    per_tok = joined.groupBy("doc_id", "tok").agg(
+        F.count(F.lit(1)).alias("c"),
+        F.sum("len").alias("s_len"),
+        F.sum(F.octet_length("tok_raw")).alias("s_oct"),
+        F.count_if(F.col("tok_raw").rlike("[0-9]")).alias("s_hbd"),
+        F.count_if(first != F.lower(first)).alias("s_hba"),
+        F.count_if(F.col("tok").rlike("^[aeiou]")).alias("s_vowel"),
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}") for c in weight_cols],
     )
-
-
-def token_aggregates(nodes: DataFrame) -> DataFrame:
-    """Distinct tokens per doc (V) and the entropy of their counts, one two-level aggregate.
-
-    class_entropy = log2(n) - sum(c log2 c) / n.
-    """
-    counts = nodes.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("c"))
-    agg = counts.groupBy("doc_id").agg(
+    per_doc = per_tok.groupBy("doc_id").agg(
+        F.sum("c").alias("heavy_atoms"),
+        F.sum("s_len").cast("double").alias("mol_wt"),
+        F.sum("s_oct").cast("double").alias("exact_mol_wt"),
+        F.sum("s_hbd").alias("hbd"),
+        F.sum("s_hba").alias("hba"),
+        F.sum("s_vowel").alias("_vowel"),
+        *[F.sum(f"s_{c}").alias(c) for c in weight_cols],
         F.count(F.lit(1)).alias("n_tokens_distinct"),
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.log2(F.col("c"))).alias("s"))
-    return agg.select("doc_id", "n_tokens_distinct",
-                      (F.log2("n") - F.col("s") / F.col("n")).alias("class_entropy"))
+        F.sum(F.col("c") * F.log2(F.col("c"))).alias("_clogc"),
+    )
+    return per_doc.withColumn(
+        "class_entropy", F.log2("heavy_atoms") - F.col("_clogc") / F.col("heavy_atoms")).drop("_clogc")
 
 
 def pair_table(edges: DataFrame) -> DataFrame:
@@ -150,14 +153,14 @@ def descriptor_table(entities: DataFrame, docs: DataFrame, weights: DataFrame,
     """entities LEFT JOIN their 15 descriptors; P8 fills only descriptor nulls with 0.
 
     Output: entity columns, then descriptors in ``DESCRIPTOR_COLUMNS`` order (P7).
-    Three aggregates over the nodes (per node, per token, per pair); the pair
-    table feeds both the counts and the component search, so it is persisted.
+    Two passes over the text (tokens, adjacent pairs); the pair table feeds
+    both the counts and the component search, so it is persisted.
     """
     tn = typed_nodes(token_nodes(docs.select("doc_id", "text")))
     pairs = pair_table(doc_edges(docs)).persist(StorageLevel.MEMORY_AND_DISK)
-    toks = token_aggregates(tn)
-    feats = node_aggregates(tn, weights).join(toks, "doc_id", "left") \
-        .join(edge_descriptors(pairs, toks), "doc_id", "left")
+    base = node_aggregates(tn, weights)
+    feats = base.join(edge_descriptors(pairs, base.select("doc_id", "n_tokens_distinct")),
+                      "doc_id", "left")
     feats = feats.withColumn(
         "fraction_csp3",
         F.when(F.col("heavy_atoms") > 0, F.col("_vowel") / F.col("heavy_atoms")).otherwise(0.0),

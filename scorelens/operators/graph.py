@@ -57,16 +57,41 @@ def _components_of_bucket(pdf):
 
 
 def _component_counts_of_bucket(pdf):
-    """Per group of the bucket: vertices touched by an edge and their components."""
+    """Per group of the bucket: vertices touched by an edge and their components.
+
+    Counts need no smallest-vertex label, so vertices are coded by hashing
+    (no sort): token codes, group codes, then one integer code per
+    (group, token).  Same min-label propagation with pointer jumping.
+    """
     import numpy as np
     import pandas as pd
 
-    lab = _components_of_bucket(pdf)
-    if lab.empty:
+    m = len(pdf)
+    if m == 0:
         return pd.DataFrame({"g": np.array([], dtype="int64"), "n_vertices": np.array([], dtype="int64"),
                              "n_components": np.array([], dtype="int64")})
-    out = lab.groupby("g").agg(n_vertices=("x", "size"), n_components=("comp", "nunique")).reset_index()
-    return out.astype({"g": "int64", "n_vertices": "int64", "n_components": "int64"})
+    cx, ux = pd.factorize(np.concatenate([pdf["u"].to_numpy(dtype=object),
+                                          pdf["v"].to_numpy(dtype=object)]))
+    g2 = np.concatenate([pdf["g"].to_numpy(), pdf["g"].to_numpy()])
+    cg, ug = pd.factorize(g2)
+    codes, uk = pd.factorize(cg.astype(np.int64) * len(ux) + cx)
+    a, b = codes[:m], codes[m:]
+    lab = np.arange(len(uk))
+    while True:
+        prev = lab.copy()
+        lo = np.minimum(lab[a], lab[b])
+        np.minimum.at(lab, a, lo)
+        np.minimum.at(lab, b, lo)
+        lab = lab[lab]
+        if np.array_equal(lab, prev):
+            break
+    group_of = np.empty(len(uk), dtype=np.int64)
+    group_of[codes] = cg
+    out = pd.DataFrame({"gc": group_of, "lab": lab}).groupby("gc").agg(
+        n_vertices=("lab", "size"), n_components=("lab", "nunique")).reset_index()
+    return pd.DataFrame({"g": np.asarray(ug)[out["gc"].to_numpy()].astype("int64"),
+                         "n_vertices": out["n_vertices"].astype("int64"),
+                         "n_components": out["n_components"].astype("int64")})
 
 
 def _components_distributed(pairs: DataFrame, max_rounds: int, checkpoint_every: int = 4) -> DataFrame:
