@@ -23,7 +23,18 @@ FLAGSHIP_MODELS = ("logreg", "rf")
 ROWS_PER_PARTITION = 50_000
 
 
+_FEATURES: dict = {}
+
+
 def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpointed feature table, built once per (session, table folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FEATURES:
+        _FEATURES[key] = _document_features(spark, sf_dir)
+    return _FEATURES[key]
+
+
+def _document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, label, fold, ecfp SparseVector, 15 descriptors) for the labelled documents.
 
     The string is tokenised once per consumer; the finished table is

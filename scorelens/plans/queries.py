@@ -573,7 +573,19 @@ def q_logreg_attr(spark, sf_dir):
                       r6(A.attribution_sum("phi"), "phi_sum"))
 
 
+_GRID: dict = {}
+
+
 def _grid_search_rows(spark, sf_dir):
+    """The search result is a one-row table: kept per (session, table folder)
+    so the JSON view of it does not run the search again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRID:
+        _GRID[key] = _run_grid_search(spark, sf_dir)
+    return _GRID[key]
+
+
+def _run_grid_search(spark, sf_dir):
     from scorelens.operators import tuning as T
 
     feats = JOB.document_features(spark, sf_dir)
