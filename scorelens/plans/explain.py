@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelens.session import checkpointed
+
 from scorelens.operators import attribution as A
 from scorelens.operators import descriptors as D
 from scorelens.operators import fingerprint as FP
@@ -74,8 +76,8 @@ def doc_descriptor_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ld = labelled_docs(spark, sf_dir)
     # read three times below (scaler fit, class means, deviations): one row per
     # document, so it is checkpointed once instead of re-derived from the text
-    desc = D.descriptor_table(ld.select("doc_id"), ld.select("doc_id", "text"),
-                              D.node_type_weights(spark)).checkpoint(eager=True)
+    desc = checkpointed(D.descriptor_table(ld.select("doc_id"), ld.select("doc_id", "text"),
+                                           D.node_type_weights(spark)))
     cols = list(D.DESCRIPTOR_COLUMNS)
     z = FamilyScaler(inputCols=cols, outputCols=cols).fit(desc).transform(desc)
     longz = z.select("doc_id", F.explode(F.array(*[
@@ -106,7 +108,7 @@ def _once(key, build):
     (session, table folder) and checkpointed, so the reports that read it
     several times do not re-derive it from the text."""
     if key not in _TOP:
-        _TOP[key] = build().checkpoint(eager=True)
+        _TOP[key] = checkpointed(build())
     return _TOP[key]
 
 
@@ -158,7 +160,8 @@ def fragment_rows(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame
     rows = top.join(first, "bit", "inner").join(names, "doc_id", "inner").select(
         "model", "name", "doc_id", "bit", "fragment",
         F.when(F.col("fragment").isNotNull(), F.lit(NOTE_RESOLVED))
-        .otherwise(F.lit(NOTE_FAILED)).alias("note")).checkpoint(eager=True)
+        .otherwise(F.lit(NOTE_FAILED)).alias("note"))
+    rows = checkpointed(rows)
     resolved = rows.groupBy("model", "bit").agg(
         F.bool_or(F.col("fragment").isNotNull()).alias("_ok"))
     missing = top.join(resolved.filter("_ok"), ["model", "bit"], "left_anti")

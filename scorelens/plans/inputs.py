@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelens.session import checkpointed
+
 from scorelens.operators.folds import stratified_folds
 from scorelens.sources.tables import table
 
@@ -38,8 +40,7 @@ def document_folds(spark: SparkSession, sf_dir: str, label: str = "toxic") -> Da
     key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _FOLDS:
         ids = labelled_documents(spark, sf_dir, label).select("doc_id", "label")
-        _FOLDS[key] = stratified_folds(ids, "doc_id", "label", k=N_FOLDS, seed=SEED) \
-            .checkpoint(eager=True)
+        _FOLDS[key] = checkpointed(stratified_folds(ids, "doc_id", "label", k=N_FOLDS, seed=SEED))
     return _FOLDS[key]
 
 

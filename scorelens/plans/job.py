@@ -15,7 +15,7 @@ from scorelens.operators import metrics as M
 from scorelens.operators import tuning as T
 from scorelens.operators.descriptors import descriptor_table, node_type_weights
 from scorelens.plans import inputs
-from scorelens.session import ensure_checkpoint_dir, scratch_path
+from scorelens.session import checkpointed, ensure_checkpoint_dir, scratch_path
 from scorelens.sources.files import scan_predictions
 
 FLAGSHIP_SETS = ("Descriptors", "Combined_Scaled")
@@ -47,11 +47,11 @@ def _document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     fp = FP.bits_to_vector(FP.fingerprint_table(lab.select("doc_id"), bits), "bits", "ecfp")
     desc = descriptor_table(lab.select("doc_id"), lab.select("doc_id", "text"), node_type_weights(spark))
     folds = inputs.document_folds(spark, sf_dir).select("doc_id", F.col("label").cast("double"), "fold")
-    feats = folds.join(fp.select("doc_id", "ecfp"), "doc_id").join(desc, "doc_id").checkpoint(eager=True)
+    feats = checkpointed(folds.join(fp.select("doc_id", "ecfp"), "doc_id").join(desc, "doc_id"))
     # many small fits follow: size partitions to the rows (1 partition per
     # ROWS_PER_PARTITION), so tiny tables are not split into idle tasks
     n = max(1, -(-feats.count() // ROWS_PER_PARTITION))
-    return feats.repartition(n, "doc_id").checkpoint(eager=True)
+    return checkpointed(feats.repartition(n, "doc_id"))
 
 
 def run_nested_cv(spark: SparkSession, sf_dir: str, feature_sets=FLAGSHIP_SETS,

@@ -229,7 +229,7 @@ def q_alignment_check(spark, sf_dir):
 
 # -------------------------------------------------------------------- file round trips
 
-from scorelens.session import scratch_path  # noqa: E402
+from scorelens.session import checkpointed, scratch_path  # noqa: E402
 from scorelens.sources import files as IO  # noqa: E402
 
 
@@ -303,9 +303,9 @@ def q_scale_descriptors(spark, sf_dir):
     from scorelens.operators.scaling import FamilyScaler
 
     lab = inputs.labelled_documents(spark, sf_dir)
-    desc = document_descriptors(spark, sf_dir, lab).join(
-        inputs.document_folds(spark, sf_dir).select("doc_id", "fold"), "doc_id") \
-        .checkpoint(eager=True)  # fitted on, then transformed: derive it once
+    # fitted on, then transformed: derive it once
+    desc = checkpointed(document_descriptors(spark, sf_dir, lab).join(
+        inputs.document_folds(spark, sf_dir).select("doc_id", "fold"), "doc_id"))
     cols = list(D.DESCRIPTOR_COLUMNS)
     model = FamilyScaler(inputCols=cols, outputCols=cols).fit(desc.filter(F.col("fold") != 1))
     out = model.transform(desc)

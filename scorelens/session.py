@@ -58,3 +58,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def default_sf_dir() -> str:
     return os.environ.get("SCORELENS_SF_DIR", "/root/testdata/sf0.01")
+
+
+def checkpointed(df):
+    """Reliable checkpoint (eager) into the session's checkpoint folder.
+
+    Works in any session: the folder is the cluster's ``spark.checkpoint.dir``
+    when set, else a fresh local one (tests).  Never ``localCheckpoint``.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
