@@ -321,7 +321,7 @@ FROM documents d LEFT JOIN desc0 x ON d.doc_id = x.doc_id"""
 
 ORACLES["fill_zero"] = f"""WITH RECURSIVE valid_docs AS (SELECT * FROM documents WHERE coalesce({VALID}, false)),
 {descriptor_ctes('valid_docs')}
-SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(l.toxic AS BIGINT) AS label, {desc_select()}
+SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(l.toxic AS DOUBLE) AS label, {desc_select()}
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN desc0 x ON d.doc_id = x.doc_id"""
 
 ORACLES["combined_features"] = f"""WITH RECURSIVE {FP_TABLE}, {descriptor_ctes('labelled', with_toks=False)}

@@ -196,7 +196,9 @@ def q_fill_zero(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     valid = docs.filter(C.text_is_valid("text", "n_chars"))
     feats = document_descriptors(spark, sf_dir, valid)
-    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("bigint").alias("label"))
+    # the label stays null for unlabelled documents (never filled); as a double,
+    # the type Spark ML labels have
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
     ents = docs.select("doc_id").join(lab, "doc_id", "left")
     filled = D.fill_zero(ents.join(feats, "doc_id", "left"), D.DESCRIPTOR_COLUMNS)
     return _desc_select(filled, ["doc_id", "label"])
