@@ -96,8 +96,11 @@ def doc_descriptor_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed slots and descriptors of every model in one long table."""
-    return doc_bit_importance(spark, sf_dir).unionByName(doc_descriptor_importance(spark, sf_dir))
+    """Hashed slots and descriptors of every model in one long table
+    (models x features rows), built once per (session, table folder)."""
+    return _once(("combined", spark.sparkContext.applicationId, sf_dir),
+                 lambda: doc_bit_importance(spark, sf_dir).unionByName(
+                     doc_descriptor_importance(spark, sf_dir)))
 
 
 _TOP: dict = {}
