@@ -46,3 +46,14 @@ def test_params_json_strips_prefix(spark):
 def test_quick_results_are_isolated():
     assert IO.results_base("results", True) == "results_quicktest"
     assert IO.results_base("results/", False) == "results"
+
+
+def test_keys_from_plain_folder_layout(spark, tmp_path):
+    for fs, model, fold in [("ECFP", "RF", "fold1"), ("Descriptors", "LogReg", "fold2")]:
+        d = tmp_path / fs / model / fold
+        d.mkdir(parents=True)
+        (d / "predictions.csv").write_text("Fold,SampleID,y_true,y_prob,y_pred\n1,a,1,0.9,1\n")
+    df = spark.read.option("header", True).option("recursiveFileLookup", True) \
+        .option("pathGlobFilter", "predictions.csv").csv(str(tmp_path))
+    keys = {tuple(r) for r in df.select(*IO.keys_from_path()).collect()}
+    assert keys == {("fold1", "RF", "ECFP"), ("fold2", "LogReg", "Descriptors")}
