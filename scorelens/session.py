@@ -40,9 +40,18 @@ def get_spark(cpus: int | str = "*", app: str = "scorelens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
+    """Return the session's checkpoint folder.
+
+    A machine-local folder is made only when the setting is absent and every
+    task runs in this process (``local`` masters); on a cluster without the
+    setting this raises, since executors could not see such a folder.
+    """
     current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} is not set: master {master!r} needs a folder "
+                               "that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="scorelens-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, current)
     if not spark.sparkContext.getCheckpointDir():
