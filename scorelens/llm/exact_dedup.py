@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("n")))
     winners = (merged.groupBy("digest", "check", "norm")
                .agg(F.max("best").alias("keep_id"), F.sum("n").alias("group_size")))
-    salted = (merged.select("salt", "digest", "check")
+    salted = (base.select("salt", "digest", "check").distinct()  # hashes only: the text is not moved again
               .join(winners.select("digest", "check", "keep_id", "group_size"), ["digest", "check"]))
     out = base.drop("norm").join(salted, ["salt", "digest", "check"])
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
