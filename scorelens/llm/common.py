@@ -37,6 +37,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
@@ -59,7 +63,7 @@ def lower_ascii(col):
 
 # ---------------------------------------------------------------- text chunks
 
-def text_chunks(column, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column, max_bytes: int = CHUNK_BYTES, max_docs: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of runs of whole documents; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
@@ -70,7 +74,7 @@ def text_chunks(column, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, side="right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, side="right")) - 1), i + max_docs)
         yield i, j, raw[off[i]:off[j]], off[i:j + 1] - off[i]
         i = j
 

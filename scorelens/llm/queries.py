@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelens.llm.common import documents
+from scorelens.llm import language, toxicity
+from scorelens.llm.common import documents, labels
 from scorelens.llm.exact_dedup import exact_dedup
 from scorelens.llm.licenses import license_scan, license_sql
 from scorelens.llm.packing import pack
@@ -22,6 +23,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo ``n``: splits rows into learning and held-out ones."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, labels(spark, sf_dir).where(_remainder(5) != 0))
+    return (toxicity.score_toxicity(docs, model)
+            .select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(docs.where(_remainder(4) != 2))
+    return (language.identify(docs, model)
+            .select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_texts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
     return coded.select(
@@ -45,7 +65,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_piece_codec": op3_piece_codec,
+    "op5_language": op5_language,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
