@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelens.llm import language, toxicity
+from scorelens.llm import ann, language, toxicity
 from scorelens.llm.common import documents, labels
 from scorelens.llm.exact_dedup import exact_dedup
 from scorelens.llm.licenses import license_scan, license_sql
+from scorelens.llm.ngram_join import jaccard_components
 from scorelens.llm.packing import pack
 from scorelens.llm.piece_codec import encode_texts
 
@@ -28,6 +29,11 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, labels(spark, sf_dir).where(_remainder(5) != 0))
@@ -50,6 +56,11 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         "agrees")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
+            .select("doc_id", "n_shingles", "component_id"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
@@ -65,9 +76,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
     "op3_piece_codec": op3_piece_codec,
     "op5_language": op5_language,
+    "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
