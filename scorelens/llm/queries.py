@@ -15,6 +15,7 @@ from scorelens.llm.licenses import license_scan, license_sql
 from scorelens.llm.ngram_join import jaccard_components
 from scorelens.llm.packing import pack
 from scorelens.llm.piece_codec import encode_texts
+from scorelens.llm.window_dedup import drop_repeated_windows
 
 
 def vocabulary(name: str) -> str:
@@ -56,6 +57,11 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         "agrees")
 
 
+def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeated_windows(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
             .select("doc_id", "n_shingles", "component_id"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
     "op3_piece_codec": op3_piece_codec,
+    "op4_window_dedup": op4_window_dedup,
     "op5_language": op5_language,
     "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
