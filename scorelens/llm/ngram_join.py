@@ -266,8 +266,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     total = large.agg(F.sum(F.col("total") * F.greatest(F.lit(1), F.col("chunks") - 1))).first()[0] or 0
     cells = max(parts, -(-int(total) // cell_shingles))
 
+    # the same plan at every size: the list of sets to load grows with the input and is never broadcast
     with_text = rows.withColumnRenamed("id", "rep").join(
-        wanted.select("rep", "hi", "lo", "n", "block", F.explode(pairs).alias("tile")), "rep").select(
+        wanted.select("rep", "hi", "lo", "n", "block", F.explode(pairs).alias("tile")).hint("merge"), "rep").select(
         "rep", "hi", "lo", "block", "tile.i", "tile.j", "text")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
