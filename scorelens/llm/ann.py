@@ -16,8 +16,8 @@ is taken.
 
 Equal vectors are searched once.  Since ties go to the smaller id, the smallest
 ``top + 1`` ids of a group of equal vectors are all that any answer can hold.
-Vectors are dealt to cells of work by bucket; a bucket above ``cell_rows`` is
-split, and its queries visit every part.
+Vectors are dealt to cells of work by bucket, about ``cell_rows`` rows each; a
+cell that dense buckets make larger is split, and its queries visit every part.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scorelens.llm.common import mix, shuffle_partitions, stored
+from scorelens.llm.common import mix, stored
 
 TABLES = 8
 WIDTH = 2.0
@@ -199,7 +199,7 @@ def search_cell(keys: np.ndarray, reps: np.ndarray, vecs: np.ndarray, probe_keys
 
 
 def nearest(vectors: DataFrame, queries_where, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20,
-            recall: float = 0.96, cell_rows: int = 50_000) -> DataFrame:
+            recall: float = 0.96, cell_rows: int = 20_000) -> DataFrame:
     """(query_id, rank, <id_col>, score): the nearest found of each row that fulfils ``queries_where``.
 
     ``queries_where`` is a condition on ``id_col``.  Nearness is the largest
@@ -232,7 +232,7 @@ def nearest(vectors: DataFrame, queries_where, id_col: str = "vec_id", vec_col:
     asked = stored(asked.join(reps.select("vec", "rep"), "vec").select("query_id", "rep"), "ann-queries")
     searched = reps.join(asked.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("q"), "vec")
 
-    hashing = Hashing(dim, int(np.clip(np.rint(np.log2(max(n, 2)) - 7), 2, 24)), longest)
+    hashing = Hashing(dim, int(np.clip(np.rint(np.log2(max(n, 2)) / 2 - 0.6), 2, 24)), longest)
     probes, _ = _fitted(searched, reps, hashing, top, recall)
     found = _search(searched, reps, hashing, probes, n, top + 1, cell_rows)
 
@@ -273,8 +273,7 @@ def _fitted(searched: DataFrame, reps: DataFrame, hashing: Hashing, top: int, re
 
 def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, probes: int, n: int, top: int, cell_rows: int) -> DataFrame:
     """(q, rep, score) of the best candidates of each searched vector."""
-    spark = reps.sparkSession
-    cells = max(shuffle_partitions(spark), -(-n * TABLES // cell_rows))
+    cells = -(-n * TABLES // cell_rows)
     vec_type = reps.schema["vec"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,25 +284,33 @@ def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, probes: int,
                                              names=["bucket", "rep", "vec"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each query and cell, with the buckets to visit there."""
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                keys = hashing.probe_keys(_matrix(part.column(1)), probes).reshape(len(part), -1)
-                take = np.repeat(np.arange(len(part)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take)), pa.array(keys.ravel())],
-                                                 names=["q", "bucket"])
-
-    indexed = reps.select("rep", "vec").mapInArrow(index, f"bucket long, rep long, vec {vec_type}")
-    large = (indexed.select("bucket").groupBy("bucket").count().where(F.col("count") > cell_rows)
-             .select("bucket", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")))
+                who, cell, buckets = [], [], []
+                for n, keys in enumerate(hashing.probe_keys(_matrix(part.column(1)), probes).reshape(len(part), -1)):
+                    keys = np.unique(keys)
+                    home = keys % cells
+                    order = np.argsort(home, kind="stable")
+                    at, first = np.unique(home[order], return_index=True)
+                    who += [n] * len(at)
+                    cell += at.tolist()
+                    buckets += np.split(keys[order], first[1:])
+                take = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()),
+                                                  part.column(0).take(take), pa.array(buckets, pa.list_(pa.int64())),
+                                                  part.column(1).take(take)], names=["home", "q", "buckets", "vec"])
+
+    indexed = (reps.select("rep", "vec").mapInArrow(index, f"bucket long, rep long, vec {vec_type}")
+               .withColumn("home", F.pmod("bucket", F.lit(cells))))
+    split = (indexed.groupBy("home").count().where(F.col("count") > 2 * cell_rows)
+             .select("home", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
-    cell = F.pmod(F.xxhash64("bucket", "part"), F.lit(cells)).alias("cell")
-    rows = (indexed.join(large, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-            .select(cell, "bucket", "rep", "vec"))
-    asks = (searched.mapInArrow(probe, "q long, bucket long").distinct().join(large, "bucket", "left")
-            .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(cell, "bucket", "q")
-            .groupBy("cell", "q").agg(F.collect_set("bucket").alias("buckets"))
-            .join(searched, "q"))
+    rows = (indexed.join(split, "home", "left").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+            .select("home", "part", "bucket", "rep", "vec"))
+    asks = (searched.mapInArrow(probe, f"home long, q long, buckets array<long>, vec {vec_type}").join(split, "home", "left")
+            .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"))
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -313,7 +320,7 @@ def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, probes: int,
             [np.asarray(b, dtype=np.int64) for b in right["buckets"]], np.stack(right["vec"].to_numpy()).astype(np.float64), top)
         return pd.DataFrame({"q": right["q"].to_numpy(np.int64)[q], "rep": rep, "score": score})
 
-    found = (rows.groupBy("cell").cogroup(asks.groupBy("cell"))
+    found = (rows.groupBy("home", "part").cogroup(asks.groupBy("home", "part"))
              .applyInPandas(work, "q long, rep long, score double")
              .groupBy("q", "rep").agg(F.max("score").alias("score")))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
