@@ -61,6 +61,38 @@ def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def pack_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` with the column ``text`` replaced by its compressed bytes ``z``, which come last (cheaper to shuffle)."""
+    others = [c for c in rows.columns if c != "text"]
+
+    def run(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            n = batch.num_columns - 1
+            z = pa.array([squeeze(t.as_buffer()) for t in batch.column(n).cast(pa.large_binary()).fill_null(b"")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], z], names=[*others, "z"])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others)
+    return rows.select(*others, "text").mapInArrow(run, schema + ", z binary")
+
+
+def unpacked(column) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, end row, texts) of a column of ``pack_texts``, about a megabyte at a time."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    start, size, part = 0, 0, []
+    for i in range(len(column)):
+        part.append(open_(column[i].as_buffer()))
+        size += len(part[-1])
+        if size >= CHUNK_BYTES or i + 1 == len(column):
+            yield start, i + 1, pa.array(part, pa.large_binary()).cast(pa.large_string())
+            start, size, part = i + 1, 0, []
+
+
 # ---------------------------------------------------------------- text chunks
 
 def text_chunks(column, max_bytes: int = CHUNK_BYTES, max_docs: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

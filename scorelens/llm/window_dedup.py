@@ -19,10 +19,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scorelens.llm.common import shingle_hashes, span_hashes, stored, text_chunks, word_spans
+from scorelens.llm.common import pack_texts, shingle_hashes, span_hashes, stored, text_chunks, unpacked, word_spans
 from scorelens.llm.minimisers import Runs, codes, repeated, window_runs
 
-MER = 4
+MER = 6
 
 
 def word_runs(data: np.ndarray, off: np.ndarray, k: int) -> Runs:
@@ -77,22 +77,24 @@ def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id",
     removed word runs [start, end).  Null text has no words.  Rows without an
     id keep everything and count for no other row; rows with the same id do
     not count for each other.  Extra columns are ignored whatever their names;
-    ``carry`` adds the input row as the struct ``row``.
+    ``carry`` adds the input row without its text as the struct ``row``, and
+    then ``kept`` of a text that loses nothing is the text itself.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     cols = [F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key")]
     if carry:
-        cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
     base = docs.select(*cols)
     named = base.select("id", "key", "text").where("id IS NOT NULL")
 
     again, buckets = repeated(named.select("key", "text"), lambda d, o: word_runs(d, o, k), within=False)
-    held = stored(named.join(again, "key"), "window-docs")
+    held = stored(pack_texts(named).join(again.hint("merge"), "key"), "window-docs")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in text_chunks(batch.column(2)):
+            for i, j, texts in unpacked(batch.column(2)):
+                _, _, data, off = next(text_chunks(texts, 1 << 62, 1 << 62))
                 got = packed_runs(data, off, k, batch.column(3).slice(i, j - i).to_pylist(), buckets)
                 take = pa.array([i + g[0] for g in got], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -100,7 +102,7 @@ def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id",
                      pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.binary())],
                     names=["id", "key", "start", "code", "words"])
 
-    sent = (held.select("id", "key", "text", "codes")
+    sent = (held.select("id", "key", "z", "codes")
             .mapInArrow(strings, f"id {id_type}, key long, start int, code long, words binary")
             .withColumn("hash", F.xxhash64("words")))
     packed = stored(sent.groupBy("code", "hash", "words").agg(F.min("id").alias("first"), F.max("id").alias("last")),
@@ -116,7 +118,7 @@ def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id",
         least = sort_windows(pdf["words"].tolist(), first, k)
         keep = [n for n, row in enumerate(least) if first[n] != pdf["last"].iat[n] or any(f != first[n] for f in row)]
         part = pdf.iloc[keep]
-        return pd.DataFrame({"code": part["code"], "hash": part["hash"], "least": [least[n] for n in keep]})
+        return pd.DataFrame({"code": part["code"], "hash": part["hash"], "least": pd.Series([least[n] for n in keep], part.index, dtype=object)})
 
     verdict = f"code long, hash long, least array<{id_type}>"
     small = (known.where(F.col("strings") <= most_strings).withColumn("cell", F.pmod(F.xxhash64("code"), F.lit(cells)))
@@ -137,7 +139,8 @@ def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id",
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in text_chunks(batch.column(1)):
+            for i, j, texts in unpacked(batch.column(1)):
+                _, _, data, off = next(text_chunks(texts, 1 << 62, 1 << 62))
                 starts, ends, at = word_spans(data, off)
                 raw, lost, rows = data.tobytes(), batch.column(2).slice(i, j - i).to_pylist(), []
                 for d in range(j - i):
@@ -153,6 +156,8 @@ def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id",
                         spans = edge.reshape(-1, 2).tolist()
                     left = np.flatnonzero(keep) + a
                     kept = b" ".join([raw[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True)])
+                    if carry and not spans:
+                        kept = raw[off[d]:off[d + 1]]
                     rows.append((b - a, b - a - len(left), kept.decode(), spans))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
@@ -164,5 +169,14 @@ def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id",
     schema = f"id {id_type}, n_words long, n_removed long, kept string, spans array<array<int>>"
     if carry:
         schema += ", row " + base.schema["row"].dataType.simpleString()
-    out = base.join(windows, ["id", "key"], "left").select("id", "text", "gone", *(["row"] if carry else []))
+    out = pack_texts(base).join(windows.hint("merge"), ["id", "key"], "left").select("id", "z", "gone", *(["row"] if carry else []))
     return out.mapInArrow(clean, schema).withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each text that loses words replaced by the words kept, joined by one space.
+
+    Same columns, one row per input row; other texts stay as they are (null becomes empty).
+    """
+    done = drop_repeated_windows(docs, k, id_col, text_col, carry=True)
+    return done.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ import pytest
 from scorelens.llm.common import text_chunks
 from scorelens.llm.minimisers import window_runs
 from scorelens.llm.queries import op4_window_dedup
-from scorelens.llm.window_dedup import drop_repeated_windows, sort_windows, word_runs
+from scorelens.llm.window_dedup import drop_repeated_windows, sort_windows, without_repeats, word_runs
 
 from conftest import SF
 
@@ -74,8 +74,10 @@ def test_odd_rows(spark, odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in drop_repeated_windows(odd_docs, 5).collect()]
     assert sorted(got, key=repr) == sorted(brute(rows, 5), key=repr)
-    kept = drop_repeated_windows(odd_docs, 5, carry=True)
-    assert kept.select("row.*").columns == odd_docs.columns
+    kept = without_repeats(odd_docs, 5)
+    assert kept.columns == odd_docs.columns
+    want = [(d, t if n else s or "") for (d, s), (_, _, n, t) in zip(rows, brute(rows, 5), strict=True)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
     assert drop_repeated_windows(odd_docs.limit(0)).count() == 0
 
 
