@@ -15,6 +15,7 @@ from scorelens.llm.licenses import license_scan, license_sql
 from scorelens.llm.ngram_join import jaccard_components
 from scorelens.llm.packing import pack
 from scorelens.llm.piece_codec import encode_texts
+from scorelens.llm.suffix_dedup import drop_repeated_bytes
 from scorelens.llm.window_dedup import drop_repeated_windows
 
 
@@ -25,9 +26,9 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _remainder(n: int):
-    """crc32 of the id as text, modulo ``n``: splits rows into learning and held-out ones."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+def held_out(n: int, rest: int):
+    """Whether crc32 of the id as text leaves ``rest`` modulo ``n``: such rows are never learnt from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)) == rest
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,16 +38,16 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = toxicity.train(docs, labels(spark, sf_dir).where(_remainder(5) != 0))
+    model = toxicity.train(docs, labels(spark, sf_dir).where(~held_out(5, 0)))
     return (toxicity.score_toxicity(docs, model)
-            .select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted"))
+            .select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = language.train(docs.where(_remainder(4) != 2))
+    model = language.train(docs.where(~held_out(4, 2)))
     return (language.identify(docs, model)
-            .select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score"))
+            .select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score"))
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,17 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = drop_repeated_bytes(documents(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_toxicity": op2_toxicity,
@@ -91,6 +103,8 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
 
 _EXACT = """
