@@ -17,17 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from scorelens.llm.common import lower_ascii
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32,
-                carry: bool = False) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256 [, row].
-
-    Texts are equal when identical after lower-casing A-Z; the largest id of a
-    group stays.  Null text counts as empty.  A null id never wins against an
-    id; a group without ids has keep_id null and its rows are kept.  Rows that
-    repeat both id and text all carry the decision of that id.  Other columns
-    are ignored whatever their names; ``carry`` adds the whole input row as the
-    struct ``row``.  An empty table gives an empty result.
-    """
+def _winners(docs: DataFrame, id_col: str, text_col: str, salts: int, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows with normalised text, digests and salt; and (digest, check, keep_id, group_size) of each text."""
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     cols = [F.col(id_col).alias("id"), text.alias("norm")]
     if carry:
@@ -40,15 +31,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("n")))
     winners = (merged.groupBy("digest", "check", "norm")
                .agg(F.max("best").alias("keep_id"), F.sum("n").alias("group_size")))
+    return base, winners.select("digest", "check", "keep_id", "group_size")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; the largest id of a
+    group stays.  Null text counts as empty.  A null id never wins against an
+    id; a group without ids has keep_id null and its rows are kept.  Rows that
+    repeat both id and text all carry the decision of that id.  Other columns
+    are ignored whatever their names.  An empty table gives an empty result.
+    """
+    base, winners = _winners(docs, id_col, text_col, salts, carry=False)
     salted = (base.select("salt", "digest", "check").distinct()  # hashes only: the text is not moved again
-              .join(winners.select("digest", "check", "keep_id", "group_size"), ["digest", "check"]))
+              .join(winners, ["digest", "check"]))
     out = base.drop("norm").join(salted, ["salt", "digest", "check"])
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"),
-                      F.col("digest").alias("text_sha256"), *(["row"] if carry else []))
+                      F.col("digest").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, once each, with all their columns."""
-    found = exact_dedup(docs, id_col, text_col, carry=True).where("kept")
-    return found.dropDuplicates([id_col, "text_sha256"]).select("row.*")
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """The rows of ``docs`` that stay, once each, with all their columns.
+
+    Only the kept ids and their digests meet the rows again, so the hot groups
+    are gone by then; repeats of a row fall in the same task and need no more shuffle.
+    """
+    base, winners = _winners(docs, id_col, text_col, salts, carry=True)
+    kept = winners.select(F.xxhash64("keep_id").alias("who"), "digest", "check", "keep_id")
+    rows = base.drop("norm", "salt").withColumn("who", F.xxhash64("id"))
+    found = rows.join(kept.hint("merge"), ["who", "digest", "check"]).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    return found.dropDuplicates(["who", "digest", "check"]).select("row.*")
