@@ -6,9 +6,9 @@
    sizes.  The hash space is cut into more segments than that, so linked sets
    agree on a whole segment; segment signatures are shuffled, sets that share
    one are candidates, and the components of the candidates are the blocks.
-   Every linked pair lies inside a block.  Signatures of thin segments are left
-   out where a set has fewer of them than segments to spare; otherwise it
-   keeps them all, so nothing is lost.
+   Every linked pair lies inside a block.  A set leaves out its thinnest
+   segments, as long as it has segments to spare: of two linked sets, the one
+   that asks for fuller segments still has one of these in common with the other.
 3. Product.  In each block the rows of the incidence matrix are multiplied with
    its transpose: overlaps are accumulated over the n-grams in order of rising
    frequency, rows that share none of the rarest n-grams that the size bound
@@ -22,18 +22,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, factorial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scorelens.llm.common import (ASCII_LOWER, as_long, mix, shingle_hashes, shuffle_partitions, span_hashes, stored,
-                                  text_chunks, word_spans)
+from scorelens.llm.common import (ASCII_LOWER, as_long, mix, pack_texts, shingle_hashes, shuffle_partitions, span_hashes,
+                                  stored, text_chunks, unpacked, word_spans)
 from scorelens.operators.components import connected_labels
 
 SALTS = 32
+FULLEST = 6
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +75,7 @@ class Segments:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.lower, self.count, self.thin = [1], [], []
+        self.lower, self.count = [1], []
 
     def _class(self, c: int) -> None:
         while len(self.count) <= c:
@@ -84,15 +84,10 @@ class Segments:
             largest = self.lower[i + 1] - 1
             apart = 2 * largest * (self.den - self.num) // (self.den + self.num)
             k = apart + 1 + (apart + 4) // 5
-            load, spare, thin, below = largest / k, k - apart - 1, 1, exp(-largest / k)
-            while below + exp(-load) * load ** thin / factorial(thin) <= 0.6 * spare / k:
-                below += exp(-load) * load ** thin / factorial(thin)
-                thin += 1
             self.count.append(k)
-            self.thin.append(thin)
 
     def roles(self, sizes: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """For the own size class and the next one: (class, segments, spare segments, thin limit) of each set."""
+        """For the own size class and the next one: (class, segments, spare segments) of each set."""
         top = int(sizes.max()) if len(sizes) else 1
         c = 0
         while True:
@@ -106,7 +101,7 @@ class Segments:
             k = np.array(self.count)[cls]
             partner = np.minimum(np.array(self.lower)[cls + 1] - 1, sizes * self.den // self.num)
             apart = (sizes + np.maximum(partner, 0)) * (self.den - self.num) // (self.den + self.num)
-            out.append((cls, k, k - apart - 1, np.array(self.thin)[cls]))
+            out.append((cls, k, k - apart - 1))
         return out
 
 
@@ -117,16 +112,17 @@ def signatures(sets: np.ndarray, off: np.ndarray, segments: Segments) -> tuple[n
     place = mix(sets * np.uint64(0xDA942042E4DD58B5)) >> np.uint64(32)
     value = mix(sets ^ np.uint64(0xA0761D6478BD642F))
     sigs, docs = [], []
-    for cls, k, spare, thin in segments.roles(np.maximum(sizes, 1)):
+    for cls, k, spare in segments.roles(np.maximum(sizes, 1)):
         base = np.concatenate([[0], np.cumsum(k)])
         cell = base[owner] + ((place * k[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         total = np.zeros(base[-1], dtype=np.uint64)
         np.add.at(total, cell, value)
         held = np.bincount(cell, minlength=base[-1])
         doc = np.repeat(np.arange(len(sizes)), k)
-        weak = held < thin[doc]
-        few = np.bincount(doc[weak], minlength=len(sizes)) <= spare
-        keep = (~weak | ~few[doc]) & (sizes[doc] > 0)
+        least = np.zeros(len(sizes), dtype=np.int64)  # the most a segment may be asked to hold
+        for most in range(1, FULLEST + 1):
+            least[np.bincount(doc[held < most], minlength=len(sizes)) <= spare] = most
+        keep = (held >= least[doc]) & (sizes[doc] > 0)
         number = (np.arange(base[-1]) - base[doc]).astype(np.uint64)
         code = mix(total + mix(number * np.uint64(0xE7037ED1A0B428DB) + cls[doc].astype(np.uint64)))
         sigs.append(code[keep])
@@ -267,13 +263,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     cells = max(parts, -(-int(total) // cell_shingles))
 
     # the same plan at every size: the list of sets to load grows with the input and is never broadcast
-    with_text = rows.withColumnRenamed("id", "rep").join(
+    with_text = pack_texts(rows).withColumnRenamed("id", "rep").join(
         wanted.select("rep", "hi", "lo", "n", "block", F.explode(pairs).alias("tile")).hint("merge"), "rep").select(
-        "rep", "hi", "lo", "block", "tile.i", "tile.j", "text")
+        "rep", "hi", "lo", "block", "tile.i", "tile.j", "z")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in text_chunks(batch.column(6)):
+            for i, j, texts in unpacked(batch.column(6)):
+                _, _, data, off = next(text_chunks(texts, 1 << 62, 1 << 62))
                 part = batch.slice(i, j - i)
                 sets, at = shingle_sets(data, off, words)
                 hi, lo = set_digests(sets, at)
