@@ -3,8 +3,9 @@
 Windows of ``k`` bytes go with their minimiser: runs whose minimiser occurs
 again are sent as packed strings, equal strings are combined first and keep
 their number of occurrences.  Where a minimiser has strings that occur once
-beside other strings, a suffix array over the strings of a cell puts equal
-windows next to each other; their occurrences are added up.
+beside other strings, stretches whose window hashes occur once are cut away,
+equal remains are combined, and a suffix array over them puts equal windows
+next to each other; their occurrences are added up.
 
 The suffix array is built in two linear phases.  Grouping: suffixes start
 grouped by first byte; groups are processed from the greatest to the smallest;
@@ -15,8 +16,8 @@ with one Lyndon prefix.  Placing: from the smallest suffix on, the suffix
 before a placed one takes the next place of its group, then the one its pointer
 names, and so on; no ranks are renamed and nothing is sorted recursively.
 
-A minimiser with more than ``most_strings`` different strings is not handled in
-one cell: its windows are spread one by one and grouped by 128-bit digest.
+A minimiser with more than ``most_strings`` different strings is not handled at
+once: its windows are spread one by one and grouped by 128-bit digest.
 """
 
 from __future__ import annotations
@@ -136,31 +137,63 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeated_windows(strings: list[bytes], times: list[int], k: int) -> list[np.ndarray]:
-    """For each string, which of its windows of ``k`` bytes occur at least twice, ``times`` counted."""
-    parts = [np.append(np.frombuffer(s, np.uint8).astype(np.int64) + 2, 1) for s in strings]
-    text = np.append(np.concatenate(parts), 0)
-    data = np.concatenate([np.append(np.frombuffer(s, np.uint8), np.uint8(0)) for s in strings])
+def _joined(strings: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all strings with one separator each, string offsets, owner of each byte, whether a window starts."""
+    data = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
     sizes = np.array([len(s) for s in strings])
     base = np.concatenate([[0], np.cumsum(sizes + 1)])
     owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    valid = np.arange(base[-1]) + k <= base[:-1][owner] + sizes[owner]
-    order = np.array(suffix_array(text.tolist()), dtype=np.int64)
+    return data, base, owner, np.arange(base[-1]) + k <= (base[1:] - 1)[owner]
+
+
+def equal_neighbours(strings: list[bytes], times: list[int], k: int) -> list[np.ndarray]:
+    """For each string, which of its windows of ``k`` bytes occur at least twice, by a suffix array."""
+    data, base, owner, valid = _joined(strings, k)
+    text = data.astype(np.int64) + 2
+    text[base[1:] - 1] = 1
+    order = np.array(suffix_array([*text.tolist(), 0]), dtype=np.int64)
     order = order[order < base[-1]]
     order = order[valid[order]]
-    hashes = span_hashes(data, order, order + k)
     same = np.zeros(len(order), dtype=bool)
-    same[1:] = hashes[1:] == hashes[:-1]
-    check = np.flatnonzero(same)
+    same[1:] = span_hashes(data, order[1:], order[1:] + k) == span_hashes(data, order[:-1], order[:-1] + k)
+    check, span = np.flatnonzero(same), np.arange(k)
     for i in range(0, len(check), 1 << 14):  # neighbours in the suffix array: compare the bytes
         c = check[i:i + (1 << 14)]
-        span = np.arange(k)
         same[c] = (data[order[c][:, None] + span] == data[order[c - 1][:, None] + span]).all(axis=1)
     run = np.cumsum(~same) - 1
     weight = np.bincount(run, weights=np.array(times)[owner[order]]) if len(order) else np.zeros(0)
     flag = np.zeros(base[-1], dtype=bool)
     flag[order] = weight[run] >= 2
-    return [flag[base[i]:base[i] + max(0, sizes[i] - k + 1)] for i in range(len(strings))]
+    return [flag[base[i]:max(base[i], base[i + 1] - k)] for i in range(len(strings))]
+
+
+def repeated_windows(strings: list[bytes], times: list[int], k: int) -> list[np.ndarray]:
+    """For each string, which of its windows of ``k`` bytes occur at least twice, ``times`` counted.
+
+    Stretches whose window hashes all occur once are cut away first; equal
+    remains are combined, and the suffix array is built over the different ones.
+    """
+    data, base, owner, valid = _joined(strings, k)
+    at = np.flatnonzero(valid)
+    _, which = np.unique(span_hashes(data, at, at + k), return_inverse=True)
+    often = np.zeros(base[-1] + 1, dtype=np.int8)
+    if len(at):
+        often[at] = np.bincount(which, weights=np.array(times)[owner[at]])[which] >= 2
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], often]))).reshape(-1, 2)
+    raw, number, weight, held = data.tobytes(), {}, [], []
+    for a, b in edge.tolist():
+        piece = raw[a:b + k - 1]
+        n = number.setdefault(piece, len(number))
+        if n == len(weight):
+            weight.append(0)
+        weight[n] += times[owner[a]]
+        held.append((a, b, n))
+    flag = np.zeros(base[-1], dtype=bool)
+    if number:
+        found = equal_neighbours(list(number), weight, k)
+        for a, b, n in held:
+            flag[a:b] = found[n]
+    return [flag[base[i]:max(base[i], base[i + 1] - k)] for i in range(len(strings))]
 
 
 def flag_spans(flags: np.ndarray) -> list[int]:
@@ -169,7 +202,7 @@ def flag_spans(flags: np.ndarray) -> list[int]:
 
 
 def drop_repeated_bytes(docs: DataFrame, k: int = 400, id_col: str = "doc_id", text_col: str = "text",
-                        most_strings: int = 20_000, cell_bytes: int = 1 << 20) -> DataFrame:
+                        most_strings: int = 20_000) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (binary), spans.
 
     A byte of a text's UTF-8 goes when a string of ``k`` bytes covers it that
@@ -207,11 +240,8 @@ def drop_repeated_bytes(docs: DataFrame, k: int = 400, id_col: str = "doc_id", t
             .mapInArrow(strings, f"id {id_type}, key long, start long, code long, bytes binary")
             .withColumn("hash", F.xxhash64("bytes")))
     packed = stored(sent.groupBy("code", "hash", "bytes").agg(F.count(F.lit(1)).alias("times")), "suffix-strings")
-    per_code = packed.groupBy("code").agg(F.count(F.lit(1)).alias("strings"), F.min("times").alias("least"),
-                                          F.sum(F.octet_length("bytes")).alias("size"))
-    known = packed.join(per_code.where("strings > 1 OR least > 1").drop("size"), "code")
-    open_ = per_code.where((F.col("strings") > 1) & (F.col("least") == 1) & (F.col("strings") <= most_strings))
-    cells = max(buckets, -(-int(open_.agg(F.sum("size")).first()[0] or 0) // cell_bytes))
+    per_code = packed.groupBy("code").agg(F.count(F.lit(1)).alias("strings"), F.min("times").alias("least"))
+    known = packed.join(per_code.where("strings > 1 OR least > 1").hint("merge"), "code")
     windows = F.octet_length("bytes") - (k - 1)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -224,8 +254,7 @@ def drop_repeated_bytes(docs: DataFrame, k: int = 400, id_col: str = "doc_id", t
     # several copies of each string: every window is repeated already
     whole = known.where("least > 1").select("code", "hash", F.array(F.lit(0).cast("long"), windows.cast("long")).alias("runs"))
     several = known.where((F.col("strings") > 1) & (F.col("least") == 1))
-    small = (several.where(F.col("strings") <= most_strings).withColumn("cell", F.pmod(F.xxhash64("code"), F.lit(cells)))
-             .groupBy("cell").applyInPandas(judge, verdict))
+    small = several.where(F.col("strings") <= most_strings).groupBy("code").applyInPandas(judge, verdict)
     spread = (several.where(F.col("strings") > most_strings)
               .select("code", "hash", "times", F.posexplode(F.transform(
                   F.sequence(F.lit(1), windows), lambda o: F.unhex(F.md5(F.substring("bytes", o, k))))).alias("pos", "window")))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from scorelens.llm.queries import op10_suffix_dedup
-from scorelens.llm.suffix_dedup import drop_repeated_bytes, repeated_windows, suffix_array
+from scorelens.llm.suffix_dedup import drop_repeated_bytes, equal_neighbours, repeated_windows, suffix_array
 
 from conftest import SF
 
@@ -53,15 +53,16 @@ def test_suffix_array_equals_sorting():
 
 
 def test_repeated_windows_counts_copies_and_overlaps():
-    got = repeated_windows([b"abcab", b"zabc", b"qqqq", b"once"], [1, 1, 1, 2], 3)
-    assert [g.tolist() for g in got] == [[True, False, False], [False, True], [True, True], [True, True]]
+    for find in (repeated_windows, equal_neighbours):
+        got = find([b"abcab", b"zabc", b"qqqq", b"once"], [1, 1, 1, 2], 3)
+        assert [g.tolist() for g in got] == [[True, False, False], [False, True], [True, True], [True, True]]
 
 
 @pytest.mark.parametrize("k,most", [(40, 20_000), (12, 20_000), (12, 1), (30, 2)])
 def test_equals_brute_force(spark, k, most):
     rows = corpus(k + most)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = drop_repeated_bytes(df, k, most_strings=most, cell_bytes=2000).collect()
+    got = drop_repeated_bytes(df, k, most_strings=most).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(brute(rows, k))
     for r in got:
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
