@@ -67,6 +67,17 @@ def sort_windows(strings: list[bytes], first: list[int], k: int) -> list[list[in
     return out
 
 
+def _judge_windows(strings: DataFrame, k: int) -> DataFrame:
+    """(code, hash, least) of strings whose windows are spread one by one and grouped by their words."""
+    words = F.split(F.col("words").cast("string"), " ")
+    spread = (strings.select("code", "hash", "first", words.alias("w"))
+              .select("code", "hash", "first", F.posexplode(F.transform(
+                  F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda o: F.array_join(F.slice("w", o, k), " "))).alias("pos", "window")))
+    least = spread.groupBy("window").agg(F.min("first").alias("least"))
+    return (spread.join(least, "window").groupBy("code", "hash")
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "least"))), lambda s: s["least"]).alias("least")))
+
+
 def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text",
                           most_strings: int = 20_000, carry: bool = False) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept (words joined by a space), spans [, row].
@@ -107,13 +118,15 @@ def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id",
             .withColumn("hash", F.xxhash64("words")))
     packed = stored(sent.groupBy("code", "hash", "words").agg(F.min("id").alias("first"), F.max("id").alias("last")),
                     "window-strings")
-    per_code = packed.groupBy("code").agg(F.count(F.lit(1)).alias("strings"), F.min("first").alias("lo"), F.max("last").alias("hi"),
-                                          F.sum(F.octet_length("words")).alias("bytes"))
-    total = per_code.agg(F.sum("bytes")).first()[0] or 0
+    per_code = packed.groupBy("code").agg(F.count(F.lit(1)).alias("strings"), F.sum(F.octet_length("words")).alias("bytes"))
+    crowded = stored(per_code.where(F.col("strings") > most_strings).select("code"), "window-crowded")
+    total, crowds = per_code.agg(F.sum("bytes")).first()[0] or 0, crowded.count()
     cells = max(buckets, -(-int(total) // (4 << 20)))
-    known = packed.join(per_code.where("lo < hi").select("code", "strings"), "code")
+    plain = packed.join(crowded, "code", "left_anti") if crowds else packed
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        across = pdf.groupby("code").agg(lo=("first", "min"), hi=("last", "max"))
+        pdf = pdf[pdf["code"].isin(across.index[across["lo"] < across["hi"]])]
         first = pdf["first"].tolist()
         least = sort_windows(pdf["words"].tolist(), first, k)
         keep = [n for n, row in enumerate(least) if first[n] != pdf["last"].iat[n] or any(f != first[n] for f in row)]
@@ -121,16 +134,10 @@ def drop_repeated_windows(docs: DataFrame, k: int = 13, id_col: str = "doc_id",
         return pd.DataFrame({"code": part["code"], "hash": part["hash"], "least": pd.Series([least[n] for n in keep], part.index, dtype=object)})
 
     verdict = f"code long, hash long, least array<{id_type}>"
-    small = (known.where(F.col("strings") <= most_strings).withColumn("cell", F.pmod(F.xxhash64("code"), F.lit(cells)))
-             .groupBy("cell").applyInPandas(judge, verdict))
-    words = F.split(F.col("words").cast("string"), " ")
-    spread = (known.where(F.col("strings") > most_strings).select("code", "hash", "first", words.alias("w"))
-              .select("code", "hash", "first", F.posexplode(F.transform(
-                  F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda o: F.array_join(F.slice("w", o, k), " "))).alias("pos", "window")))
-    least = spread.groupBy("window").agg(F.min("first").alias("least"))
-    large = (spread.join(least, "window").groupBy("code", "hash")
-             .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "least"))), lambda s: s["least"]).alias("least")))
-    judged = small.unionByName(large)
+    judged = (plain.withColumn("cell", F.pmod(F.xxhash64("code"), F.lit(cells)))
+              .groupBy("cell").applyInPandas(judge, verdict))
+    if crowds:
+        judged = judged.unionByName(_judge_windows(packed.join(crowded, "code"), k))
 
     gone = F.filter(F.transform("least", lambda f, o: F.when(f < F.col("id"), F.col("start") + o)), lambda p: p.isNotNull())
     windows = (sent.select("id", "key", "start", "code", "hash").join(judged, ["code", "hash"])
