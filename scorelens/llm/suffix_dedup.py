@@ -201,6 +201,16 @@ def flag_spans(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist()
 
 
+def _judge_digests(strings: DataFrame, k: int) -> DataFrame:
+    """(code, hash, runs) of strings whose windows are spread one by one and grouped by digest."""
+    windows = F.octet_length("bytes") - (k - 1)
+    spread = strings.select("code", "hash", "times", F.posexplode(F.transform(
+        F.sequence(F.lit(1), windows), lambda o: F.unhex(F.md5(F.substring("bytes", o, k))))).alias("pos", "window"))
+    often = spread.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
+    return (spread.join(often, "window").groupBy("code", "hash")
+            .agg(F.flatten(F.transform(F.collect_list("pos"), lambda p: F.array(p.cast("long"), p.cast("long") + 1))).alias("runs")))
+
+
 def drop_repeated_bytes(docs: DataFrame, k: int = 400, id_col: str = "doc_id", text_col: str = "text",
                         most_strings: int = 20_000) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (binary), spans.
@@ -255,13 +265,9 @@ def drop_repeated_bytes(docs: DataFrame, k: int = 400, id_col: str = "doc_id", t
     whole = known.where("least > 1").select("code", "hash", F.array(F.lit(0).cast("long"), windows.cast("long")).alias("runs"))
     several = known.where((F.col("strings") > 1) & (F.col("least") == 1))
     small = several.where(F.col("strings") <= most_strings).groupBy("code").applyInPandas(judge, verdict)
-    spread = (several.where(F.col("strings") > most_strings)
-              .select("code", "hash", "times", F.posexplode(F.transform(
-                  F.sequence(F.lit(1), windows), lambda o: F.unhex(F.md5(F.substring("bytes", o, k))))).alias("pos", "window")))
-    often = spread.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    large = (spread.join(often, "window").groupBy("code", "hash")
-             .agg(F.flatten(F.transform(F.collect_list("pos"), lambda p: F.array(p.cast("long"), p.cast("long") + 1))).alias("runs")))
-    judged = whole.unionByName(small).unionByName(large)
+    judged = whole.unionByName(small)
+    if per_code.where(F.col("strings") > most_strings).limit(1).count():
+        judged = judged.unionByName(_judge_digests(several.where(F.col("strings") > most_strings), k))
 
     shifted = F.transform("runs", lambda r, o: r + F.col("start") + F.when(o % 2 == 1, F.lit(k - 1)).otherwise(F.lit(0)))
     gone = (sent.select("id", "key", "start", "code", "hash").join(judged, ["code", "hash"])
