@@ -111,9 +111,7 @@ def nested_cv(features: DataFrame, out_path: str, feature_sets=("Descriptors",),
     from scorelens.sources.files import write_partitioned
 
     models = [m for m in models if m in MD.MODEL_ALIASES]
-    jobs = [(fs, m, f) for fs in feature_sets for m in models for f in range(1, n_folds + 1)
-            if not (fs == "Combined_Scaled" and MD.MODEL_ALIASES[m] != "logreg"
-                    and "Combined_Naive" in feature_sets)]
+    jobs = [(fs, m, f) for fs in feature_sets for m in models for f in range(1, n_folds + 1)]
 
     def run(job):
         fs, m, f = job

@@ -20,8 +20,11 @@ PREDICTION_KEYS = ("dataset", "feature_set", "model", "fold")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
-             encoding: str = LATIN1, multiline: bool = True) -> DataFrame:
-    """Headered delimited text with a fixed schema."""
+             encoding: str = LATIN1, multiline: bool = False) -> DataFrame:
+    """Headered delimited text with a fixed schema.
+
+    ``multiline``: values hold line ends; each file is then one task.
+    """
     return (spark.read.schema(schema).option("header", True).option("sep", sep)
             .option("encoding", encoding).option("multiLine", multiline)
             .option("escape", '"').csv(path))
