@@ -7,7 +7,9 @@ projections of a vector to cells of one width; a query visits its own cell and
 then neighbouring cells in the order of their estimated chance to hold a near
 vector (perturbations of the coordinates nearest to a cell wall come first).
 Candidates of all tables are scored exactly, in double precision, on the
-original vectors, and merged.
+original vectors, and merged.  The own cells are searched first; what they find
+bounds what a query still takes from the neighbouring cells, so those send few
+rows however many of them it visits.
 
 ``k`` follows the number of vectors, so cells keep their size.  The number of
 probes is fitted: for a bounded sample of queries the true neighbours are found
@@ -154,8 +156,8 @@ def _best(query: np.ndarray, rep: np.ndarray, score: np.ndarray, top: int) -> np
 
 
 def search_cell(keys: np.ndarray, reps: np.ndarray, vecs: np.ndarray, probe_keys: list[np.ndarray], queries: np.ndarray,
-                top: int, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best reps of each query among the rows of its buckets: (query position, rep, score)."""
+                top: int, least: np.ndarray, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best reps of each query among the rows of its buckets that score its ``least`` or more: (query position, rep, score)."""
     order = np.argsort(keys, kind="stable")
     keys, reps, vecs = keys[order], reps[order], vecs[order]
     want = np.concatenate(probe_keys)
@@ -163,7 +165,7 @@ def search_cell(keys: np.ndarray, reps: np.ndarray, vecs: np.ndarray, probe_keys
     by = np.argsort(want, kind="stable")
     want, who = want[by], who[by]
     bounds = np.flatnonzero(np.concatenate([[True], want[1:] != want[:-1], [True]]))
-    least = np.full(len(queries), -np.inf)
+    least = least.copy()
     held: list[tuple] = []
     size = 0
 
@@ -234,7 +236,15 @@ def nearest(vectors: DataFrame, queries_where, id_col: str = "vec_id", vec_col:
 
     hashing = Hashing(dim, int(np.clip(np.rint(np.log2(max(n, 2)) / 2 - 0.6), 2, 24)), longest)
     probes, _ = _fitted(searched, reps, hashing, top, recall)
-    found = _search(searched, reps, hashing, probes, n, top + 1, cell_rows)
+    found = _search(searched.withColumn("least", F.lit(float("-inf"))), reps, hashing, 0, 1, n, top + 1, cell_rows)
+    if probes > 1:
+        found = stored(found, "ann-own")
+        worst = found.groupBy("q").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("held")).where(F.col("held") > top)
+        slack = 1e-12 * longest ** 2  # more than a product's rounding
+        bounded = searched.join(worst, "q", "left").select(
+            "q", "vec", F.coalesce(F.col("worst") - slack, F.lit(float("-inf"))).alias("least"))
+        rest = _search(bounded, reps, hashing, 1, probes, n, top + 1, cell_rows)
+        found = found.unionByName(rest).groupBy("q", "rep").agg(F.max("score").alias("score"))
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vid")
     expanded = (found.join(reps.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vid"))
@@ -271,8 +281,9 @@ def _fitted(searched: DataFrame, reps: DataFrame, hashing: Hashing, top: int, re
     return fit_probes(hashing, matrix, pairs, recall)
 
 
-def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, probes: int, n: int, top: int, cell_rows: int) -> DataFrame:
-    """(q, rep, score) of the best candidates of each searched vector."""
+def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, first: int, last: int, n: int, top: int,
+            cell_rows: int) -> DataFrame:
+    """(q, rep, score) of the best candidates that probes [first, last) find for each (q, vec, least) and that score ``least`` or more."""
     cells = -(-n * TABLES // cell_rows)
     vec_type = reps.schema["vec"].dataType.simpleString()
 
@@ -289,18 +300,18 @@ def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, probes: int,
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 who, cell, buckets = [], [], []
-                for n, keys in enumerate(hashing.probe_keys(_matrix(part.column(1)), probes).reshape(len(part), -1)):
+                for n, keys in enumerate(hashing.probe_keys(_matrix(part.column(1)), last)[:, :, first:].reshape(len(part), -1)):
                     keys = np.unique(keys)
                     home = keys % cells
                     order = np.argsort(home, kind="stable")
-                    at, first = np.unique(home[order], return_index=True)
+                    at, cut = np.unique(home[order], return_index=True)
                     who += [n] * len(at)
                     cell += at.tolist()
-                    buckets += np.split(keys[order], first[1:])
+                    buckets += np.split(keys[order], cut[1:])
                 take = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()),
-                                                  part.column(0).take(take), pa.array(buckets, pa.list_(pa.int64())),
-                                                  part.column(1).take(take)], names=["home", "q", "buckets", "vec"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell, pa.int64()), part.column(0).take(take), pa.array(buckets, pa.list_(pa.int64())),
+                     part.column(1).take(take), part.column(2).take(take)], names=["home", "q", "buckets", "vec", "least"])
 
     indexed = (reps.select("rep", "vec").mapInArrow(index, f"bucket long, rep long, vec {vec_type}")
                .withColumn("home", F.pmod("bucket", F.lit(cells))))
@@ -309,7 +320,8 @@ def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, probes: int,
     parts = F.coalesce("parts", F.lit(1))
     rows = (indexed.join(split, "home", "left").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
             .select("home", "part", "bucket", "rep", "vec"))
-    asks = (searched.mapInArrow(probe, f"home long, q long, buckets array<long>, vec {vec_type}").join(split, "home", "left")
+    asks = (searched.select("q", "vec", "least")
+            .mapInArrow(probe, f"home long, q long, buckets array<long>, vec {vec_type}, least double").join(split, "home", "left")
             .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"))
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -317,7 +329,8 @@ def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, probes: int,
             return pd.DataFrame({"q": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
         q, rep, score = search_cell(
             left["bucket"].to_numpy(np.int64), left["rep"].to_numpy(np.int64), np.stack(left["vec"].to_numpy()).astype(np.float64),
-            [np.asarray(b, dtype=np.int64) for b in right["buckets"]], np.stack(right["vec"].to_numpy()).astype(np.float64), top)
+            [np.asarray(b, dtype=np.int64) for b in right["buckets"]], np.stack(right["vec"].to_numpy()).astype(np.float64), top,
+            right["least"].to_numpy(np.float64))
         return pd.DataFrame({"q": right["q"].to_numpy(np.int64)[q], "rep": rep, "score": score})
 
     found = (rows.groupBy("home", "part").cogroup(asks.groupBy("home", "part"))
