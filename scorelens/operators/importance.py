@@ -89,22 +89,22 @@ def mean_of_fold_means(per_fold: DataFrame, keys: Sequence[str], fold: str = "fo
                                        F.count(fold).alias("n_folds"))
 
 
-def last_per_key(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+def last_per_key(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """W5 / J4 dictionary: value of the LAST row per key (explicit ordinal).
 
     ``max_by`` over a struct keeps a null winner distinguishable from no row.
     """
-    return df.groupBy(key).agg(F.max_by(F.struct(F.col(value).alias("v")),
-                                         F.struct(*order)).alias("_w")) \
-        .select(key, F.col("_w.v").alias(value))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")),
+                                          F.struct(*order)).alias("_w")) \
+        .select(*keys, F.col("_w.v").alias(value))
 
 
-def lookup_with_default(left: DataFrame, dictionary: DataFrame, key: str, value: str,
+def lookup_with_default(left: DataFrame, dictionary: DataFrame, keys: Sequence[str], value: str,
                         default: str = "N/A") -> DataFrame:
     """Left join to a key -> value dictionary; 'N/A' only when the key is absent
     (a present key with a null value stays null)."""
     d = dictionary.withColumn("_hit", F.lit(True))
-    j = left.join(d, key, "left")
+    j = left.join(d, list(keys), "left")
     return j.withColumn(value, F.when(F.col("_hit").isNull(), F.lit(default))
                         .otherwise(F.col(value))).drop("_hit")
 

@@ -609,16 +609,16 @@ FROM ranked GROUP BY model, bit"""
 
 LOOKUP = f"""{FRAG_BASE}, {_frag_rows("topn")},
 dict0 AS (
-  SELECT bit, fragment, row_number() OVER (
-           PARTITION BY bit ORDER BY CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END DESC,
+  SELECT model, bit, fragment, row_number() OVER (
+           PARTITION BY model, bit ORDER BY CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END DESC,
                                      coalesce(doc_id, -1) DESC) AS rn
-  FROM frows WHERE model = 'toxic'
+  FROM frows
 ),
-dict AS (SELECT bit, fragment FROM dict0 WHERE rn = 1),
+dict AS (SELECT model, bit, fragment FROM dict0 WHERE rn = 1),
 lookup AS (
   SELECT t.model, t.feature, CAST(t.feature_idx AS BIGINT) AS bit, t.mean_abs,
          CASE WHEN d.bit IS NULL THEN 'N/A' ELSE d.fragment END AS fragment
-  FROM topn t LEFT JOIN dict d ON t.feature_idx = d.bit
+  FROM topn t LEFT JOIN dict d ON t.model = d.model AND t.feature_idx = d.bit
 )"""
 
 ORACLES["fragment_lookup"] = f"""WITH {LOOKUP}

@@ -459,10 +459,10 @@ def q_first_last_per_key(spark, sf_dir):
 
 def _lookup(spark, sf_dir):
     rows = _fragment_rows(spark, sf_dir)
-    dictionary = X.fragment_dictionary(rows.filter(F.col("model") == X.FRAGMENT_MODEL))
+    dictionary = X.fragment_dictionary(rows)
     top = X.top_bits(spark, sf_dir).select("model", "feature", F.col("feature_idx").alias("bit"),
                                           "mean_abs")
-    return I.lookup_with_default(top, dictionary, "bit", "fragment")
+    return I.lookup_with_default(top, dictionary, ["model", "bit"], "fragment")
 
 
 @register("fragment_lookup")

@@ -24,11 +24,11 @@ def test_merge_groups_null_fragments(spark):
 def test_lookup_na_only_when_absent(spark):
     left = spark.createDataFrame([(1,), (2,), (3,)], "bit long")
     dic = spark.createDataFrame([(1, "frag"), (2, None)], "bit long, fragment string")
-    got = {r["bit"]: r["fragment"] for r in I.lookup_with_default(left, dic, "bit", "fragment").collect()}
+    got = {r["bit"]: r["fragment"] for r in I.lookup_with_default(left, dic, ["bit"], "fragment").collect()}
     assert got == {1: "frag", 2: None, 3: "N/A"}
 
 
 def test_last_per_key_keeps_null_winner(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, None, 2), (2, "b", 1)], "bit long, fragment string, o int")
-    got = {r["bit"]: r["fragment"] for r in I.last_per_key(df, "bit", "fragment", ["o"]).collect()}
+    got = {r["bit"]: r["fragment"] for r in I.last_per_key(df, ["bit"], "fragment", ["o"]).collect()}
     assert got == {1: None, 2: "b"}
