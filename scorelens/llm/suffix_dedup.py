@@ -4,8 +4,9 @@ Windows of ``k`` bytes go with their minimiser: runs whose minimiser occurs
 again are sent as packed strings, equal strings are combined first and keep
 their number of occurrences.  Where a minimiser has strings that occur once
 beside other strings, stretches whose window hashes occur once are cut away,
-equal remains are combined, and a suffix array over them puts equal windows
-next to each other; their occurrences are added up.
+equal remains are combined, and a suffix array puts equal windows next to each
+other; their occurrences are added up.  Remains with several copies are repeated
+whole; of these the array holds what the other remains may share.
 
 The suffix array is built in two linear phases.  Grouping: suffixes start
 grouped by first byte; groups are processed from the greatest to the smallest;
@@ -167,38 +168,50 @@ def equal_neighbours(strings: list[bytes], times: list[int], k: int) -> list[np.
     return [flag[base[i]:max(base[i], base[i + 1] - k)] for i in range(len(strings))]
 
 
+def _stretches(mask: np.ndarray) -> list[list[int]]:
+    return np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+
+
 def repeated_windows(strings: list[bytes], times: list[int], k: int) -> list[np.ndarray]:
     """For each string, which of its windows of ``k`` bytes occur at least twice, ``times`` counted.
 
-    Stretches whose window hashes all occur once are cut away first; equal
-    remains are combined, and the suffix array is built over the different ones.
+    Stretches whose window hashes all occur once are cut away first and equal
+    remains are combined.  A remain with several copies holds repeated windows
+    only; beside the others it matters where the hashes of its windows occur in
+    them, and is cut to that.  The suffix array is built over what is left.
     """
     data, base, owner, valid = _joined(strings, k)
     at = np.flatnonzero(valid)
     _, which = np.unique(span_hashes(data, at, at + k), return_inverse=True)
-    often = np.zeros(base[-1] + 1, dtype=np.int8)
+    kind = np.full(base[-1], -1, dtype=np.int64)
+    kind[at] = which
+    often = np.zeros(base[-1], dtype=bool)
     if len(at):
         often[at] = np.bincount(which, weights=np.array(times)[owner[at]])[which] >= 2
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], often]))).reshape(-1, 2)
-    raw, number, weight, held = data.tobytes(), {}, [], []
-    for a, b in edge.tolist():
+    raw, weight, held = data.tobytes(), {}, []
+    for a, b in _stretches(often):
         piece = raw[a:b + k - 1]
-        n = number.setdefault(piece, len(number))
-        if n == len(weight):
-            weight.append(0)
-        weight[n] += times[owner[a]]
-        held.append((a, b, n))
+        weight[piece] = weight.get(piece, 0) + times[owner[a]]
+        held.append((a, b, piece))
+    single = {piece: (a, b) for a, b, piece in held if weight[piece] == 1}
+    asked = np.zeros(len(at), dtype=bool)
+    for a, b in single.values():
+        asked[kind[a:b]] = True
+    parts = dict.fromkeys(single, 1)
+    for piece, (a, b) in {p: (a, b) for a, b, p in held if p not in single}.items() if single else ():
+        for c, d in _stretches(asked[kind[a:b]]):
+            part = raw[a + c:a + d + k - 1]
+            parts[part] = parts.get(part, 0) + weight[piece]
+    found = dict(zip(parts, equal_neighbours(list(parts), list(parts.values()), k), strict=True)) if parts else {}
     flag = np.zeros(base[-1], dtype=bool)
-    if number:
-        found = equal_neighbours(list(number), weight, k)
-        for a, b, n in held:
-            flag[a:b] = found[n]
+    for a, b, piece in held:
+        flag[a:b] = found[piece] if piece in single else True
     return [flag[base[i]:max(base[i], base[i + 1] - k)] for i in range(len(strings))]
 
 
 def flag_spans(flags: np.ndarray) -> list[int]:
     """Starts and ends of the runs of true values, one after the other."""
-    return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist()
+    return [edge for stretch in _stretches(flags) for edge in stretch]
 
 
 def _judge_digests(strings: DataFrame, k: int) -> DataFrame:

@@ -58,6 +58,23 @@ def test_repeated_windows_counts_copies_and_overlaps():
         assert [g.tolist() for g in got] == [[True, False, False], [False, True], [True, True], [True, True]]
 
 
+def test_repeated_windows_equal_counting():
+    rng = random.Random(5)
+    for trial in range(600):
+        k, letters = rng.randint(1, 6), b"ab" if trial % 2 else b"abcd"
+        pool = [bytes(rng.choices(letters, k=rng.randint(1, 25))) for _ in range(3)]
+        strings = {}
+        for _ in range(rng.randint(1, 6)):
+            text = rng.choice(pool)
+            strings[text[rng.randint(0, len(text)):] + bytes(rng.choices(letters, k=rng.randint(0, 10)))] = rng.choice([1, 1, 1, 2])
+        seen = Counter()
+        for s, times in strings.items():
+            for o in range(len(s) - k + 1):
+                seen[s[o:o + k]] += times
+        got = repeated_windows(list(strings), list(strings.values()), k)
+        assert [g.tolist() for g in got] == [[seen[s[o:o + k]] > 1 for o in range(len(s) - k + 1)] for s in strings]
+
+
 @pytest.mark.parametrize("k,most", [(40, 20_000), (12, 20_000), (12, 1), (30, 2)])
 def test_equals_brute_force(spark, k, most):
     rows = corpus(k + most)
