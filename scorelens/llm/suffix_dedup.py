@@ -34,6 +34,7 @@ from scorelens.llm.common import _BYTE_CODE, mix, pack_texts, span_hashes, store
 from scorelens.llm.minimisers import Runs, codes, repeated, window_runs
 
 MER = 24
+CELL_STRINGS = 1000  # of at most 2k bytes each, on average, in a cell
 
 
 def byte_runs(data: np.ndarray, off: np.ndarray, k: int) -> Runs:
@@ -263,24 +264,24 @@ def drop_repeated_bytes(docs: DataFrame, k: int = 400, id_col: str = "doc_id", t
             .mapInArrow(strings, f"id {id_type}, key long, start long, code long, bytes binary")
             .withColumn("hash", F.xxhash64("bytes")))
     packed = stored(sent.groupBy("code", "hash", "bytes").agg(F.count(F.lit(1)).alias("times")), "suffix-strings")
-    per_code = packed.groupBy("code").agg(F.count(F.lit(1)).alias("strings"), F.min("times").alias("least"))
-    known = packed.join(per_code.where("strings > 1 OR least > 1").hint("merge"), "code")
-    windows = F.octet_length("bytes") - (k - 1)
+    crowded = stored(packed.groupBy("code").count().where(F.col("count") > most_strings).select("code"), "suffix-crowded")
+    crowds, cells = crowded.count(), max(buckets, -(-packed.count() // CELL_STRINGS))
+    plain = packed.join(crowded, "code", "left_anti") if crowds else packed
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        flags = repeated_windows(pdf["bytes"].tolist(), pdf["times"].tolist(), k)
+        by = pdf.groupby("code")["times"]
+        pdf = pdf[(by.transform("size") > 1) | (pdf["times"] > 1)]
+        strings = pdf["bytes"].tolist()
+        flags = repeated_windows(strings, pdf["times"].tolist(), k) if strings else []
         keep = [n for n, f in enumerate(flags) if f.any()]
         part = pdf.iloc[keep]
         return pd.DataFrame({"code": part["code"], "hash": part["hash"], "runs": pd.Series([flag_spans(flags[n]) for n in keep], part.index, dtype=object)})
 
-    verdict = "code long, hash long, runs array<long>"
-    # several copies of each string: every window is repeated already
-    whole = known.where("least > 1").select("code", "hash", F.array(F.lit(0).cast("long"), windows.cast("long")).alias("runs"))
-    several = known.where((F.col("strings") > 1) & (F.col("least") == 1))
-    small = several.where(F.col("strings") <= most_strings).groupBy("code").applyInPandas(judge, verdict)
-    judged = whole.unionByName(small)
-    if per_code.where(F.col("strings") > most_strings).limit(1).count():
-        judged = judged.unionByName(_judge_digests(several.where(F.col("strings") > most_strings), k))
+    # equal windows have one code, so a cell may judge the strings of all its codes together
+    judged = (plain.withColumn("cell", F.pmod(F.xxhash64("code"), F.lit(cells)))
+              .groupBy("cell").applyInPandas(judge, "code long, hash long, runs array<long>"))
+    if crowds:
+        judged = judged.unionByName(_judge_digests(packed.join(crowded, "code"), k))
 
     shifted = F.transform("runs", lambda r, o: r + F.col("start") + F.when(o % 2 == 1, F.lit(k - 1)).otherwise(F.lit(0)))
     gone = (sent.select("id", "key", "start", "code", "hash").join(judged, ["code", "hash"])
