@@ -3,6 +3,10 @@
 A text is cut into sentences (line ends, or sentence marks before white space),
 each sentence is normalised (A-Z lower-cased, every run of other characters
 than a-z and 0-9 one space) and looked up among the known licence sentences.
+A known sentence may also go on over single line ends, over ``:`` and ``;`` and
+inside ``v. 2``, as notices are wrapped and written in files, but not over a
+blank line or another sentence mark; where several start, the longest counts.
+``license_sql`` looks up the cut pieces alone: on wrapped notices it finds less.
 The identifiers found, in text order, form the document's sequence; a licence
 rule matches when its ordered identifiers occur in it one after another.  A
 rule inside a longer matching rule is dropped.  Everything happens in the
@@ -81,7 +85,16 @@ RULES = (
     ("Unlicense", ("unlicense-free",)),
 )
 
-BREAK = r"[.!?:;]+[ \t\r\n]+|[\r\n]+"
+#: Every cut becomes H (a sentence ends) or S (it may go on), in this order; texts have no capitals by then.
+MARKS = (
+    (r"\r\n?", "\n"),
+    (r"\n[ \t]*\n", " H "),
+    (r"(?<![a-z0-9])v\.[ \t\n]+(?=[0-9])", "v S "),
+    (r"[.!?][ \t\n]+", " H "),
+    (r"[:;][ \t\n]+", " S "),
+    (r"\n", " S "),
+    (r"[^a-z0-9HS]+", " "),
+)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -95,18 +108,22 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     known = F.array(*[F.lit(text) for _, text in sentences])
     names = F.array(*[F.lit(name) for name, _ in sentences])
+    longest = sorted((text for _, text in sentences), key=len, reverse=True)
+    whole = "(?<=[HS] )(?:" + "|".join(text.replace(" ", "(?: S)* ") for text in longest) + ")(?= [HS])"
     table = F.array(*[F.struct(F.lit(lic).alias("lic"), F.lit("," + ",".join(seq) + ",").alias("seq"))
                       for lic, seq in rules])
 
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
                        "abcdefghijklmnopqrstuvwxyz")
-    cut = docs.select(F.col(id_col), F.filter(F.transform(
-        F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))),
-        lambda s: s != "").alias("_sentences"))
+    text = F.concat(F.lit("H "), text, F.lit(" H"))
+    for pattern, mark in MARKS:
+        text = F.regexp_replace(text, pattern, mark)
+    cut = docs.select(F.col(id_col), text.alias("_marked"))
     found = cut.select(
-        F.col(id_col), F.size("_sentences").cast("long").alias("n_sentences"),
-        F.transform(F.filter(F.transform("_sentences", lambda s: F.array_position(known, s)), lambda p: p > 0),
-                    lambda p: F.element_at(names, p.cast("int"))).alias("_ids"))
+        F.col(id_col), F.regexp_count("_marked", F.lit("[HS] [a-z0-9]")).cast("long").alias("n_sentences"),
+        F.transform(F.regexp_extract_all("_marked", F.lit(whole), F.lit(0)),
+                    lambda s: F.element_at(names, F.array_position(known, F.replace(s, F.lit(" S"), F.lit(""))).cast("int"))
+                    ).alias("_ids"))
     seq = found.select("*", F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(",")).alias("_seq"))
     hit = seq.select("*", F.filter(table, lambda r: F.col("_seq").contains(r["seq"])).alias("_hit"))
     top = F.filter("_hit", lambda r: ~F.exists("_hit", lambda s: (s["seq"] != r["seq"]) & s["seq"].contains(r["seq"])))
