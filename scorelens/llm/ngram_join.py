@@ -251,10 +251,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     blocks = stored(connected_labels(tied), "ngram-blocks")  # (node, component) over first digest halves
 
     sets = found.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"))
+    # an id may stand on several sets: the nodes of the product are the sets themselves
+    sets = sets.withColumn("node", F.expr("concat(lpad(hex(hi), 16, '0'), lpad(hex(lo), 16, '0'), hex(n))"))
     placed = stored(sets.join(blocks.select(F.col("node").alias("hi"), F.col("component").alias("block")), "hi"), "ngram-placed")
     large = (placed.groupBy("block").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"))
              .where("members > 1").withColumn("chunks", F.ceil(F.col("total") / cell_shingles).cast("int")).drop("members"))
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     pairs = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: o != F.col("chunk")),
                     lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j"))))
@@ -264,8 +266,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     # the same plan at every size: the list of sets to load grows with the input and is never broadcast
     with_text = pack_texts(rows).withColumnRenamed("id", "rep").join(
-        wanted.select("rep", "hi", "lo", "n", "block", F.explode(pairs).alias("tile")).hint("merge"), "rep").select(
-        "rep", "hi", "lo", "block", "tile.i", "tile.j", "z")
+        wanted.select("rep", "node", "hi", "lo", "block", F.explode(pairs).alias("tile")).hint("merge"), "rep").select(
+        "node", "hi", "lo", "block", "tile.i", "tile.j", "z")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,26 +279,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
                 same = (hi == part.column(1).to_numpy()) & (lo == part.column(2).to_numpy())
                 packed = pa.array([sets[at[d]:at[d + 1]].tobytes() if same[d] else None for d in range(j - i)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in (0, 3, 4, 5)], packed],
-                                                 names=["rep", "block", "i", "j", "grams"])
+                                                 names=["node", "block", "i", "j", "grams"])
 
-    rep_type = id_type
-    loaded = (with_text.mapInArrow(load, f"rep {rep_type}, block long, i int, j int, grams binary")
+    loaded = (with_text.mapInArrow(load, "node string, block long, i int, j int, grams binary")
               .where("grams IS NOT NULL").withColumn("cell", F.pmod(F.xxhash64("block", "i", "j"), F.lit(cells))))
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for _, group in pdf.groupby(["block", "i", "j"], sort=False):
-            group = group.drop_duplicates("rep")
-            rep = group["rep"].to_numpy()
+            group = group.drop_duplicates("node")
+            node = group["node"].to_numpy()
             for x, y in link_block([np.frombuffer(g, np.uint64) for g in group["grams"]], num, den):
-                a.append(rep[x])
-                b.append(rep[y])
-        return pd.DataFrame({"a": pd.Series(a, dtype=pdf["rep"].dtype), "b": pd.Series(b, dtype=pdf["rep"].dtype)})
-
-    links = loaded.groupBy("cell").applyInPandas(multiply, f"a {rep_type}, b {rep_type}")
-    joined = connected_labels(links).select(F.col("node").alias("rep"), "component")
-    by_set = (sets.join(joined, "rep", "left")
-              .select("hi", "lo", "n", F.coalesce("component", "rep").alias("component")))
+                a.append(node[x])
+                b.append(node[y])
+        return pd.DataFrame({"a": pd.Series(a, dtype=pdf["node"].dtype), "b": pd.Series(b, dtype=pdf["node"].dtype)})
+
+    links = loaded.groupBy("cell").applyInPandas(multiply, "a string, b string")
+    # (node, smallest id of its component); a component of many sets is dealt over salts
+    joined = stored(connected_labels(links).join(sets.select("node", "rep"), "node")
+                    .withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "ngram-joined")
+    part = joined.groupBy("component", "salt").agg(F.min("rep").alias("least"))
+    least = part.select("component", "salt").join(part.groupBy("component").agg(F.min("least").alias("least")), "component")
+    ids = joined.join(least, ["component", "salt"]).select("node", "least")
+    by_set = (sets.join(ids, "node", "left")
+              .select("hi", "lo", "n", F.coalesce("least", "rep").alias("component")))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     salted = found.where("n > 0 AND id IS NOT NULL").select("hi", "lo", "n", salt).distinct().join(by_set, ["hi", "lo", "n"])
     out = found.withColumn("salt", salt).join(salted, ["hi", "lo", "n", "salt"], "left")
