@@ -164,16 +164,18 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 # ---------------------------------------------------------------- Spark side
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample: int = 3000, most_languages: int = 200) -> LanguageModel | None:
+          sample: int = 3000, most_languages: int = 2000) -> LanguageModel | None:
     """Fit on the rows given (leave held-out rows out); None if no row has text and language.
 
     The fit reads at most ``sample`` documents (or one per language) and learns
-    the ``most_languages`` most frequent values; document frequencies cover all rows.
+    every value of ``lang``; document frequencies cover all rows.  More than
+    ``most_languages`` values (131 MB a matrix of the model at 2000) raise.
     """
     rows = (docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
             .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
-    sizes = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(most_languages + 1).collect())
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} values of {lang_col}: the model cannot hold them all")
     if not languages:
         return None
 
@@ -197,7 +199,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     share = max(1, sample // len(languages))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    pick = (rows.where(F.col("lang").isin(languages)).select("id", "lang").withColumn("k", F.row_number().over(order))
+    pick = (rows.select("id", "lang").withColumn("k", F.row_number().over(order))
             .where(F.col("k") <= share).select("id", "lang").distinct())
     chosen = rows.join(F.broadcast(pick), ["id", "lang"]).select("id", "lang", "text")
 
@@ -223,6 +225,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         slot, count = np.frombuffer(r.slots, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4")
         samples.append((slot, weighted(np.zeros(len(slot), np.int64), slot, count, idf, 1)))
     held = np.arange(len(got)) % 5 == 4 if len(got) >= 20 else np.zeros(len(got), bool)
+    held[np.unique(labels, return_index=True)[1]] = False  # one document of each language is always learned
     fit_rows = np.flatnonzero(~held)
     weights, bias = fit_ftrl([samples[i] for i in fit_rows], labels[fit_rows], len(languages))
     model = LanguageModel(languages, idf, weights, bias)
