@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorelens.llm import ann, language, toxicity
-from scorelens.llm.common import documents, labels
+from scorelens.llm.common import documents, labels, scratch_dir
 from scorelens.llm.exact_dedup import exact_dedup
+from scorelens.llm.lexical import ranked_search
 from scorelens.llm.licenses import license_scan, license_sql
+from scorelens.llm.negatives import hard_negatives
 from scorelens.llm.ngram_join import jaccard_components
 from scorelens.llm.packing import pack
 from scorelens.llm.piece_codec import encode_texts
 from scorelens.llm.suffix_dedup import drop_repeated_bytes
+from scorelens.llm.warc import page_summary, read_bundles, write_bundles
 from scorelens.llm.window_dedup import drop_repeated_windows
+from scorelens.sources.tables import spread
 
 
 def vocabulary(name: str) -> str:
@@ -87,6 +91,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC bundles in the shared folder, then described from the archives read back."""
+    folder = scratch_dir(spark, "warc")
+    write_bundles(_table(spark, sf_dir, "pages"), folder)
+    return page_summary(read_bundles(spark, folder))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item by presence masks, over whole texts of all documents."""
+    return ranked_search(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose vec_id is divisible by 100, against all rows, by vertical scan."""
+    vectors = spread(_table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,6 +131,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_warc_bundles": op11_warc_bundles,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -114,7 +144,62 @@ grouped AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM bas
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM base JOIN grouped USING (norm)"""
 
+_WARC = """
+WITH base AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT payload, min(page_id) AS first FROM base GROUP BY payload),
+digits AS (
+  SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32, 1), '' ORDER BY i) AS digest
+  FROM (SELECT DISTINCT hex FROM base), (SELECT unnest(range(0, 32)) AS i) GROUP BY hex)
+SELECT page_id, strlen(payload) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM base JOIN firsts USING (payload) JOIN digits USING (hex)"""
+
+_LEXICAL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+lens AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+corpus AS (SELECT count(*) AS nd, sum(n)::BIGINT AS total FROM lens),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), corpus),
+gains AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // total))) AS gain
+  FROM tfs JOIN weights USING (term) JOIN lens USING (doc_id), corpus),
+scores AS (SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM wanted JOIN gains USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+found AS (
+  SELECT p.*, n.other AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.other) AS rank
+  FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same
+    AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5"""
+
 ORACLES = {
     "op8_exact_dedup": _EXACT,
     "op9_license_scan": license_sql(),
+    "op11_warc_bundles": _WARC,
+    "op12_lexical_search": _LEXICAL,
+    "op13_hard_negatives": _NEGATIVES,
 }
