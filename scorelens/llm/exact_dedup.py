@@ -61,5 +61,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base, winners = _winners(docs, id_col, text_col, salts, carry=True)
     kept = winners.select(F.xxhash64("keep_id").alias("who"), "digest", "check", "keep_id")
     rows = base.drop("norm", "salt").withColumn("who", F.xxhash64("id"))
-    found = rows.join(kept.hint("merge"), ["who", "digest", "check"]).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    # not <=>, which the planner would add to the join's keys: repeats must stay dealt by the three keys alone
+    same = F.coalesce(F.col("id") == F.col("keep_id"), F.col("id").isNull() & F.col("keep_id").isNull())
+    found = rows.join(kept.hint("merge"), ["who", "digest", "check"]).where(same)
     return found.dropDuplicates(["who", "digest", "check"]).select("row.*")

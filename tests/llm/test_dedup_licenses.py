@@ -15,7 +15,7 @@ UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(ORACLES[name])
     cols = sorted(d[0] for d in want.description)
@@ -50,6 +50,12 @@ def test_drop_exact_copies_keeps_one_row_and_all_columns(spark, odd_docs):
     assert drop_exact_copies(odd_docs.limit(0)).count() == 0
 
 
+def test_drop_exact_copies_moves_no_row_for_repeats(spark, odd_docs):
+    """Salted merge, global merge, kept ids and rows: the repeats need no exchange of their own."""
+    plan = drop_exact_copies(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
 def test_exact_dedup_hot_group(spark):
     docs = spark.range(0, 3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'Same TEXT', concat('text ', id)) AS text")
     got = exact_dedup(docs).where("text_sha256 = sha2('same text', 256)").collect()
