@@ -76,7 +76,10 @@ def class_mean_differences(df: DataFrame, features: str, dim: int,
 
 
 def _lit_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array: one literal that the optimiser folds, not one expression per value."""
+    if not len(values):
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def linear_attributions(df: DataFrame, features: str, weights: Sequence[float],

@@ -4,9 +4,20 @@ A fitted ``RandomForestClassificationModel`` or ``GBTClassificationModel``
 is saved once; its ``data`` parquet (one row per node) becomes flat arrays
 per tree -- children, split feature, threshold, node value, cover.  That is
 the model, bounded by the number of nodes, not by the data, so it travels
-to the tasks in the closure.  ``mapInPandas`` then runs polynomial-time
-TreeSHAP (Lundberg, Erion & Lee 2018, Algorithm 2) on each Arrow batch of
-rows; no row leaves its partition.
+to the tasks in the closure.  ``mapInArrow`` then explains whole Arrow batches
+with array operations; no row leaves its partition.
+
+A leaf's path is the set of its distinct features, each with the interval
+``low < x <= high`` that leads on and the share ``z`` of the covers that follows
+the path.  With ``o = 1`` where a row is inside the interval, the Shapley sum over
+the subsets of the other features is an integral,
+
+    phi_i += value * (o_i - z_i) * Int_0^1 Prod_{j != i} (z_j (1 - t) + o_j t) dt,
+
+because Int t^k (1 - t)^(m - 1 - k) dt = k! (m - 1 - k)! / m! is the weight of a
+subset of size k.  The integrand is a polynomial of degree m - 1, so Gauss-Legendre
+quadrature with m / 2 nodes is exact, and all its factors are positive, so nothing
+cancels.  Rows x leaves x path positions are one numpy array.
 
 * forest: value = class-1 probability of the node (normalised class
   weights), model output = mean over trees, baseline = mean root value;
@@ -20,11 +31,15 @@ forest, the count statistic for a boosted tree.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.session import scratch_path
 
+CELLS = 1 << 20  # rows x leaves x path positions handled at once
+
 
 def tree_tables(spark: SparkSession, model, kind: str) -> dict:
     """Flat node arrays of every tree plus tree weights, read from the saved model."""
@@ -55,65 +70,66 @@ def tree_tables(spark: SparkSession, model, kind: str) -> dict:
     return {"kind": kind, "trees": trees, "weights": weights}
 
 
-# ------------------------------------------------------------------ Algorithm 2, one tree
-
-def _extend(m, pz, po, pi):
-    m = [list(e) for e in m]
-    ln = len(m)
-    m.append([pi, pz, po, 1.0 if ln == 0 else 0.0])
-    for i in range(ln - 1, -1, -1):
-        m[i + 1][3] += po * m[i][3] * (i + 1) / (ln + 1)
-        m[i][3] = pz * m[i][3] * (ln - i) / (ln + 1)
-    return m
-
-
-def _unwind(m, i):
-    ln = len(m) - 1
-    n = m[ln][3]
-    out = [list(e) for e in m[:ln]]
-    zi, oi = m[i][1], m[i][2]
-    for j in range(ln - 1, -1, -1):
-        if oi != 0:
-            t = out[j][3]
-            out[j][3] = n * (ln + 1) / ((j + 1) * oi)
-            n = t - out[j][3] * zi * (ln - j) / (ln + 1)
-        else:
-            out[j][3] = out[j][3] * (ln + 1) / (zi * (ln - j))
-    for j in range(i, ln):
-        out[j][0], out[j][1], out[j][2] = m[j + 1][0], m[j + 1][1], m[j + 1][2]
-    return out
+# ------------------------------------------------------------------ paths of one tree
 
+def leaf_paths(tree: dict) -> dict:
+    """Padded arrays over (leaf, path position): feature, low, high, z; and the leaf values.
 
-def _tree_shap(x, tree, phi, scale):
-    left, right, feat = tree["left"], tree["right"], tree["feature"]
-    thr, val, cov = tree["threshold"], tree["value"], tree["cover"]
-
-    def recurse(j, m, pz, po, pi):
-        m = _extend(m, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(m)):
-                w = sum(e[3] for e in _unwind(m, i))
-                phi[m[i][0]] += scale * w * (m[i][2] - m[i][1]) * val[j]
-            return
-        d = feat[j]
-        hot, cold = (left[j], right[j]) if x[d] <= thr[j] else (right[j], left[j])
-        iz = io = 1.0
-        k = next((i for i in range(1, len(m)) if m[i][0] == d), None)
-        if k is not None:
-            iz, io = m[k][1], m[k][2]
-            m = _unwind(m, k)
-        if cov[j] > 0:
-            recurse(hot, m, iz * cov[hot] / cov[j], io, d)
-            recurse(cold, m, iz * cov[cold] / cov[j], 0.0, d)
-
-    recurse(0, [], 1.0, 1.0, -1)
+    Padding has ``z = 1`` and an interval that holds every number, so it adds nothing.
+    """
+    left, right, cover = tree["left"], tree["right"], tree["cover"]
+    leaves, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        if left[node] < 0:
+            leaves.append((tree["value"][node], path))
+            continue
+        if cover[node] <= 0:
+            continue  # no training weight: no share of it reaches any leaf below
+        f, cut = tree["feature"][node], tree["threshold"][node]
+        low, high, z = path.get(f, (-np.inf, np.inf, 1.0))
+        todo.append((left[node], path | {f: (low, min(high, cut), z * cover[left[node]] / cover[node])}))
+        todo.append((right[node], path | {f: (max(low, cut), high, z * cover[right[node]] / cover[node])}))
+    width = max(1, max(len(p) for _, p in leaves))
+    shape = len(leaves), width
+    out = {"feature": np.zeros(shape, np.int64), "low": np.full(shape, -np.inf), "high": np.full(shape, np.inf),
+           "z": np.ones(shape), "value": np.array([v for v, _ in leaves], dtype=float)}
+    for i, (_, path) in enumerate(leaves):
+        for j, (f, (low, high, z)) in enumerate(path.items()):
+            out["feature"][i, j], out["low"][i, j], out["high"][i, j], out["z"][i, j] = f, low, high, z
+    return out
 
 
-def _predict(x, tree):
-    j = 0
-    while tree["left"][j] >= 0:
-        j = tree["left"][j] if x[tree["feature"][j]] <= tree["threshold"][j] else tree["right"][j]
-    return tree["value"][j]
+def add_attributions(x: np.ndarray, paths: dict, phi: np.ndarray, scale: float) -> None:
+    """Add ``scale`` times the attributions of one tree for the rows ``x`` to ``phi`` (both rows x features)."""
+    feature, z, value = paths["feature"], paths["z"], paths["value"]
+    nodes, weights = np.polynomial.legendre.leggauss((feature.shape[1] + 1) // 2)
+    step = max(1, CELLS // feature.size)
+    for start in range(0, len(x), step):
+        part = x[start:start + step]
+        seen = part[:, feature]
+        inside = (seen > paths["low"]) & (seen <= paths["high"])
+        total = np.zeros(inside.shape)
+        for t, w in zip((nodes + 1) / 2, weights / 2):
+            factor = np.where(inside, z * (1 - t) + t, z * (1 - t))
+            whole = factor.prod(axis=2, keepdims=True)
+            total += w * whole / np.where(factor == 0, 1.0, factor)
+        total *= scale * value[:, None] * (inside - z)
+        slot = np.arange(len(part))[:, None, None] * phi.shape[1] + feature
+        phi[start:start + step] += np.bincount(slot.ravel(), total.ravel(), len(part) * phi.shape[1]).reshape(len(part), -1)
+
+
+def leaf_values(x: np.ndarray, tree: dict) -> np.ndarray:
+    """Value of the leaf each row reaches, all rows one level at a time."""
+    left, right = np.array(tree["left"]), np.array(tree["right"])
+    feature, threshold = np.array(tree["feature"]), np.array(tree["threshold"])
+    at = np.zeros(len(x), np.int64)
+    while True:
+        inner = np.flatnonzero(left[at] >= 0)
+        if not len(inner):
+            return np.array(tree["value"])[at]
+        node = at[inner]
+        at[inner] = np.where(x[inner, feature[node]] <= threshold[node], left[node], right[node])
 
 
 def explain_rows(df: DataFrame, tables: dict, features: str, keys: list[str], dim: int) -> DataFrame:
@@ -121,34 +137,25 @@ def explain_rows(df: DataFrame, tables: dict, features: str, keys: list[str], di
 
     ``features`` is an ARRAY<DOUBLE> column (``vector_to_array`` of the model input).
     """
-    import numpy as np
-
     trees, weights = tables["trees"], tables["weights"]
-    forest = tables["kind"] == "rf"
-    scales = [1.0 / len(trees)] * len(trees) if forest else weights
+    scales = [1.0 / len(trees)] * len(trees) if tables["kind"] == "rf" else weights
     baseline = float(sum(s * t["value"][0] for s, t in zip(scales, trees)))
+    rows = df.select(*keys, features)
 
     def run(batches):
-        for pdf in batches:
-            phis, outs = [], []
-            for x in pdf[features]:
-                x = np.asarray(x, dtype=float)
-                phi = np.zeros(dim)
-                out = 0.0
-                for s, t in zip(scales, trees):
-                    _tree_shap(x, t, phi, s)
-                    out += s * _predict(x, t)
-                phis.append(phi.tolist())
-                outs.append(out)
-            res = pdf[keys].copy()
-            res["baseline"] = baseline
-            res["output"] = outs
-            res["phi"] = phis
-            yield res
-
-    key_fields = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
-    schema = f"{key_fields}, baseline double, output double, phi array<double>"
-    # per-row Python work dwarfs a round-robin shuffle of the rows: spread them
-    # over at least as many tasks as the cluster has cores
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.select(*keys, features).repartition(n).mapInPandas(run, schema)
+        paths = [leaf_paths(t) for t in trees]
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+            phi, output = np.zeros((n, dim)), np.zeros(n)
+            for s, t, p in zip(scales, trees, paths):
+                add_attributions(x, p, phi, s)
+                output += s * leaf_values(x, t)
+            offsets = pa.array(np.arange(n + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keys)], pa.array(np.full(n, baseline)), pa.array(output),
+                 pa.ListArray.from_arrays(offsets, pa.array(phi.ravel()))],
+                names=[*keys, "baseline", "output", "phi"])
+
+    key_fields = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
+    return rows.mapInArrow(run, f"{key_fields}, baseline double, output double, phi array<double>")

@@ -1,32 +1,52 @@
-"""M5, M8, M10, M11, E1/E4 on fitted models: grid search and nested cross-validation.
+"""Grid search and nested cross-validation with explanations.
 
 The driver only loops over the job table (feature set x model x outer fold)
 and submits Spark jobs; every row-level step -- fold assignment, scaling,
-class weights, fitting, scoring -- runs on executors.  Inner folds are a
-stratified fold column of the outer-training rows (``CrossValidator``'s
-``foldCol``), scored by exact ROC-AUC (``numBins=0``: no down-sampling,
-ties as half).  ``CrossValidator`` fits the best grid point once more on
-the whole outer-training split; that model is the outer fold's final model
-(no second refit).  Predictions are written partitioned by
-(dataset, feature_set, model, fold) and read back, which also cuts the
-lineage: a lost executor after the write costs nothing.
+class weights, fitting, scoring, explaining -- runs on executors.
+
+Grid search stacks the validation predictions of every (grid point, inner fold)
+in one long table and ranks them by ONE exact grouped ranking; a fold whose
+validation rows have a single class has no score and leaves the mean alone.
+
+A job (feature set, model, outer fold) writes, under partition folders of its
+keys, so a retried job replaces only its own:
+
+* ``predictions``   test rows: doc_id, y_true, y_prob, y_pred;
+* ``attributions``  train and test rows: split, doc_id, baseline, output (log-odds,
+  margin or probability) and phi per feature.
+
+When all jobs are done, one job each writes, under the same folders:
+
+* ``predictions_csv``  the predictions as CSV;
+* ``importance``       mean |phi| per feature over the training rows of each fold;
+* ``best_params``      JSON with the chosen parameters and their inner score;
+* ``facts``            row counts, class weights, scaler statistics, flatness of linear fits.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelens.operators import attribution as A
+from scorelens.operators import metrics as M
 from scorelens.operators import models as MD
+from scorelens.operators import treeshap as TS
 from scorelens.operators.descriptors import DESCRIPTOR_COLUMNS
 from scorelens.operators.folds import stratified_folds
+from scorelens.operators.scaling import FamilyScalerModel
+from scorelens.session import scratch_path
+from scorelens.sources.files import PREDICTION_KEYS, write_partitioned
 
 # The four feature sets and which columns they use.
 FEATURE_SETS = {
@@ -36,6 +56,10 @@ FEATURE_SETS = {
     "Combined_Scaled": {"bits": True, "desc": True, "scaled": True},
 }
 MODELS = ("logreg", "rf", "gbt")
+TABLES = ("predictions", "predictions_csv", "attributions", "importance", "best_params", "facts")
+
+Builder = Callable[[str, str, dict], Pipeline]
+Tuner = Callable[[DataFrame, str, str], tuple[dict, float | None]]
 
 
 def feature_stages(feature_set: str) -> list:
@@ -44,51 +68,177 @@ def feature_stages(feature_set: str) -> list:
     return [VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")]
 
 
+def feature_names(feature_set: str, n_bits: int = 1024) -> list[str]:
+    """Names of the slots of ``features``, in order."""
+    fs = FEATURE_SETS[feature_set]
+    return ([f"ECFP_{i}" for i in range(n_bits)] if fs["bits"] else []) + (list(DESCRIPTOR_COLUMNS) if fs["desc"] else [])
+
+
 def scale_columns(feature_set: str, model: str) -> list[str] | None:
     """Descriptors are scaled for LogReg only; trees are scale-free."""
     fs = FEATURE_SETS[feature_set]
-    if fs["scaled"] and fs["desc"] and MD.MODEL_ALIASES[model] == "logreg":
+    if fs["scaled"] and fs["desc"] and MD.MODEL_ALIASES.get(model) == "logreg":
         return list(DESCRIPTOR_COLUMNS)
     return None
 
 
+def default_builder(feature_set: str, model: str, params: dict) -> Pipeline:
+    """(feature set, model, parameters) -> unfitted pipeline; any function of this form may take its place."""
+    return MD.model_pipeline(model, feature_stages(feature_set), scale_columns(feature_set, model), **params)
+
+
 def positive_probability(df: DataFrame, col: str = "probability") -> DataFrame:
     """M9: class-1 probability as a double column ``y_prob``."""
     return df.withColumn("y_prob", vector_to_array(col)[1])
 
 
+# ------------------------------------------------------------------ M5 grid search
+
+def distinct_points(model: str, quick: bool) -> list[dict]:
+    """The grid without parameters that Spark's estimators lack, each remaining point once."""
+    points = []
+    for p in MD.grid_points(model, quick):
+        p = {k: v for k, v in p.items() if k != "min_samples_split"}
+        if p not in points:
+            points.append(p)
+    return points
+
+
+def inner_predictions(train: DataFrame, feature_set: str, model: str, grid: Sequence[dict], k: int = 5, seed: int = 42,
+                      parallelism: int = 4, builder: Builder = default_builder) -> DataFrame:
+    """(point, inner_fold, doc_id, y_true, y_prob) of every grid point on every inner fold, one stored long table."""
+    spark = train.sparkSession
+    inner = stratified_folds(train, "doc_id", "label", k=k, seed=seed, fold_col="inner_fold")
+    inner = inner.checkpoint()
+    path = scratch_path(spark, "inner_predictions")
+
+    def one(job):
+        point, fold = job
+        fitted = builder(feature_set, model, grid[point]).fit(inner.where(F.col("inner_fold") != fold))
+        scored = positive_probability(fitted.transform(inner.where(F.col("inner_fold") == fold)))
+        write_partitioned(scored.select(F.lit(point).alias("point"), "inner_fold", "doc_id",
+                                        F.col("label").cast("int").alias("y_true"), "y_prob"),
+                          path, ("point", "inner_fold"))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        list(pool.map(one, [(p, f) for p in range(len(grid)) for f in range(1, k + 1)]))
+    return spark.read.schema("doc_id long, y_true int, y_prob double, point int, inner_fold long").parquet(path)
+
+
+def point_scores(predictions: DataFrame) -> DataFrame:
+    """(point, mean_auc, n_scored, n_folds): one grouped ranking over all points and folds.
+
+    A fold without both classes scores null and counts in ``n_folds`` only; a
+    point without any scored fold has a null mean.
+    """
+    ranked = M.ranking_metrics(M.threshold_table(predictions, ["point", "inner_fold"]), ["point", "inner_fold"])
+    return ranked.groupBy("point").agg(F.avg("roc_auc").alias("mean_auc"), F.count("roc_auc").alias("n_scored"),
+                                       F.count(F.lit(1)).alias("n_folds"))
+
+
+def best_point(scores: DataFrame) -> tuple[int, float | None]:
+    """Highest mean, the first of equals; the first point when none has a score."""
+    row = scores.orderBy(F.col("mean_auc").desc_nulls_last(), "point").first()  # grid points, not data rows
+    return (int(row["point"]), row["mean_auc"]) if row else (0, None)
+
+
+def tune(train: DataFrame, feature_set: str, model: str, quick: bool = True, k: int = 5, seed: int = 42,
+         parallelism: int = 4, builder: Builder = default_builder, grid: Sequence[dict] | None = None) -> tuple[dict, float | None]:
+    """X4, the default tuner: (parameters, mean inner ROC-AUC) of the best grid point; one-point grids are scored too."""
+    grid = list(grid) if grid is not None else distinct_points(model, quick)
+    scores = point_scores(inner_predictions(train, feature_set, model, grid, k, seed, parallelism, builder))
+    point, score = best_point(scores)
+    return grid[point], score
+
+
 def grid_search(train: DataFrame, feature_set: str, model: str, quick: bool = True,
                 k: int = 5, seed: int = 42, parallelism: int = 4, score_single: bool = False):
-    """M5: mean inner ROC-AUC of every grid point; first best wins.
+    """M5: (fitted pipeline of the best point, its parameters, its mean inner ROC-AUC).
+
+    A one-point grid has nothing to choose: unless ``score_single`` asks for its
+    inner score, it is fitted at once and the score is None.
+    """
+    grid = distinct_points(model, quick)
+    params, score = (grid[0], None) if len(grid) == 1 and not score_single else \
+        tune(train, feature_set, model, quick, k, seed, parallelism)
+    return default_builder(feature_set, model, params).fit(train), params, score
 
-    Returns (best fitted PipelineModel, best params dict, best mean AUC).
-    A one-point grid has nothing to choose: unless ``score_single`` asks for
-    its inner score anyway, the point is fitted once and the score is None.
+
+# ------------------------------------------------------------------ E1-E4 explanations of a fitted pipeline
+
+def prepared(fitted, rows: DataFrame) -> DataFrame:
+    """Rows as the last stage of a fitted pipeline sees them (scaled, assembled), with ``x`` = its features as an array."""
+    for stage in fitted.stages[:-1]:
+        rows = stage.transform(rows)
+    return rows.withColumn("x", vector_to_array("features"))
+
+
+def mean_vector(rows: DataFrame, vector) -> list[float]:
+    """Mean of a vector column: one tree aggregate, whatever its width."""
+    row = rows.select(vector.alias("v")).agg(Summarizer.mean(F.col("v")).alias("m")).first()
+    return [float(v) for v in row["m"].toArray()] if row["m"] is not None else []
+
+
+def explain(fitted, train: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """(keys, baseline, output, phi) of ``rows`` in the space the classifier sees; None for a classifier of another kind.
+
+    The output is log-odds for a linear model (background: mean of the training
+    rows), the probability for a forest, the margin for boosted trees.
     """
-    pipe = MD.model_pipeline(model, feature_stages(feature_set), scale_columns(feature_set, model))
-    grid = MD.spark_param_grid(model, pipe.getStages()[-1], quick)
-    if len(grid) == 1 and not score_single:
-        return pipe.fit(train, grid[0]), {p.name: v for p, v in grid[0].items()}, None
-    inner = stratified_folds(train, "doc_id", "label", k=k, seed=seed, fold_col="_inner") \
-        .withColumn("inner_fold", (F.col("_inner") - 1).cast("int")).drop("_inner")
-    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                              metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator,
-                        foldCol="inner_fold", numFolds=k, parallelism=parallelism, seed=seed)
-    cvm = cv.fit(inner)
-    metrics = [m if m == m else float("-inf") for m in cvm.avgMetrics]  # NaN (one class) loses
-    best = max(range(len(metrics)), key=lambda i: (metrics[i], -i))
-    params = {p.name: v for p, v in grid[best].items()}
-    return cvm.bestModel, params, cvm.avgMetrics[best]
+    clf = fitted.stages[-1]
+    if isinstance(clf, LogisticRegressionModel):
+        background = mean_vector(prepared(fitted, train), F.col("features"))
+        return A.linear_attributions(prepared(fitted, rows), "x", clf.coefficients.toArray().tolist(), background,
+                                     float(clf.intercept)).select(*keys, "baseline", F.col("raw_score").alias("output"), "phi")
+    kind = "rf" if isinstance(clf, RandomForestClassificationModel) else "gbt" if isinstance(clf, GBTClassificationModel) else None
+    if kind is None:
+        return None
+    tables = TS.tree_tables(rows.sparkSession, clf, kind)
+    return TS.explain_rows(prepared(fitted, rows), tables, "x", list(keys), clf.numFeatures)
+
+
+def probability_of(output, model_kind: str):
+    """Class-1 probability from an explained output."""
+    scale = {"logreg": 1.0, "gbt": 2.0}
+    return output if model_kind == "rf" else 1 / (1 + F.exp(-scale[model_kind] * output))
+
+
+def gradient_ratio(fitted, train: DataFrame) -> float | None:
+    """Largest |gradient of the penalised loss| over the largest one its terms could reach; None but for linear models.
+
+    Near 0 at the optimum: lambda w_j + sum_i weight_i (p_i - y_i) x_ij / sum_i weight_i.
+    """
+    clf = fitted.stages[-1]
+    if not isinstance(clf, LogisticRegressionModel):
+        return None
+    weight = F.col(MD.WEIGHT_COL)
+    rows = positive_probability(clf.transform(prepared(fitted, train)))
+    part = rows.select(weight.alias("w"), (weight * (F.col("y_prob") - F.col("label"))).alias("r"),
+                       F.posexplode("x").alias("j", "v")).where("v != 0")
+    sums = part.groupBy("j").agg(F.sum(F.col("r") * F.col("v")).alias("g"), F.sum(F.col("w") * F.abs("v")).alias("top"))
+    total = rows.agg(F.sum(weight)).first()[0]
+    w, lam = clf.coefficients.toArray(), clf.getRegParam()
+    found = sums.collect()  # one row per feature of the model
+    worst = max((abs(lam * w[r["j"]] + r["g"] / total) for r in found), default=0.0)
+    most = max((r["top"] / total for r in found), default=1.0)
+    return float(worst / most) if most else 0.0
+
 
+# ------------------------------------------------------------------ M8 outer folds
 
 def outer_fold_job(features: DataFrame, feature_set: str, model: str, fold: int, quick: bool,
-                   dataset: str, parallelism: int = 4, score_single: bool = False):
-    """One (feature set, model, outer fold): tune on train, score test."""
+                   dataset: str, parallelism: int = 4, score_single: bool = False,
+                   builder: Builder = default_builder, tuner: Tuner | None = None):
+    """One (feature set, model, outer fold): tune on train, fit, score test -> (predictions, info, fitted pipeline)."""
     train = features.filter(F.col("fold") != fold)
     test = features.filter(F.col("fold") == fold)
-    best, params, score = grid_search(train, feature_set, model, quick, parallelism=parallelism,
-                                      score_single=score_single)
+    if tuner is not None:
+        params, score = tuner(train, feature_set, model)
+    elif len(distinct_points(model, quick)) == 1 and not score_single:
+        params, score = distinct_points(model, quick)[0], None
+    else:
+        params, score = tune(train, feature_set, model, quick, parallelism=parallelism, builder=builder)
+    best = builder(feature_set, model, params).fit(train)
     pred = positive_probability(best.transform(test)).select(
         F.lit(dataset).alias("dataset"), F.lit(feature_set).alias("feature_set"),
         F.lit(model).alias("model"), F.lit(fold).cast("bigint").alias("fold"),
@@ -100,24 +250,104 @@ def outer_fold_job(features: DataFrame, feature_set: str, model: str, fold: int,
     return pred, info, best
 
 
+FACTS = ("dataset string, feature_set string, model string, fold long, n_train long, n_test long, weight_0 double, "
+         "weight_1 double, scaler_mean array<double>, scaler_std array<double>, n_features int, gradient_ratio double")
+
+
+def model_facts(fitted, train: DataFrame) -> tuple:
+    """Values of the last columns of ``FACTS`` for a fitted pipeline; null where it has no such stage."""
+    weights = next((s for s in fitted.stages if isinstance(s, MD.BalancedWeightsModel)), None)
+    scaler = next((s for s in fitted.stages if isinstance(s, FamilyScalerModel)), None)
+    return (weights and weights.getOrDefault(weights.w0), weights and weights.getOrDefault(weights.w1),
+            scaler and scaler.getOrDefault(scaler.means), scaler and scaler.getOrDefault(scaler.stds),
+            getattr(fitted.stages[-1], "numFeatures", None), gradient_ratio(fitted, train))
+
+
+def _tags(info: dict) -> list:
+    return [F.lit(info[k]).cast("bigint" if k == "fold" else "string").alias(k) for k in PREDICTION_KEYS]
+
+
+def write_fold(features: DataFrame, pred: DataFrame, info: dict, fitted, out: str) -> tuple:
+    """Scores and attributions of one outer fold, written as soon as they are there; returns its facts."""
+    train = features.where(F.col("fold") != info["fold"])
+    write_partitioned(pred, f"{out}/predictions")
+    both = features.withColumn("split", F.when(F.col("fold") != info["fold"], "train").otherwise("test"))
+    told = explain(fitted, train, both, ["split", "doc_id"])
+    if told is not None:
+        write_partitioned(told.select("*", *_tags(info)), f"{out}/attributions")
+    return model_facts(fitted, train)
+
+
+def importance_of(attributions: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """A2 per fold: (keys, feature_idx, feature, mean_abs) over the training rows of every fold, in one aggregate."""
+    spark = attributions.sparkSession
+    means = attributions.where("split = 'train'").groupBy(*PREDICTION_KEYS).agg(
+        Summarizer.mean(array_to_vector(F.transform("phi", F.abs))).alias("m"))
+    long = means.select(*PREDICTION_KEYS, F.posexplode(vector_to_array("m")).alias("feature_idx", "mean_abs"))
+    known = spark.createDataFrame([(fs, j, n) for fs, all_ in names.items() for j, n in enumerate(all_)],
+                                  "feature_set string, feature_idx int, feature string")
+    return long.join(known, ["feature_set", "feature_idx"], "left").select(
+        *PREDICTION_KEYS, F.col("feature_idx").cast("bigint").alias("feature_idx"),
+        F.coalesce("feature", F.col("feature_idx").cast("string")).alias("feature"), "mean_abs")
+
+
+def write_reports(spark, infos: list[dict], facts: list[tuple], sizes: dict[int, int], out: str,
+                  feature_sets: Sequence[str]) -> None:
+    """What all folds of a run leave together, each table in one job, partitioned by the keys of the run."""
+    keys = [tuple(i[k] for k in PREDICTION_KEYS) for i in infos]
+    total = sum(sizes.values())
+    rows = [(*k, total - sizes.get(k[3], 0), sizes.get(k[3], 0), *f) for k, f in zip(keys, facts)]
+    write_partitioned(spark.createDataFrame(rows, FACTS), f"{out}/facts")
+    chosen = spark.createDataFrame(
+        [(*k, {a: str(b) for a, b in json.loads(i["best_params"]).items()}, i["inner_cv_best_score"]) for k, i in zip(keys, infos)],
+        "dataset string, feature_set string, model string, fold long, best_params map<string,string>, inner_cv_best_score double")
+    told = F.to_json(F.struct("best_params", "inner_cv_best_score"), {"ignoreNullFields": "false"})
+    write_partitioned(chosen.select(told.alias("value"), *PREDICTION_KEYS), f"{out}/best_params", fmt="text")
+    write_partitioned(spark.read.parquet(f"{out}/predictions"), f"{out}/predictions_csv", fmt="csv", header=True)
+    try:
+        attributions = spark.read.parquet(f"{out}/attributions")
+    except AnalysisException:  # no classifier of a kind that can be explained
+        return
+    write_partitioned(importance_of(attributions, {fs: feature_names(fs) for fs in feature_sets}), f"{out}/importance")
+
+
+def known_runs(feature_sets: Sequence[str], models: Sequence[str], builder: Builder = default_builder):
+    """The runs to do and the names left out, (sets, models, unknown); a builder of one's own knows its own models."""
+    sets = [s for s in feature_sets if s in FEATURE_SETS]
+    kept = [m for m in models if m in MD.MODEL_ALIASES or builder is not default_builder]
+    return sets, kept, [s for s in feature_sets if s not in sets] + [m for m in models if m not in kept]
+
+
 def nested_cv(features: DataFrame, out_path: str, feature_sets=("Descriptors",), models=("logreg",),
               quick: bool = True, dataset: str = "documents", n_folds: int = 5,
-              workers: int = 8, parallelism: int = 2, score_single: bool = False):
-    """M8 + M10: run the job table and write predictions partitioned by
-    (dataset, feature_set, model, fold).  Unknown models are skipped (P19).
+              workers: int = 8, parallelism: int = 2, score_single: bool = False,
+              builder: Builder = default_builder, tuner: Tuner | None = None, explained: bool = False):
+    """M8 + M10: run the job table; predictions under ``out_path`` partitioned by (dataset, feature_set, model, fold).
 
-    Returns the list of per-job info dicts (best params, inner score).
+    ``builder`` (X3) and ``tuner`` (X4: training rows, set, model -> parameters,
+    score) may be the user's.  With ``explained``, ``out_path`` gets one folder per
+    table of the module docstring instead.  Unknown sets and models are skipped with a
+    warning (P19).  Returns the info dicts of the jobs (parameters, inner score).
     """
-    from scorelens.sources.files import write_partitioned
+    import warnings
 
-    models = [m for m in models if m in MD.MODEL_ALIASES]
-    jobs = [(fs, m, f) for fs in feature_sets for m in models for f in range(1, n_folds + 1)]
+    sets, models, unknown = known_runs(feature_sets, models, builder)
+    for name in unknown:
+        warnings.warn(f"no feature set or model of the name {name!r}: skipped", stacklevel=2)
+    jobs = [(fs, m, f) for fs in sets for m in models for f in range(1, n_folds + 1)]
 
     def run(job):
         fs, m, f = job
-        pred, info, _ = outer_fold_job(features, fs, m, f, quick, dataset, parallelism, score_single)
-        write_partitioned(pred, out_path)
-        return info
+        pred, info, fitted = outer_fold_job(features, fs, m, f, quick, dataset, parallelism, score_single, builder, tuner)
+        if not explained:
+            write_partitioned(pred, out_path)
+            return info, None
+        return info, write_fold(features, pred, info, fitted, out_path)
 
     with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
-        return list(pool.map(run, jobs))
+        done = list(pool.map(run, jobs))
+    infos = [info for info, _ in done]
+    if explained and infos:
+        sizes = {r["fold"]: r["count"] for r in features.groupBy("fold").count().collect()}  # one row per fold
+        write_reports(features.sparkSession, infos, [facts for _, facts in done], sizes, out_path, sets)
+    return infos

@@ -22,7 +22,7 @@ from scorelens.operators import fingerprint as FP
 from scorelens.operators import importance as I
 from scorelens.operators.scaling import FamilyScaler
 from scorelens.plans import inputs
-from scorelens.sources.tables import table
+from scorelens.sources.tables import table, table_version
 
 DOC_MODELS = ("toxic", "quality")
 EMB_MODELS = {"lt3": 3, "lt5": 5, "lt7": 7}
@@ -98,7 +98,7 @@ def doc_descriptor_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combined_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed slots and descriptors of every model in one long table
     (models x features rows), built once per (session, table folder)."""
-    return _once(("combined", spark.sparkContext.applicationId, sf_dir),
+    return _once(("combined", *table_version(spark, sf_dir, "documents", "labels")),
                  lambda: doc_bit_importance(spark, sf_dir).unionByName(
                      doc_descriptor_importance(spark, sf_dir)))
 
@@ -120,7 +120,7 @@ def top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
     def build():
         ecfp = I.family_filter(doc_bit_importance(spark, sf_dir))
         return I.top_n_per_group(ecfp, ["model"], n)
-    return _once(("top", spark.sparkContext.applicationId, sf_dir, n), build)
+    return _once(("top", *table_version(spark, sf_dir, "documents", "labels"), n), build)
 
 
 def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
@@ -136,7 +136,7 @@ def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFra
     pooled = I.mean_of_fold_means(per_fold, ["model", "bit"], fold="outer_fold")
     pooled = pooled.withColumnRenamed("bit", "feature_idx").withColumn(
         "feature", I.feature_name(I.ECFP_PREFIX, "feature_idx"))
-    return _once(("pooled", spark.sparkContext.applicationId, sf_dir, n), lambda: I.top_n_per_group(pooled, ["model"], n))
+    return _once(("pooled", *table_version(spark, sf_dir, "documents", "labels"), n), lambda: I.top_n_per_group(pooled, ["model"], n))
 
 
 def first_fragments(spark: SparkSession, sf_dir: str, bits: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ _FITTED: dict = {}
 
 def embedding_models(spark: SparkSession, sf_dir: str):
     """Fit the three embedding models once per (session, table folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = table_version(spark, sf_dir, "embeddings")
     if key not in _FITTED:
         emb = table(spark, sf_dir, "embeddings")
         _FITTED[key] = A.class_mean_differences(

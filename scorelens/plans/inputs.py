@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scorelens.session import checkpointed
 
 from scorelens.operators.folds import stratified_folds
-from scorelens.sources.tables import table
+from scorelens.sources.tables import table, table_version
 
 SEED = 42
 N_FOLDS = 5
@@ -37,7 +37,7 @@ def document_folds(spark: SparkSession, sf_dir: str, label: str = "toxic") -> Da
     one plan; they are one row per entity, so they are derived once per
     (session, table folder) and checkpointed to the shared checkpoint folder.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, label)
+    key = (*table_version(spark, sf_dir, "documents", "labels"), label)
     if key not in _FOLDS:
         ids = labelled_documents(spark, sf_dir, label).select("doc_id", "label")
         _FOLDS[key] = checkpointed(stratified_folds(ids, "doc_id", "label", k=N_FOLDS, seed=SEED))

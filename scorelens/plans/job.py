@@ -1,8 +1,10 @@
 """M10 + M11: the end-to-end job on the documents table.
 
-read -> features (fingerprint vector + 15 descriptors, checkpointed once)
--> stratified outer folds -> nested CV per (feature set, model, fold)
--> predictions written partitioned -> per-fold metrics -> summary.
+read -> validity filter with counts -> features (fingerprint vector + 15
+descriptors, joined by a key check that aborts, checkpointed once) ->
+stratified outer folds -> nested CV per (feature set, model, fold) ->
+predictions, explanations, parameters written partitioned -> per-fold metrics
+-> summary.
 """
 
 from __future__ import annotations
@@ -10,13 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelens.operators import clean as C
 from scorelens.operators import fingerprint as FP
 from scorelens.operators import metrics as M
 from scorelens.operators import tuning as T
+from scorelens.operators.combine import aligned_join
 from scorelens.operators.descriptors import descriptor_table, node_type_weights
+from scorelens.operators.folds import stratified_folds
+from scorelens.operators.tokens import TOKEN_SPLIT
 from scorelens.plans import inputs
 from scorelens.session import checkpointed, ensure_checkpoint_dir, scratch_path
-from scorelens.sources.files import scan_predictions
+from scorelens.sources.files import results_base, scan_predictions
+from scorelens.sources.tables import table_version
 
 FLAGSHIP_SETS = ("Descriptors", "Combined_Scaled")
 FLAGSHIP_MODELS = ("logreg", "rf")
@@ -24,41 +31,64 @@ ROWS_PER_PARTITION = 50_000
 
 
 _FEATURES: dict = {}
+_COUNTS: dict = {}
 
 
 def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checkpointed feature table, built once per (session, table folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Checkpointed feature table, built once per session and state of the tables."""
+    key = table_version(spark, sf_dir, "documents", "labels")
     if key not in _FEATURES:
-        _FEATURES[key] = _document_features(spark, sf_dir)
+        _FEATURES[key], _COUNTS[key] = job_features(inputs.labelled_documents(spark, sf_dir))
     return _FEATURES[key]
 
 
-def _document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, label, fold, ecfp SparseVector, 15 descriptors) for the labelled documents.
+def validity_report(spark: SparkSession, sf_dir: str) -> dict:
+    """n_total, n_valid, n_dropped of the rows the job was given, valid or not."""
+    document_features(spark, sf_dir)
+    return _COUNTS[table_version(spark, sf_dir, "documents", "labels")]
 
-    The string is tokenised once per consumer; the finished table is
-    checkpointed to the shared checkpoint folder so every later fit reads
-    it instead of re-deriving features, and its lineage is cut.
+
+def feature_failures(docs: DataFrame) -> DataFrame:
+    """(doc_id, reason) of the rows that get no features: ``invalid`` text, or a valid one with ``no_token``."""
+    flagged = C.with_validity(docs, C.text_is_valid("text", "n_chars"))
+    tokens = F.size(F.filter(F.split("text", TOKEN_SPLIT), lambda t: t != ""))
+    reason = F.when(~F.col("is_valid"), "invalid").when(tokens == 0, "no_token")
+    return flagged.select("doc_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def job_features(lab: DataFrame) -> tuple[DataFrame, dict]:
+    """(doc_id, label, fold, ecfp SparseVector, 15 descriptors) of the valid labelled documents, and their counts.
+
+    Invalid rows leave before anything is derived (P2); they are counted over
+    the stored flags (an ``Observation`` cannot be used here: with one in the session, Spark's fitted
+    linear models no longer serialise).  Fingerprints, descriptors and
+    folds must describe the same ids, else the job ends (J2).  The finished table
+    is checkpointed to the shared checkpoint folder, so every later fit
+    reads it and its lineage is cut.
     """
+    spark = lab.sparkSession
     ensure_checkpoint_dir(spark)
-    lab = inputs.labelled_documents(spark, sf_dir)
-    bits = FP.fingerprint_bits(FP.environments(lab, FP.RADIUS, FP.N_BITS))
-    fp = FP.bits_to_vector(FP.fingerprint_table(lab.select("doc_id"), bits), "bits", "ecfp")
-    desc = descriptor_table(lab.select("doc_id"), lab.select("doc_id", "text"), node_type_weights(spark))
-    folds = inputs.document_folds(spark, sf_dir).select("doc_id", F.col("label").cast("double"), "fold")
-    feats = checkpointed(folds.join(fp.select("doc_id", "ecfp"), "doc_id").join(desc, "doc_id"))
+    flagged = C.with_validity(lab, C.text_is_valid("text", "n_chars"))
+    ids = checkpointed(flagged.select("doc_id", "label", "is_valid"))
+    counts = C.validity_counts(ids).first().asDict()
+    valid = flagged.where("is_valid")
+    bits = FP.fingerprint_bits(FP.environments(valid, FP.RADIUS, FP.N_BITS))
+    fp = FP.bits_to_vector(FP.fingerprint_table(valid.select("doc_id"), bits), "bits", "ecfp")
+    desc = descriptor_table(valid.select("doc_id"), valid.select("doc_id", "text"), node_type_weights(spark))
+    folds = stratified_folds(ids.where("is_valid").select("doc_id", "label"), "doc_id", "label", k=inputs.N_FOLDS,
+                             seed=inputs.SEED).select("doc_id", F.col("label").cast("double"), "fold")
+    feats = checkpointed(aligned_join(folds, aligned_join(fp.select("doc_id", "ecfp"), desc, "doc_id"), "doc_id"))
     # many small fits follow: size partitions to the rows (1 partition per
     # ROWS_PER_PARTITION), so tiny tables are not split into idle tasks
-    n = max(1, -(-feats.count() // ROWS_PER_PARTITION))
-    return checkpointed(feats.repartition(n, "doc_id"))
+    n = max(1, -(-counts["n_valid"] // ROWS_PER_PARTITION))
+    return checkpointed(feats.repartition(n, "doc_id")), counts
 
 
 def run_nested_cv(spark: SparkSession, sf_dir: str, feature_sets=FLAGSHIP_SETS,
                   models=FLAGSHIP_MODELS, quick: bool = True,
                   score_single: bool = False) -> tuple[str, list[dict]]:
     feats = document_features(spark, sf_dir)
-    out = scratch_path(spark, "results")
+    out = results_base(scratch_path(spark, "results"), quick)
     info = T.nested_cv(feats, out, feature_sets, models, quick=quick, score_single=score_single)
     return out, info
 

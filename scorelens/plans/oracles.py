@@ -629,3 +629,7 @@ SELECT feature, fragment,
        round(max(CASE WHEN model = 'toxic' THEN mean_abs END), 6) AS mean_abs_toxic,
        round(max(CASE WHEN model = 'quality' THEN mean_abs END), 6) AS mean_abs_quality
 FROM lookup GROUP BY feature, fragment"""
+
+from scorelens.plans import fitted_oracles  # noqa: E402
+
+ORACLES.update(fitted_oracles.ORACLES)

@@ -62,7 +62,7 @@ def q_metrics_lineitem(spark, sf_dir):
 # ------------------------------------------------------- cleaning
 
 from scorelens.operators import clean as C  # noqa: E402
-from scorelens.sources.tables import table  # noqa: E402
+from scorelens.sources.tables import table, table_version  # noqa: E402
 
 
 @register("validity_split")
@@ -515,14 +515,6 @@ def q_gbt_scores(spark, sf_dir):
     return _single_fold_scores(spark, sf_dir, "gbt", "Descriptors")
 
 
-@register("predictions_scan")
-def q_predictions_scan(spark, sf_dir):
-    path, _ = JOB.run_nested_cv(spark, sf_dir, ("Descriptors",), ("logreg",))
-    from scorelens.sources.files import scan_predictions
-
-    return scan_predictions(spark, path)
-
-
 # ------------------------------------------------------------ fitted-model attributions (E1-E4, rows-only)
 
 def _fold1_fit(spark, sf_dir, model, feature_set):
@@ -581,7 +573,7 @@ _GRID: dict = {}
 def _grid_search_rows(spark, sf_dir):
     """The search result is a one-row table: kept per (session, table folder)
     so the JSON view of it does not run the search again."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = table_version(spark, sf_dir, "documents", "labels")
     if key not in _GRID:
         _GRID[key] = _run_grid_search(spark, sf_dir)
     return _GRID[key]
@@ -623,3 +615,8 @@ def q_nested_cv(spark, sf_dir):
           i["inner_cv_best_score"]) for i in info],
         "dataset string, feature_set string, model string, fold long, best_params string, "
         "inner_cv_best_score double")
+
+
+from scorelens.plans import fitted  # noqa: E402
+
+QUERIES.update(fitted.QUERIES)

@@ -56,27 +56,50 @@ def results_base(base: str, quick: bool) -> str:
 
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str] = PREDICTION_KEYS,
-                      fmt: str = "parquet") -> None:
+                      fmt: str = "parquet", **options) -> None:
     """results/<dataset>/<feature_set>/<model>/<fold> as partition folders.
 
     Dynamic partition overwrite: re-running one (feature_set, model) replaces
     only its own folders.
     """
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*keys).format(fmt).save(path))
+     .options(**options).partitionBy(*keys).format(fmt).save(path))
+
+
+PREDICTION_SCHEMA = "doc_id long, y_true int, y_prob double, y_pred int"
 
 
 def scan_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """S4 + S5: every prediction file under a tree, keys from the partition folders."""
-    reader = spark.read.format(fmt)
+    """S4 + S5: every prediction file under a tree, typed, keys from the partition folders.
+
+    Parquet finds the partition folders by itself.  CSV files are found at any depth
+    and read with ``PREDICTION_SCHEMA``; their keys come from the ``key=value`` folders of
+    their paths.  No prediction at all raises.
+    """
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", False)
-    df = reader.option("recursiveFileLookup", False).load(path)
+        df = (spark.read.schema(PREDICTION_SCHEMA).option("header", True).option("recursiveFileLookup", True)
+              .option("pathGlobFilter", "*.csv").csv(path))
+        df = df.select("*", *[named_folder(k).cast("long" if k == "fold" else "string").alias(k) for k in PREDICTION_KEYS])
+    else:
+        df = spark.read.format(fmt).option("recursiveFileLookup", False).load(path)
     if df.limit(1).count() == 0:
         raise FileNotFoundError(f"no predictions under {path}")
     return df
 
 
+def named_folder(key: str, col: str = "_metadata.file_path"):
+    """Value of the ``key=value`` folder in a file's path, percent signs undone."""
+    return F.url_decode(F.replace(F.regexp_extract(F.col(col), f"/{key}=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+
+
+def read_params(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON sink of the chosen parameters back: keys, best_params (map of strings), inner_cv_best_score."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    keys = [named_folder(k).cast("long" if k == "fold" else "string").alias(k) for k in PREDICTION_KEYS]
+    told = F.from_json("value", "best_params map<string,string>, inner_cv_best_score double").alias("_j")
+    return raw.select(*keys, told).select(*PREDICTION_KEYS, "_j.*")
+
+
 def keys_from_path(col: str = "_metadata.file_path", depth: Sequence[str] = ("fold", "model", "feature_set")):
     """S5 for a plain folder layout: the k-th folder from the end names a key."""
     parts = F.split(F.col(col), "/")
