@@ -193,7 +193,7 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                        text_col: str = "text", cell_shingles: int = 4_000_000) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, set_hi, set_lo.
+    """One row per input row: id, n_shingles, component_id, set_hi, set_lo, text_key (xxhash64 of the text).
 
     Words are maximal runs of other characters than ASCII white space, A-Z
     lower-cased; a text of fewer than ``words`` words is one shingle.  Two
@@ -212,8 +212,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             for i, j, data, off in text_chunks(batch.column(1)):
                 sets, at = shingle_sets(data, off, words)
                 hi, lo = set_digests(sets, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(hi), pa.array(lo)],
-                                                 names=["id", "n", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(hi), pa.array(lo),
+                                                  batch.column(2).slice(i, j - i)], names=["id", "n", "hi", "lo", "text_key"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = Segments(num, den)
@@ -244,7 +244,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             a, b = local_forest(node[tied], lead[tied])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    found = stored(rows.mapInArrow(describe, f"id {id_type}, n long, hi long, lo long"), "ngram-sets")
+    found = stored(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+        describe, f"id {id_type}, n long, hi long, lo long, text_key long"), "ngram-sets")
     parts = shuffle_partitions(spark)
     tied = (rows.where("id IS NOT NULL").select("text").mapInArrow(sign, "sig long, node long")
             .repartition(parts, "sig").sortWithinPartitions("sig", "node").mapInArrow(share, "a long, b long"))
@@ -308,15 +309,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     out = found.withColumn("salt", salt).join(salted, ["hi", "lo", "n", "salt"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-                      F.col("hi").alias("set_hi"), F.col("lo").alias("set_lo"))
+                      F.col("hi").alias("set_hi"), F.col("lo").alias("set_lo"), "text_key")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+    """The rows of ``docs`` whose id is the smallest of their text's component, with all their columns.
 
-    Rows without an id stay.  Ids must be unique.
+    Rows without an id stay.  A row goes by its id and its text, so another text
+    under the same id is judged by its own component; rows that share the smallest id all stay.
     """
     groups = jaccard_components(docs, words, num, den, id_col, text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = (groups.where(F.col(id_col) != F.col("component_id"))
+            .select(F.col(id_col).alias("__gone"), F.col("text_key").alias("__key")))
+    same = (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__key"])
+    return docs.join(gone, same, "left_anti")
