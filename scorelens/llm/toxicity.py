@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scorelens.llm.common import ASCII_LOWER, span_hashes, text_chunks
+from scorelens.llm.common import ASCII_LOWER, release_memory, span_hashes, text_chunks
 
 WIDTHS = (1, 2, 3)
 PARTS = (5, 6, 7, 8)
@@ -306,7 +306,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows.sort(key=lambda r: (str(r.id), r.words))
     words = [np.frombuffer(r.words, np.uint32).reshape(-1, STRIDE) for r in rows]
     turn = np.arange(len(rows)) % 4 == 3  # a quarter, in id order, sets the thresholds
-    return fit(words, np.array([r.label for r in rows]), [r.lang for r in rows], turn, known)
+    model = fit(words, np.array([r.label for r in rows]), [r.lang for r in rows], turn, known)
+    del rows, words
+    release_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
