@@ -40,8 +40,7 @@ def environments(docs: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
     index in the raw whitespace split (as ``tokens.token_nodes``).
 
     ``fragment`` is the text the identifier covers: tokens pos-r .. pos+r,
-    clipped at the document ends; null when the centre token has no letter
-    (the fragment cannot be rebuilt).  It is only computed when asked for,
+    clipped at the document ends.  It is only computed when asked for,
     and with ``fragment_bits`` (a short list, e.g. a top-N) only for the
     environments whose slot is in the list -- inside the row, so selecting
     fragments never moves document text.
@@ -65,13 +64,10 @@ def environments(docs: DataFrame, radius: int = RADIUS, n_bits: int = N_BITS,
             if fragment_bits is not None else None
 
         def window_text(r):
-            # a window centred on a token without any letter cannot be rebuilt
-            # into a fragment: null, like a failed rebuild
             def fn(x, i):
-                ok = x.rlike(r"\p{L}")
-                if wanted is not None:
-                    ok = ok & F.array_contains(wanted, bit_of(F.get(F.col(f"h{r}"), i), n_bits))
-                return F.when(ok, F.concat_ws(" ", *[F.get(t, i + k) for k in range(-r, r + 1)]))
+                text = F.concat_ws(" ", *[F.get(t, i + k) for k in range(-r, r + 1)])
+                return text if wanted is None else F.when(
+                    F.array_contains(wanted, bit_of(F.get(F.col(f"h{r}"), i), n_bits)), text)
             return fn
 
         for r in range(radius + 1):
@@ -139,9 +135,13 @@ def first_environment_per_bit(envs: DataFrame, bits: DataFrame | None = None) ->
 
 
 def bit_collisions(envs: DataFrame) -> DataFrame:
-    """slots that hold more than one distinct fragment, with the count."""
+    """slots that hold more than one distinct fragment, with the count.
+
+    Fragments are told apart by their 128-bit MD5, made in the row, so 16 bytes a
+    fragment are shuffled whatever its length.
+    """
     return (
-        envs.select("bit", "fragment").distinct()
+        envs.where("fragment IS NOT NULL").select("bit", F.unhex(F.md5(F.col("fragment"))).alias("digest")).distinct()
         .groupBy("bit").agg(F.count(F.lit(1)).alias("n_fragments"))
         .filter(F.col("n_fragments") > 1)
     )

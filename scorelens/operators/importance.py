@@ -42,6 +42,37 @@ def bit_importance(bits: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     (F.abs(w) * 2 * p * (1 - p)).alias("mean_abs"))
 
 
+def pooled_bit_importance(bits: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "label",
+                          fold_col: str = "fold", group_cols: Sequence[str] = ("model",)) -> DataFrame:
+    """F8: (group..., bit, mean_abs): mean over outer folds of the slot importance on each fold's training rows.
+
+    Training counts are totals minus the fold's own, so a row is counted once, not
+    once per fold it trains in.  A fold whose training rows never set the slot
+    says nothing about it and leaves the mean alone.
+    """
+    keys = list(group_cols)
+    pos, neg = F.count_if(F.col(label_col) == 1), F.count_if(F.col(label_col) == 0)
+
+    def per_fold(rows, extra):
+        by = rows.groupBy(*keys, *extra, fold_col).agg(pos.alias("p"), neg.alias("n"))
+        return by.groupBy(*keys, *extra).agg(  # one entry per fold
+            F.map_from_entries(F.collect_list(F.struct(F.col(fold_col), F.struct("p", "n")))).alias("by"),
+            F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+    totals = per_fold(labels, []).select(*keys, F.col("by").alias("tot"), F.col("p").alias("tp"), F.col("n").alias("tn"))
+    slots = per_fold(bits.join(labels, id_col), ["bit"]).join(totals, keys)
+
+    def value(fold):
+        own, all_ = F.col("by")[fold], F.col("tot")[fold]
+        n1, n0 = F.col("p") - F.coalesce(own["p"], F.lit(0)), F.col("n") - F.coalesce(own["n"], F.lit(0))
+        t1, t0 = F.col("tp") - all_["p"], F.col("tn") - all_["n"]
+        share = (n1 + n0) / (t1 + t0)
+        return F.when(n1 + n0 > 0, F.abs(n1 / t1 - n0 / t0) * 2 * share * (1 - share))
+
+    return slots.select(*keys, "bit", F.explode(F.map_keys("tot")).alias("_fold"), "by", "tot", "p", "n", "tp", "tn").select(
+        *keys, "bit", value(F.col("_fold")).alias("mean_abs")).groupBy(*keys, "bit").agg(F.avg("mean_abs").alias("mean_abs"))
+
+
 def feature_name(prefix: str, idx_col: str):
     return F.concat(F.lit(prefix), F.col(idx_col).cast("string"))
 
@@ -73,15 +104,6 @@ def top_n(df: DataFrame, n: int, value: str = "mean_abs", tie: str = "feature_id
     return df.orderBy(F.col(value).desc(), F.col(tie).asc()).limit(n)
 
 
-def union_models(tables: dict[str, DataFrame]) -> DataFrame:
-    """U1 + P9 + P10: per-model importance tables -> one long table with a model column."""
-    out = None
-    for model, t in tables.items():
-        tagged = t.withColumn("model", F.lit(model))
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
-
-
 def mean_of_fold_means(per_fold: DataFrame, keys: Sequence[str], fold: str = "fold",
                        value: str = "mean_abs") -> DataFrame:
     """A3: unweighted mean over folds of per-fold means (not the pooled mean)."""

@@ -28,11 +28,10 @@ DOC_MODELS = ("toxic", "quality")
 EMB_MODELS = {"lt3": 3, "lt5": 5, "lt7": 7}
 EMB_DIM = 64
 TOP_N = 20
-FRAGMENT_MODEL = "toxic"
-NOTE_RESOLVED = ""
-NOTE_FAILED = "no valid fragment could be rebuilt in this entity"
-NOTE_UNRESOLVED = ("no valid fragment in any entity (likely a hashed-slot collision: "
-                   "several neighbourhoods share this slot)")
+# Status of a fragment row.
+NOTE_RESOLVED = "resolved"
+NOTE_FAILED = "no_fragment"
+NOTE_UNRESOLVED = "absent"
 
 
 # ------------------------------------------------------------------ documents
@@ -126,54 +125,68 @@ def top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
 def pooled_top_bits(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
     """F8 + A3: slot importance per outer fold (training rows of that fold),
     averaged over folds, then top-n per model."""
-    folds = inputs.document_folds(spark, sf_dir).select("doc_id", "fold")
-    train = folds.withColumn("outer_fold", F.explode(F.filter(
-        F.sequence(F.lit(1), F.lit(inputs.N_FOLDS)).cast("array<bigint>"),
-        lambda f: f != F.col("fold")))).select("doc_id", "outer_fold")
-    labels = doc_labels_long(spark, sf_dir).join(train, "doc_id", "inner")
+    labels = doc_labels_long(spark, sf_dir).join(inputs.document_folds(spark, sf_dir).select("doc_id", "fold"), "doc_id")
     bits = FP.fingerprint_bits(doc_environments(spark, sf_dir))
-    per_fold = I.bit_importance(bits, labels, group_cols=["model", "outer_fold"])
-    pooled = I.mean_of_fold_means(per_fold, ["model", "bit"], fold="outer_fold")
+    pooled = I.pooled_bit_importance(bits, labels)
     pooled = pooled.withColumnRenamed("bit", "feature_idx").withColumn(
         "feature", I.feature_name(I.ECFP_PREFIX, "feature_idx"))
     return _once(("pooled", *table_version(spark, sf_dir, "documents", "labels"), n), lambda: I.top_n_per_group(pooled, ["model"], n))
 
 
 def first_fragments(spark: SparkSession, sf_dir: str, bits: DataFrame) -> DataFrame:
-    """(doc_id, bit, radius, pos, fragment) -- first environment per (doc, selected bit)."""
-    # the selected slots are a top-N list (models x N values): they go into the
-    # row-level pass as a literal, so fragments are built only where needed
+    """(doc_id, bit, radius, pos, fragment) -- first environment per (labelled document, selected bit)."""
+    return fragments_in(labelled_docs(spark, sf_dir), bits)
+
+
+def fragments_in(docs: DataFrame, bits: DataFrame, radius: int = FP.RADIUS, id_col: str = "doc_id") -> DataFrame:
+    """First environment, up to ``radius``, per (text of ``docs``, selected bit).
+
+    The selected slots are a top-N list (models x N values): they go into the
+    row-level pass as a literal, so fragments are built only where needed.
+    """
     wanted = sorted({int(r[0]) for r in bits.select("feature_idx").collect()})
-    envs = FP.environments(labelled_docs(spark, sf_dir), FP.RADIUS, FP.N_BITS,
-                           with_fragments=True, fragment_bits=wanted)
+    envs = FP.environments(docs, radius, FP.N_BITS, with_fragments=True, id_col=id_col, fragment_bits=wanted)
     envs = envs.filter(F.col("bit").isin(wanted))
     return FP.first_environment_per_bit(envs).select("doc_id", "bit", "radius", "pos", "fragment")
 
 
 def fragment_rows(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame:
+    """F7 on the labelled documents, named by their source."""
+    docs = labelled_docs(spark, sf_dir)
+    return fragment_report(docs, docs.select("doc_id", F.col("source").alias("name")), top)
+
+
+def fragment_report(docs: DataFrame, names: DataFrame, top: DataFrame, radius: int = FP.RADIUS) -> DataFrame:
     """F7 + U2 + P15: per model, one row per (entity, top bit it holds) and one
-    warning row for each top bit that no entity resolves.
+    warning row for each top bit that no entity resolves (J5, A11).
 
-    (model, name, doc_id, bit, fragment, note)
+    (model, name, doc_id, bit, fragment, note); ``docs`` need not be the corpus the slots come from.
     """
-    top = top.select("model", F.col("feature_idx").alias("bit"))
-    first = first_fragments(spark, sf_dir, top.select(F.col("bit").alias("feature_idx")))
-    names = labelled_docs(spark, sf_dir).select("doc_id", F.col("source").alias("name"))
-    # read twice below (rows and the resolved check); bounded by entities x top-N
-    rows = top.join(first, "bit", "inner").join(names, "doc_id", "inner").select(
+    slots = top.select("model", F.col("feature_idx").alias("bit"))
+    first = fragments_in(docs, top, radius)
+    # ``slots`` is the top-N list.  Rows are read twice below (rows and the resolved check): entities x top-N at most
+    rows = first.join(F.broadcast(slots), "bit").join(names, "doc_id", "inner").select(
         "model", "name", "doc_id", "bit", "fragment",
         F.when(F.col("fragment").isNotNull(), F.lit(NOTE_RESOLVED))
         .otherwise(F.lit(NOTE_FAILED)).alias("note"))
     rows = checkpointed(rows)
     resolved = rows.groupBy("model", "bit").agg(
         F.bool_or(F.col("fragment").isNotNull()).alias("_ok"))
-    missing = top.join(resolved.filter("_ok"), ["model", "bit"], "left_anti")
+    missing = slots.join(resolved.filter("_ok"), ["model", "bit"], "left_anti")
     warn = missing.select(
         "model", F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("doc_id"),
         "bit", F.lit(None).cast("string").alias("fragment"), F.lit(NOTE_UNRESOLVED).alias("note"))
     return rows.unionByName(warn)
 
 
+def benchmark_fragment_rows(spark: SparkSession, sf_dir: str, n: int = TOP_N) -> DataFrame:
+    """The top slots of the document models looked up as single words (radius 0) of another corpus, ``benchmark``:
+    slots that no word of it sets come back as warning rows."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    names = items.select("doc_id", F.concat(F.lit("item_"), F.col("doc_id").cast("string")).alias("name"))
+    return fragment_report(items, names, top_bits(spark, sf_dir, n), radius=0)
+
+
 def fragment_dictionary(frag_rows: DataFrame) -> DataFrame:
     """J4 dictionary: (model, slot) -> fragment of that model's LAST row (entity rows in id
     order, warning rows after them)."""

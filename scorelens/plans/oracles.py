@@ -192,7 +192,7 @@ def envs(radius: int, fragments: bool = False) -> str:
         for r in range(radius + 1):
             items = [f"lag(tok, {k}) OVER w" for k in range(r, 0, -1)] + ["tok"] + \
                     [f"lead(tok, {k}) OVER w" for k in range(1, r + 1)]
-            frs.append(f"CASE WHEN regexp_matches(tok, '\\p{{L}}') THEN concat_ws(' ', {', '.join(items)}) END AS f{r}")
+            frs.append(f"concat_ws(' ', {', '.join(items)}) AS f{r}")
         parts.append(f"fr AS (SELECT *, {', '.join(frs)} FROM {last} "
                      f"WINDOW w AS (PARTITION BY doc_id ORDER BY pos))")
         last = "fr"
@@ -576,7 +576,7 @@ ptop AS (
   WHERE rank <= 20
 )"""
 
-ORACLES["bit_fragments"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn WHERE model = 'toxic'")}
+ORACLES["bit_fragments"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn")}
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(bit AS BIGINT) AS bit, CAST(radius AS BIGINT) AS radius,
        pos, fragment
 FROM firstenv"""
@@ -590,8 +590,29 @@ SELECT * FROM frows"""
 ORACLES["fragments_nonblank"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn")}
 SELECT model, doc_id, bit, fragment FROM frows WHERE fragment IS NOT NULL AND trim(fragment) <> ''"""
 
-ORACLES["unresolved_bits"] = f"""WITH {FRAG_BASE}, {_frag_rows("topn")}
-SELECT model, bit FROM frows GROUP BY model, bit HAVING NOT bool_or(fragment IS NOT NULL)"""
+BENCH_ROWS = f"""{BITS_DOC}, {TOPN},
+words AS (
+  SELECT CAST(s.item_id AS BIGINT) AS doc_id, CAST(u.pos - 1 AS BIGINT) AS pos, lower(u.t) AS tok
+  FROM benchmark s, unnest(regexp_split_to_array(s.text, '[ \\n]+')) WITH ORDINALITY AS u(t, pos) WHERE u.t <> ''
+),
+wbits AS (SELECT *, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 1024 AS BIGINT) AS bit FROM words),
+bfirst AS (SELECT doc_id, bit, arg_min(tok, pos) AS fragment FROM wbits GROUP BY doc_id, bit),
+brows AS (
+  SELECT t.model, 'item_' || CAST(f.doc_id AS VARCHAR) AS name, f.doc_id, t.feature_idx AS bit, f.fragment,
+         '{NOTE_RESOLVED}' AS note
+  FROM topn t JOIN bfirst f ON t.feature_idx = f.bit
+),
+ball AS (
+  SELECT * FROM brows UNION ALL
+  SELECT t.model, NULL, NULL, t.feature_idx, NULL, '{NOTE_UNRESOLVED}' FROM topn t
+  WHERE NOT EXISTS (SELECT 1 FROM brows r WHERE r.model = t.model AND r.bit = t.feature_idx)
+)"""
+
+ORACLES["benchmark_fragments"] = f"""WITH {BENCH_ROWS}
+SELECT * FROM ball"""
+
+ORACLES["unresolved_bits"] = f"""WITH {BENCH_ROWS}
+SELECT model, bit FROM ball GROUP BY model, bit HAVING NOT bool_or(fragment IS NOT NULL)"""
 
 ORACLES["bit_collisions"] = f"""WITH {FRAG_BASE}
 SELECT CAST(bit AS BIGINT) AS bit, count(DISTINCT fragment) AS n_fragments

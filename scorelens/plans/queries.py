@@ -411,8 +411,7 @@ def _fragment_rows(spark, sf_dir, pooled=False):
 
 @register("bit_fragments")
 def q_bit_fragments(spark, sf_dir):
-    top = X.top_bits(spark, sf_dir).filter(F.col("model") == X.FRAGMENT_MODEL)
-    return X.first_fragments(spark, sf_dir, top).select(
+    return X.first_fragments(spark, sf_dir, X.top_bits(spark, sf_dir)).select(
         "doc_id", "bit", F.col("radius").cast("bigint"), "pos", "fragment")
 
 
@@ -433,17 +432,23 @@ def q_fragments_nonblank(spark, sf_dir):
         .select("model", "doc_id", "bit", "fragment")
 
 
+@register("benchmark_fragments")
+def q_benchmark_fragments(spark, sf_dir):
+    """Top slots traced in a second corpus, with warning rows for those it never sets."""
+    return X.benchmark_fragment_rows(spark, sf_dir)
+
+
 @register("unresolved_bits")
 def q_unresolved_bits(spark, sf_dir):
-    rows = _fragment_rows(spark, sf_dir)
+    """(model, bit) of the top slots that no row of the second corpus resolves."""
+    rows = X.benchmark_fragment_rows(spark, sf_dir)
     ok = rows.groupBy("model", "bit").agg(F.bool_or(F.col("fragment").isNotNull()).alias("ok"))
     return ok.filter(~F.col("ok")).select("model", "bit")
 
 
 @register("bit_collisions")
 def q_bit_collisions(spark, sf_dir):
-    envs = X.doc_environments(spark, sf_dir, with_fragments=True).filter(F.col("fragment").isNotNull())
-    return FP.bit_collisions(envs)
+    return FP.bit_collisions(X.doc_environments(spark, sf_dir, with_fragments=True))
 
 
 @register("first_last_per_key")
