@@ -2,9 +2,9 @@
 
 All per-entity counts and sums run in ONE ``groupBy(doc_id)`` over the node
 table (partial aggregation on the map side, so a huge document costs a few
-partial rows per task, not one task).  Distinct-token and distinct-pair
-counts are two-level aggregates; ring counts use the cycle rank of the
-distinct-token graph (``graph.cycle_rank``).
+partial rows per task, not one task).  Distinct-token counts are a two-level
+aggregate; pair counts and the cycle rank of the distinct-token graph are
+computed inside each document's row (``graph.pair_stats``).
 
 Stand-ins for the chemistry descriptors on text (the operators are the
 general ones; only the node typing is text specific):
@@ -27,12 +27,11 @@ class_entropy             Shannon entropy (bits) of the token counts
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.operators.graph import component_counts
-from scorelens.operators.tokens import doc_edges, token_nodes
+from scorelens.operators.graph import pair_stats
+from scorelens.operators.tokens import TOKEN_SPLIT, token_nodes
 
 DESCRIPTOR_COLUMNS = (
     "mol_wt", "exact_mol_wt", "log_p", "tpsa", "hbd", "hba", "rotatable_bonds",
@@ -109,21 +108,7 @@ def node_aggregates(nodes: DataFrame, weights: DataFrame, weight_cols=WEIGHT_COL
         "class_entropy", F.log2("heavy_atoms") - F.col("_clogc") / F.col("heavy_atoms")).drop("_clogc")
 
 
-def pair_table(edges: DataFrame) -> DataFrame:
-    """Adjacent token pairs, unordered and distinct per doc, with the flags the
-    descriptors need: how many occurrences are 'rotatable' and whether any
-    occurrence has both ends short."""
-    return edges.groupBy(
-        "doc_id",
-        F.least("src_tok", "dst_tok").alias("u"),
-        F.greatest("src_tok", "dst_tok").alias("v"),
-    ).agg(
-        F.count_if((F.col("src_len") > LONG_TOKEN) & (F.col("dst_len") > LONG_TOKEN)).alias("rot"),
-        F.max((F.col("src_len") <= SHORT_TOKEN) & (F.col("dst_len") <= SHORT_TOKEN)).alias("short"),
-    )
-
-
-def edge_descriptors(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+def edge_descriptors(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """rotatable_bonds, ring_count, aromatic_rings, aliphatic_rings.
 
     ring_count: the distinct-token graph of a chain is connected, so its
@@ -131,21 +116,12 @@ def edge_descriptors(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     short-short pairs; isolated short tokens add one vertex and one component
     each, so only the vertices touched by a short pair matter.
     """
-    counts = pairs.groupBy("doc_id").agg(
-        F.sum("rot").alias("rotatable_bonds"),
-        F.count_if(F.col("u") != F.col("v")).alias("_e"),
-    )
-    short = pairs.filter(F.col("short") & (F.col("u") != F.col("v"))).select(
-        F.col("doc_id").alias("g"), "u", "v")
-    e_short = short.groupBy("g").agg(F.count(F.lit(1)).alias("_es"))
-    arom = component_counts(short).join(e_short, "g").select(
-        F.col("g").alias("doc_id"),
-        (F.col("_es") - F.col("n_vertices") + F.col("n_components")).alias("aromatic_rings"))
-    out = tokens.select("doc_id", "n_tokens_distinct").join(counts, "doc_id", "left") \
-        .join(arom, "doc_id", "left").na.fill(0, ["rotatable_bonds", "_e", "aromatic_rings"])
-    ring = F.col("_e") - F.col("n_tokens_distinct") + 1
-    return out.select("doc_id", "rotatable_bonds", ring.alias("ring_count"), "aromatic_rings",
-                      (ring - F.col("aromatic_rings")).alias("aliphatic_rings"))
+    stats = pair_stats(docs, LONG_TOKEN, SHORT_TOKEN, TOKEN_SPLIT)
+    out = tokens.select("doc_id", "n_tokens_distinct").join(stats, "doc_id", "left")
+    ring = F.col("n_pairs") - F.col("n_tokens_distinct") + 1
+    aromatic = F.col("short_pairs") - F.col("short_vertices") + F.col("short_components")
+    return out.select("doc_id", "rotatable_bonds", ring.alias("ring_count"), aromatic.alias("aromatic_rings"),
+                      (ring - aromatic).alias("aliphatic_rings"))
 
 
 def descriptor_table(entities: DataFrame, docs: DataFrame, weights: DataFrame,
@@ -153,14 +129,12 @@ def descriptor_table(entities: DataFrame, docs: DataFrame, weights: DataFrame,
     """entities LEFT JOIN their 15 descriptors; P8 fills only descriptor nulls with 0.
 
     Output: entity columns, then descriptors in ``DESCRIPTOR_COLUMNS`` order (P7).
-    Two passes over the text (tokens, adjacent pairs); the pair table feeds
-    both the counts and the component search, so it is persisted.
+    Token counts are one two-level aggregate; everything about neighbouring tokens
+    is computed inside the document's row (``graph.pair_stats``).
     """
     tn = typed_nodes(token_nodes(docs.select("doc_id", "text")))
-    pairs = pair_table(doc_edges(docs)).persist(StorageLevel.MEMORY_AND_DISK)
     base = node_aggregates(tn, weights)
-    feats = base.join(edge_descriptors(pairs, base.select("doc_id", "n_tokens_distinct")),
-                      "doc_id", "left")
+    feats = base.join(edge_descriptors(docs, base), "doc_id", "left")
     feats = feats.withColumn(
         "fraction_csp3",
         F.when(F.col("heavy_atoms") > 0, F.col("_vowel") / F.col("heavy_atoms")).otherwise(0.0),

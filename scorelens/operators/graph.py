@@ -1,173 +1,42 @@
-"""Graph aggregates over per-entity node/edge tables (F4 ring counts).
-
-``connected_components`` labels every vertex with the smallest vertex of its
-component.  Entities whose edge count is bounded are solved in one grouped
-pass (``applyInPandas``, vectorised numpy label propagation).  An entity above
-the bound never goes to one task: it runs iterated min-label propagation,
-one join of the edge table with the current labels plus one group-by per
-round, keyed by (group, vertex) so it spreads over all tasks.  Rounds stop
-when no label changes; the label table is checkpointed to the session's
-checkpoint folder every few rounds so the lineage stays short and a lost
-executor only recomputes a few rounds.
-
-``cycle_rank`` = E - V + C per group (the number of independent cycles).
+"""Connected components and cycle ranks of many graphs at once.
+
+* ``connected_components`` / ``component_counts`` / ``cycle_rank``: graphs that
+  arrive as edge rows (g, u, v).  Vertices are (group, vertex) pairs, contracted
+  by ``components.connected_labels``: one path for all sizes, no group is
+  gathered anywhere, no bound on rounds.
+* ``pair_stats``: token graphs of documents.  A document is one row, so its
+  graph is in that row and no edge needs to move: Arrow batches of whole
+  documents are solved with array operations over all their tokens.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.session import ensure_checkpoint_dir
-
-
-def undirected_simple(edges: DataFrame, group_col: str, a: str, b: str) -> DataFrame:
-    """Distinct unordered pairs (u < v) without self loops: (group, u, v)."""
-    return edges.filter(F.col(a) != F.col(b)).select(
-        F.col(group_col).alias("g"),
-        F.least(a, b).alias("u"),
-        F.greatest(a, b).alias("v"),
-    ).distinct()
-
-
-def _components_of_bucket(pdf):
-    """All components of the (bounded) groups hashed to one bucket, in one
-    vectorised pass: vertices are coded by (group, vertex) in sorted order,
-    so the smallest code of a component is its smallest vertex, and labels
-    never cross groups.  Min-label propagation with pointer jumping."""
-    import numpy as np
-    import pandas as pd
-
-    m = len(pdf)
-    g = np.concatenate([pdf["g"].to_numpy(), pdf["g"].to_numpy()])
-    x = np.concatenate([pdf["u"].to_numpy(dtype=object), pdf["v"].to_numpy(dtype=object)])
-    codes, uniq = pd.factorize(pd.MultiIndex.from_arrays([g, x]), sort=True)
-    a, b = codes[:m], codes[m:]
-    lab = np.arange(len(uniq))
-    while True:
-        prev = lab.copy()
-        lo = np.minimum(lab[a], lab[b])
-        np.minimum.at(lab, a, lo)
-        np.minimum.at(lab, b, lo)
-        lab = lab[lab]
-        if np.array_equal(lab, prev):
-            break
-    ux = np.asarray(uniq.get_level_values(1), dtype=object)
-    return pd.DataFrame({"g": uniq.get_level_values(0), "x": ux, "comp": ux[lab]})
-
+from scorelens.operators.components import connected_labels
 
-def _component_counts_of_bucket(pdf):
-    """Per group of the bucket: vertices touched by an edge and their components.
 
-    Counts need no smallest-vertex label, so vertices are coded by hashing
-    (no sort): token codes, group codes, then one integer code per
-    (group, token).  Same min-label propagation with pointer jumping.
-    """
-    import numpy as np
-    import pandas as pd
-
-    m = len(pdf)
-    if m == 0:
-        return pd.DataFrame({"g": np.array([], dtype="int64"), "n_vertices": np.array([], dtype="int64"),
-                             "n_components": np.array([], dtype="int64")})
-    cx, ux = pd.factorize(np.concatenate([pdf["u"].to_numpy(dtype=object),
-                                          pdf["v"].to_numpy(dtype=object)]))
-    g2 = np.concatenate([pdf["g"].to_numpy(), pdf["g"].to_numpy()])
-    cg, ug = pd.factorize(g2)
-    codes, uk = pd.factorize(cg.astype(np.int64) * len(ux) + cx)
-    a, b = codes[:m], codes[m:]
-    lab = np.arange(len(uk))
-    while True:
-        prev = lab.copy()
-        lo = np.minimum(lab[a], lab[b])
-        np.minimum.at(lab, a, lo)
-        np.minimum.at(lab, b, lo)
-        lab = lab[lab]
-        if np.array_equal(lab, prev):
-            break
-    group_of = np.empty(len(uk), dtype=np.int64)
-    group_of[codes] = cg
-    out = pd.DataFrame({"gc": group_of, "lab": lab}).groupby("gc").agg(
-        n_vertices=("lab", "size"), n_components=("lab", "nunique")).reset_index()
-    return pd.DataFrame({"g": np.asarray(ug)[out["gc"].to_numpy()].astype("int64"),
-                         "n_vertices": out["n_vertices"].astype("int64"),
-                         "n_components": out["n_components"].astype("int64")})
-
-
-def _components_distributed(pairs: DataFrame, max_rounds: int, checkpoint_every: int = 4) -> DataFrame:
-    """Min-label propagation by join + group-by, keyed by (group, vertex)."""
-    arcs = pairs.select("g", F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(
-        pairs.select("g", F.col("v").alias("src"), F.col("u").alias("dst"))).cache()
-    labels = arcs.select("g", F.col("src").alias("x")).distinct() \
-        .withColumn("comp", F.col("x")).checkpoint(eager=True)
-    for i in range(max_rounds):
-        offers = arcs.join(labels.withColumnRenamed("x", "src"), ["g", "src"]) \
-            .groupBy("g", F.col("dst").alias("x")).agg(F.min("comp").alias("offer"))
-        nxt = labels.join(offers, ["g", "x"], "left").select(
-            "g", "x",
-            F.least("comp", F.coalesce("offer", "comp")).alias("comp"),
-            (F.col("offer") < F.col("comp")).alias("_changed"),
-        )
-        # a reliable checkpoint every few rounds cuts the lineage; cache in between
-        nxt = nxt.checkpoint(eager=True) if (i + 1) % checkpoint_every == 0 else nxt.cache()
-        changed = nxt.filter(F.col("_changed")).limit(1).count()
-        labels = nxt.drop("_changed")
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError("connected_components did not converge")
-    arcs.unpersist()
-    return labels
+# ------------------------------------------------------------------ edge rows
 
+def _labels(pairs: DataFrame) -> DataFrame:
+    """(g, x, comp) of every vertex on an edge; comp is the smallest vertex of its component."""
+    ends = pairs.select(F.struct("g", F.col("u").alias("x")).alias("a"), F.struct("g", F.col("v").alias("x")).alias("b"))
+    return connected_labels(ends).select("node.g", "node.x", F.col("component.x").alias("comp"))
 
-def connected_components(vertices: DataFrame, pairs: DataFrame, max_rounds: int = 200,
-                         local_limit: int = 2_000_000) -> DataFrame:
-    """vertices (g, x), pairs (g, u, v) -> (g, x, comp), comp = min vertex of the component.
 
-    Groups with at most ``local_limit`` edges are hashed into buckets (4 per
-    shuffle partition) and each bucket is solved in one vectorised pandas
-    pass -- a bucket holds whole groups, each bounded, so a task never holds
-    an unbounded group.  Larger groups go to the distributed join loop.
-    Vertices without edges are their own component.
-    """
-    ensure_checkpoint_dir(vertices.sparkSession)
-    sizes = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("_ne"))
-    small = pairs.join(sizes.filter(F.col("_ne") <= local_limit), "g", "left_semi")
-    big = pairs.join(sizes.filter(F.col("_ne") > local_limit), "g", "left_semi")
-    schema = "g long, x string, comp string"
-    # many bounded groups per bucket: one Python call per bucket, not per group
-    n_buckets = 4 * int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = small.withColumn("_b", F.pmod(F.xxhash64("g"), F.lit(n_buckets))) \
-        .groupBy("_b").applyInPandas(_components_of_bucket, schema)
-    parts = [local]
-    if big.limit(1).count() > 0:
-        parts.append(_components_distributed(big, max_rounds).select("g", "x", "comp"))
-    comp = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    out = vertices.join(comp, ["g", "x"], "left")
+def connected_components(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """vertices (g, x), pairs (g, u, v) -> (g, x, comp); vertices without edges are their own component."""
+    out = vertices.join(_labels(pairs), ["g", "x"], "left")
     return out.select("g", "x", F.coalesce("comp", "x").alias("comp"))
 
 
-def component_counts(pairs: DataFrame, max_rounds: int = 200,
-                     local_limit: int = 2_000_000) -> DataFrame:
-    """(g, n_vertices, n_components) over the vertices that touch an edge.
-
-    Same split as ``connected_components``; the bounded groups return their
-    two counts straight from the bucket pass, so nothing per vertex is
-    shuffled again.
-    """
-    ensure_checkpoint_dir(pairs.sparkSession)
-    sizes = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("_ne"))
-    small = pairs.join(sizes.filter(F.col("_ne") <= local_limit), "g", "left_semi")
-    big = pairs.join(sizes.filter(F.col("_ne") > local_limit), "g", "left_semi")
-    n_buckets = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = small.withColumn("_b", F.pmod(F.xxhash64("g"), F.lit(n_buckets))) \
-        .groupBy("_b").applyInPandas(_component_counts_of_bucket,
-                                     "g long, n_vertices long, n_components long")
-    if big.limit(1).count() > 0:
-        labels = _components_distributed(big, max_rounds)
-        out = out.unionByName(labels.groupBy("g").agg(
-            F.count(F.lit(1)).alias("n_vertices"), F.count_distinct("comp").alias("n_components")))
-    return out
+def component_counts(pairs: DataFrame) -> DataFrame:
+    """(g, n_vertices, n_components) over the vertices that touch an edge."""
+    return _labels(pairs).groupBy("g").agg(F.count(F.lit(1)).alias("n_vertices"),
+                                           F.count_if(F.col("x") == F.col("comp")).alias("n_components"))
 
 
 def cycle_rank(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -175,8 +44,92 @@ def cycle_rank(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     comps = connected_components(vertices, pairs)
     vc = comps.groupBy("g").agg(
         F.count(F.lit(1)).alias("n_vertices"),
-        F.count_distinct("comp").alias("n_components"),
+        F.count_if(F.col("x") == F.col("comp")).alias("n_components"),
     )
     ec = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("n_edges"))
     out = vc.join(ec, "g", "left").na.fill(0, ["n_edges"])
     return out.withColumn("cycle_rank", F.col("n_edges") - F.col("n_vertices") + F.col("n_components"))
+
+
+# ------------------------------------------------------------------ token graphs inside rows
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest vertex of each vertex's component: larger roots hook onto smaller ones, then paths are halved."""
+    label = np.arange(n)
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            break
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            shorter = label[label]
+            if np.array_equal(shorter, label):
+                break
+            label = shorter
+    return label
+
+
+def chain_stats(owner: np.ndarray, token: np.ndarray, length: np.ndarray, n_docs: int, long: int, short: int) -> np.ndarray:
+    """(rotatable, distinct pairs, short pairs, short vertices, short components) per document.
+
+    ``owner`` is non-decreasing and ``length`` 0 marks an empty piece.  Pairs are
+    neighbouring pieces of one document, unordered and distinct but for the count
+    of those with both ends longer than ``long``; a pair of different tokens is
+    short when both ends are at most ``short`` at some occurrence.
+    """
+    out = np.zeros((5, n_docs), np.int64)
+    if len(token) < 2:
+        return out
+    linked = (owner[1:] == owner[:-1]) & (length[1:] > 0) & (length[:-1] > 0)
+    left, right, doc = token[:-1][linked], token[1:][linked], owner[1:][linked]
+    ll, lr = length[:-1][linked], length[1:][linked]
+    out[0] = np.bincount(doc[(ll > long) & (lr > long)], minlength=n_docs)
+    apart = left != right
+    u, v, doc = np.minimum(left, right)[apart], np.maximum(left, right)[apart], doc[apart]
+    brief = ((ll <= short) & (lr <= short))[apart]
+    out[1] = _distinct_per_doc(doc, u, v, n_docs)[0]
+    counts, (doc, u, v) = _distinct_per_doc(doc[brief], u[brief], v[brief], n_docs)
+    out[2] = counts
+    if len(doc):
+        width = np.int64(token.max() + 1)
+        vertex, place = np.unique(np.concatenate([doc * width + u, doc * width + v]), return_inverse=True)
+        label = roots(len(vertex), place[:len(doc)], place[len(doc):])
+        at = vertex // width
+        out[3] = np.bincount(at, minlength=n_docs)
+        out[4] = np.bincount(at[label == np.arange(len(vertex))], minlength=n_docs)
+    return out
+
+
+def _distinct_per_doc(doc, u, v, n_docs):
+    order = np.lexsort((v, u, doc))
+    doc, u, v = doc[order], u[order], v[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return np.bincount(doc[new], minlength=n_docs), (doc[new], u[new], v[new])
+
+
+def pair_stats(docs: DataFrame, long: int, short: int, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rotatable_bonds, n_pairs, short_pairs, short_vertices, short_components) per document with a text.
+
+    Splitting, lower-casing and lengths are Spark's; the task function only counts
+    dictionary codes.  A task holds one Arrow batch of documents.
+    """
+    names = ["rotatable_bonds", "n_pairs", "short_pairs", "short_vertices", "short_components"]
+    pieces = F.split(F.col(text_col), pattern)
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), pieces.alias("raw")).select(
+        "doc_id", F.transform("raw", F.lower).alias("tok"), F.transform("raw", F.length).alias("len"))
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            tokens = batch.column(1)
+            codes = tokens.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(n), np.diff(tokens.offsets.to_numpy()))
+            stats = chain_stats(owner, codes, batch.column(2).flatten().to_numpy(zero_copy_only=False), n, long, short)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in stats]], names=["doc_id", *names])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in names))

@@ -1,9 +1,11 @@
 """Halo chunks equal whole-document windows; graph ranks; vectors."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scorelens.operators import fingerprint as FP
-from scorelens.operators.graph import component_counts, connected_components, cycle_rank
+from scorelens.operators.graph import chain_stats, component_counts, connected_components, cycle_rank, pair_stats
 from scorelens.operators.tokens import token_edges, token_nodes
 
 from conftest import SF
@@ -81,12 +83,62 @@ def test_cycle_ranks_of_small_graphs(spark):
     assert counts == {1: (6, 1), 2: (3, 1), 3: (4, 1)}
 
 
-def test_distributed_components_equal_local(spark):
+def test_components_of_edge_rows(spark):
     edges = [("a", "b"), ("c", "d"), ("d", "e"), ("f", "g"), ("g", "a"), ("x", "y")]
-    pairs = _pairs(spark, edges)
+    pairs = _pairs(spark, edges).unionByName(_pairs(spark, [("a", "x")], 2))
     verts = pairs.select("g", F.col("u").alias("x")).unionByName(
-        pairs.select("g", F.col("v").alias("x"))).distinct()
-    local = {(r["x"], r["comp"]) for r in connected_components(verts, pairs).collect()}
-    dist = {(r["x"], r["comp"]) for r in connected_components(verts, pairs, local_limit=0).collect()}
-    assert local == dist
-    assert dict(local)["g"] == "a" and dict(local)["e"] == "c" and dict(local)["y"] == "x"
+        pairs.select("g", F.col("v").alias("x"))).distinct().unionByName(
+        spark.createDataFrame([(1, "lonely")], "g long, x string"))
+    got = {(r["g"], r["x"]): r["comp"] for r in connected_components(verts, pairs).collect()}
+    assert got == {**{(1, v): "a" for v in "abfg"}, **{(1, v): "c" for v in "cde"}, (1, "x"): "x", (1, "y"): "x",
+                   (1, "lonely"): "lonely", (2, "a"): "a", (2, "x"): "a"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chain_stats_equal_brute_force(seed):
+    import random
+
+    rng = random.Random(seed)
+    docs = [[rng.choice(["aa", "bb", "cccc", "ddddd", "eeeeeeee", "f", "gg"][:rng.randint(1, 7)])
+             for _ in range(rng.choice([0, 1, 2, 30]))] for _ in range(12)]
+    docs[3] = ["", *docs[3], ""]
+    flat = [t for d in docs for t in d]
+    code = {t: i for i, t in enumerate(dict.fromkeys(flat))}
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    got = chain_stats(owner, np.array([code[t] for t in flat], dtype=np.int64), np.array([len(t) for t in flat], dtype=np.int64),
+                      len(docs), 3, 4)
+    for i, d in enumerate(docs):
+        links = [(a, b) for a, b in zip(d, d[1:]) if a and b]
+        pairs = {tuple(sorted(p)) for p in links if p[0] != p[1]}
+        brief = {p for p in pairs if all(len(t) <= 4 for t in p)}
+        group = {t: {t} for p in brief for t in p}
+        for a, b in brief:
+            both = group[a] | group[b]
+            for t in both:
+                group[t] = both
+        assert got[:, i].tolist() == [sum(len(a) > 3 and len(b) > 3 for a, b in links), len(pairs), len(brief),
+                                      len(group), len({frozenset(g) for g in group.values()})]
+
+
+def _spell(i):
+    """A distinct word of at most four letters for i < 475,254."""
+    out = ""
+    while True:
+        out = chr(97 + i % 26) + out
+        i = i // 26 - 1
+        if i < 0:
+            return out
+
+
+@pytest.mark.parametrize("order", ["up", "down", "shuffled"])
+def test_path_of_100000_vertices_is_one_component(spark, order):
+    import random
+
+    words = [_spell(i) for i in range(100_000)]
+    if order == "down":
+        words.reverse()
+    elif order == "shuffled":
+        random.Random(1).shuffle(words)
+    df = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[2:] for r in pair_stats(df, 3, 4, r"[ \n]+").collect()}
+    assert got == {1: (99_999, 99_999, 100_000, 1), 3: (0, 0, 0, 0)}
