@@ -27,11 +27,13 @@ class_entropy             Shannon entropy (bits) of the token counts
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.operators.graph import pair_stats
-from scorelens.operators.tokens import TOKEN_SPLIT, token_nodes
+from scorelens.operators.graph import PAIR_COUNTS, chain_stats
+from scorelens.operators.tokens import TOKEN_SPLIT
 
 DESCRIPTOR_COLUMNS = (
     "mol_wt", "exact_mol_wt", "log_p", "tpsa", "hbd", "hba", "rotatable_bonds",
@@ -63,65 +65,82 @@ def node_type_weights(spark: SparkSession) -> DataFrame:
         NODE_TYPE_WEIGHTS, "type int, log_p double, mol_mr double, tpsa double, labute_asa double")
 
 
-def typed_nodes(nodes: DataFrame) -> DataFrame:
-    """Add ``len`` (characters of the raw token) and ``type`` = min(len, 8)."""
-    n = nodes.withColumn("len", F.length("tok_raw"))
-    return n.withColumn("type", F.least(F.col("len"), F.lit(N_TYPES)).cast("int"))
+VOWELS = tuple("aeiou")
+COUNTS = ("heavy_atoms", "s_len", "s_oct", "hbd", "hba", "s_vowel", "n_tokens_distinct")
 
 
-def node_aggregates(nodes: DataFrame, weights: DataFrame, weight_cols=WEIGHT_COLUMNS,
-                    max_types: int = 100_000) -> DataFrame:
-    """Every per-node count and sum, the distinct-token count and the token
-    entropy, from ONE pass over the nodes and a two-level aggregate:
-    per (doc, token) first -- repeated tokens collapse on the map side -- then
-    per doc.  class_entropy = log2(n) - sum(c log2 c) / n over token counts c.
+def _by_doc(doc: np.ndarray, values: np.ndarray, n_docs: int) -> np.ndarray:
+    """Whole-number sums of ``values`` per document."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    at = np.searchsorted(doc, np.arange(n_docs + 1))
+    return total[at[1:]] - total[at[:-1]]
 
-    The weight table (one row per node type) is the additive-contribution
-    input.  Its row count is checked -- a tiny action on a tiny table --
-    before it is broadcast; a table above ``max_types`` is joined by shuffle.
+
+def token_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document with a text: token counts, entropy, counts per node type, pair and component counts.
+
+    Spark splits the text; an Arrow batch of whole documents is dictionary encoded,
+    so every token is looked at once per batch, not once per occurrence, and all
+    counts are array operations over its codes.  Nothing is shuffled and one pass
+    gives every descriptor input.  ``types`` lists the occurrences of node types
+    1 .. N_TYPES (type = min(length, N_TYPES)).
+    class_entropy = log2(n) - sum(c log2 c) / n over the counts c of lower-cased tokens.
     """
-    w = weights.withColumnRenamed("type", "_wtype")
-    w = F.broadcast(w) if weights.count() <= max_types else w
-    joined = nodes.join(w, F.col("type") == F.col("_wtype"), "left")
-    first = F.substring("tok_raw", 1, 1)
-    per_tok = joined.groupBy("doc_id", "tok").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.sum("len").alias("s_len"),
-        F.sum(F.octet_length("tok_raw")).alias("s_oct"),
-        F.count_if(F.col("tok_raw").rlike("[0-9]")).alias("s_hbd"),
-        F.count_if(first != F.lower(first)).alias("s_hba"),
-        F.count_if(F.col("tok").rlike("^[aeiou]")).alias("s_vowel"),
-        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}") for c in weight_cols],
-    )
-    per_doc = per_tok.groupBy("doc_id").agg(
-        F.sum("c").alias("heavy_atoms"),
-        F.sum("s_len").cast("double").alias("mol_wt"),
-        F.sum("s_oct").cast("double").alias("exact_mol_wt"),
-        F.sum("s_hbd").alias("hbd"),
-        F.sum("s_hba").alias("hba"),
-        F.sum("s_vowel").alias("_vowel"),
-        *[F.sum(f"s_{c}").alias(c) for c in weight_cols],
-        F.count(F.lit(1)).alias("n_tokens_distinct"),
-        F.sum(F.col("c") * F.log2(F.col("c"))).alias("_clogc"),
-    )
-    return per_doc.withColumn(
-        "class_entropy", F.log2("heavy_atoms") - F.col("_clogc") / F.col("heavy_atoms")).drop("_clogc")
-
-
-def edge_descriptors(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """rotatable_bonds, ring_count, aromatic_rings, aliphatic_rings.
-
-    ring_count: the distinct-token graph of a chain is connected, so its
-    cycle rank is E - V + 1.  aromatic_rings: cycle rank of the subgraph of
-    short-short pairs; isolated short tokens add one vertex and one component
-    each, so only the vertices touched by a short pair matter.
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.split(F.col(text_col), TOKEN_SPLIT).alias("tok"))
+    names = [*COUNTS, "class_entropy", "types", *PAIR_COUNTS]
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            coded = batch.column(1).flatten().dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(n), np.diff(batch.column(1).offsets.to_numpy()))
+            words = coded.dictionary.to_pylist()
+            length = np.array([len(w) for w in words], dtype=np.int64)
+            low = [w.lower() for w in words]
+            lower_code = {}
+            lower_of = np.array([lower_code.setdefault(w, len(lower_code)) for w in low], dtype=np.int64)
+            per_word = [np.ones(len(words), np.int64), length, np.array([len(w.encode()) for w in words], dtype=np.int64),
+                        np.array([any("0" <= c <= "9" for c in w) for w in words], dtype=np.int64),
+                        np.array([w[:1] != v[:1] if len(v) == len(w) else w[:1] != w[:1].lower() for w, v in zip(words, low)], dtype=np.int64),
+                        np.array([v.startswith(VOWELS) for v in low], dtype=np.int64)]
+            pairs = chain_stats(owner, lower_of[code] if len(code) else code, length[code] if len(code) else code, n,
+                                LONG_TOKEN, SHORT_TOKEN)
+            full = length[code] > 0 if len(code) else np.zeros(0, dtype=bool)
+            code, owner = code[full], owner[full]
+            sums = [_by_doc(owner, v[code], n) for v in per_word]
+            width = np.int64(len(lower_code) + 1)
+            slot, count = np.unique(owner * width + (lower_of[code] if len(code) else code), return_counts=True)
+            doc = slot // width
+            distinct = _by_doc(doc, np.ones(len(doc), np.int64), n)
+            clogc = np.bincount(doc, count * np.log2(count), n)
+            heavy = sums[0]
+            some = np.maximum(heavy, 1)
+            entropy = np.where(heavy > 0, np.log2(some) - clogc / some, 0.0)
+            kind = np.minimum(length[code], N_TYPES) if len(code) else code
+            types = np.bincount(owner * N_TYPES + kind - 1, minlength=n * N_TYPES)
+            offsets = pa.array(np.arange(n + 1) * N_TYPES, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(v) for v in (*sums, distinct)], pa.array(entropy),
+                 pa.ListArray.from_arrays(offsets, pa.array(types, pa.int64())), *[pa.array(v) for v in pairs]],
+                names=["doc_id", *names])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = ", ".join([f"doc_id {id_type}", *[f"{c} long" for c in COUNTS], "class_entropy double", "types array<long>",
+                        *[f"{c} long" for c in PAIR_COUNTS]])
+    return rows.mapInArrow(run, schema)
+
+
+def contributions(stats: DataFrame, weights: DataFrame, weight_cols=WEIGHT_COLUMNS) -> DataFrame:
+    """Additive contributions: per document the sum over node types of occurrences times the type's weight.
+
+    ``weights`` has one row per type; types without a row add nothing.  A document has
+    at most N_TYPES rows here, whatever its length.
     """
-    stats = pair_stats(docs, LONG_TOKEN, SHORT_TOKEN, TOKEN_SPLIT)
-    out = tokens.select("doc_id", "n_tokens_distinct").join(stats, "doc_id", "left")
-    ring = F.col("n_pairs") - F.col("n_tokens_distinct") + 1
-    aromatic = F.col("short_pairs") - F.col("short_vertices") + F.col("short_components")
-    return out.select("doc_id", "rotatable_bonds", ring.alias("ring_count"), aromatic.alias("aromatic_rings"),
-                      (ring - aromatic).alias("aliphatic_rings"))
+    long = stats.select("doc_id", F.posexplode("types").alias("pos", "n")).where("n > 0")
+    typed = long.join(weights, F.col("pos") + 1 == F.col("type"), "left")
+    return typed.groupBy("doc_id").agg(*[F.sum(F.coalesce(F.col("n") * F.col(c), F.lit(0.0))).alias(c) for c in weight_cols])
 
 
 def descriptor_table(entities: DataFrame, docs: DataFrame, weights: DataFrame,
@@ -129,16 +148,20 @@ def descriptor_table(entities: DataFrame, docs: DataFrame, weights: DataFrame,
     """entities LEFT JOIN their 15 descriptors; P8 fills only descriptor nulls with 0.
 
     Output: entity columns, then descriptors in ``DESCRIPTOR_COLUMNS`` order (P7).
-    Token counts are one two-level aggregate; everything about neighbouring tokens
-    is computed inside the document's row (``graph.pair_stats``).
+    The text is split once; what follows has one row (or N_TYPES rows) a document.
+
+    ring_count: the distinct-token graph of a chain is connected, so its cycle rank
+    is E - V + 1.  aromatic_rings: cycle rank of the subgraph of short-short pairs;
+    isolated short tokens add one vertex and one component each, so only the
+    vertices touched by a short pair matter.
     """
-    tn = typed_nodes(token_nodes(docs.select("doc_id", "text")))
-    base = node_aggregates(tn, weights)
-    feats = base.join(edge_descriptors(docs, base), "doc_id", "left")
-    feats = feats.withColumn(
-        "fraction_csp3",
-        F.when(F.col("heavy_atoms") > 0, F.col("_vowel") / F.col("heavy_atoms")).otherwise(0.0),
-    )
+    stats = token_stats(docs).where("heavy_atoms > 0")
+    ring = F.col("n_pairs") - F.col("n_tokens_distinct") + 1
+    aromatic = F.col("short_pairs") - F.col("short_vertices") + F.col("short_components")
+    feats = stats.withColumns({
+        "mol_wt": F.col("s_len").cast("double"), "exact_mol_wt": F.col("s_oct").cast("double"), "ring_count": ring,
+        "aromatic_rings": aromatic, "aliphatic_rings": ring - aromatic, "fraction_csp3": F.col("s_vowel") / F.col("heavy_atoms")})
+    feats = feats.drop("types").join(contributions(stats, weights), "doc_id", "left")
     table = entities.join(feats.withColumnRenamed("doc_id", id_col), id_col, "left")
     return fill_zero(table, DESCRIPTOR_COLUMNS).select(
         *[c for c in entities.columns], *DESCRIPTOR_COLUMNS)

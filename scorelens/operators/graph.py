@@ -4,15 +4,14 @@
   arrive as edge rows (g, u, v).  Vertices are (group, vertex) pairs, contracted
   by ``components.connected_labels``: one path for all sizes, no group is
   gathered anywhere, no bound on rounds.
-* ``pair_stats``: token graphs of documents.  A document is one row, so its
-  graph is in that row and no edge needs to move: Arrow batches of whole
-  documents are solved with array operations over all their tokens.
+* ``chain_stats``: token graphs of documents, for task functions over Arrow
+  batches.  A document is one row, so its graph is in that row and no edge
+  needs to move; all documents of a batch are solved together (``descriptors``).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +52,9 @@ def cycle_rank(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ token graphs inside rows
 
+PAIR_COUNTS = ("rotatable_bonds", "n_pairs", "short_pairs", "short_vertices", "short_components")
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest vertex of each vertex's component: larger roots hook onto smaller ones, then paths are halved."""
     label = np.arange(n)
@@ -108,28 +110,3 @@ def _distinct_per_doc(doc, u, v, n_docs):
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])
     return np.bincount(doc[new], minlength=n_docs), (doc[new], u[new], v[new])
-
-
-def pair_stats(docs: DataFrame, long: int, short: int, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rotatable_bonds, n_pairs, short_pairs, short_vertices, short_components) per document with a text.
-
-    Splitting, lower-casing and lengths are Spark's; the task function only counts
-    dictionary codes.  A task holds one Arrow batch of documents.
-    """
-    names = ["rotatable_bonds", "n_pairs", "short_pairs", "short_vertices", "short_components"]
-    pieces = F.split(F.col(text_col), pattern)
-    rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), pieces.alias("raw")).select(
-        "doc_id", F.transform("raw", F.lower).alias("tok"), F.transform("raw", F.length).alias("len"))
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            tokens = batch.column(1)
-            codes = tokens.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(n), np.diff(tokens.offsets.to_numpy()))
-            stats = chain_stats(owner, codes, batch.column(2).flatten().to_numpy(zero_copy_only=False), n, long, short)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in stats]], names=["doc_id", *names])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in names))

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelens.operators import fingerprint as FP
-from scorelens.operators.graph import chain_stats, component_counts, connected_components, cycle_rank, pair_stats
+from scorelens.operators.descriptors import token_stats
+from scorelens.operators.graph import chain_stats, component_counts, connected_components, cycle_rank
 from scorelens.operators.tokens import token_edges, token_nodes
 
 from conftest import SF
@@ -140,5 +141,14 @@ def test_path_of_100000_vertices_is_one_component(spark, order):
     elif order == "shuffled":
         random.Random(1).shuffle(words)
     df = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "")], "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r)[2:] for r in pair_stats(df, 3, 4, r"[ \n]+").collect()}
+    got = {r["doc_id"]: tuple(r)[-4:] for r in token_stats(df).collect()}
     assert got == {1: (99_999, 99_999, 100_000, 1), 3: (0, 0, 0, 0)}
+
+
+def test_token_stats_by_hand(spark):
+    df = spark.createDataFrame([(1, "Ab 12 ab\nÉa  z9"), (2, " \n ")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in token_stats(df).collect()}
+    r = rows[1]
+    assert (r["heavy_atoms"], r["s_len"], r["s_oct"], r["hbd"], r["hba"], r["s_vowel"], r["n_tokens_distinct"]) == (5, 10, 11, 2, 2, 2, 4)
+    assert r["types"] == [0, 5, 0, 0, 0, 0, 0, 0] and abs(r["class_entropy"] - (np.log2(5) - 2 / 5)) < 1e-12
+    assert rows[2]["heavy_atoms"] == 0 and rows[2]["class_entropy"] == 0
