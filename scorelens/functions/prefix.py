@@ -62,22 +62,3 @@ def running_totals(
         *[c for c in df.columns],
         *[(F.col(f"_off_{c}") + F.sum(c).over(inside)).alias(f"{prefix}{c}") for c in sum_cols],
     )
-
-
-def quantile_buckets(df: DataFrame, part_cols: Sequence[str], value_col: str,
-                     n_buckets: int = 64, name: str = "_bucket") -> DataFrame:
-    """Add a bucket id in 0..n_buckets-1, monotone in ``value_col`` within each group.
-
-    Boundaries are approximate per-group quantiles: they only balance the
-    buckets, the exactness of ``running_totals`` does not depend on them.
-    """
-    if n_buckets <= 1:
-        return df.withColumn(name, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    keys = list(part_cols) or ["_all"]
-    src = df if part_cols else df.withColumn("_all", F.lit(0))
-    bounds = src.groupBy(*keys).agg(
-        F.percentile_approx(value_col, probs, 10000).alias("_bounds"))
-    out = src.join(bounds, on=keys, how="inner").withColumn(
-        name, F.size(F.filter("_bounds", lambda b: b < F.col(value_col))))
-    return out.drop("_bounds", "_all") if not part_cols else out.drop("_bounds")

@@ -12,19 +12,22 @@ Ranking metrics are exact:
 
 Both need running totals over the scores in descending order.  Scores are
 first collapsed to distinct values per group (ties merge, map-side partial
-aggregation), then ``running_totals`` computes the cumulative counts in
-quantile buckets so no group, however large, lands in one task.
+aggregation), range-partitioned by (group, score) and checkpointed: the input
+is read once, and totals, offsets, running sums and the confusion counts all
+come from that table.  A running sum is taken inside one range partition and
+shifted by the sum of the group's earlier ones, so no group, however large,
+lands in one task and nothing large is joined on the group keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.exprs import safe_div
-from scorelens.functions.prefix import quantile_buckets, running_totals
+from scorelens.session import checkpointed
 
 METRIC_NAMES = ("accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
 
@@ -38,14 +41,18 @@ def predict_class(y_prob, threshold: float = 0.5):
 def confusion_counts(pred: DataFrame, group_cols: Sequence[str], y_true: str = "y_true",
                      y_pred: str = "y_pred") -> DataFrame:
     """tp / fp / tn / fn / n per group (one aggregate, partial on the map side)."""
+    return pred.groupBy(*group_cols).agg(*_confusion_aggs(y_true, y_pred)).withColumnRenamed("n_rows", "n")
+
+
+def _confusion_aggs(y_true: str, y_pred: str) -> list:
     t, p = F.col(y_true) == 1, F.col(y_pred) == 1
-    return pred.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n"),
+    return [
+        F.count(F.lit(1)).alias("n_rows"),
         F.count_if(t & p).alias("tp"),
         F.count_if(~t & p).alias("fp"),
         F.count_if(~t & ~p).alias("tn"),
         F.count_if(t & ~p).alias("fn"),
-    )
+    ]
 
 
 def classification_metrics(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -67,36 +74,76 @@ def classification_metrics(counts: DataFrame, group_cols: Sequence[str]) -> Data
     )
 
 
-def threshold_table(pred: DataFrame, group_cols: Sequence[str], y_true: str = "y_true",
-                    y_prob: str = "y_prob", n_buckets: int = 64) -> DataFrame:
-    """One row per (group, distinct score) with counts and cumulative counts from the top.
+CONFUSION = ("n_rows", "tp", "fp", "tn", "fn")
+
+
+def score_counts(pred: DataFrame, group_cols: Sequence[str], y_true: str = "y_true", y_prob: str = "y_prob",
+                 y_pred: str | None = None, n_buckets: int | None = None) -> DataFrame:
+    """Checkpointed (group..., score, pos, neg[, n_rows, tp, fp, tn, fn], _part): one row per distinct score of a group.
 
-    Columns: group..., score, pos, neg, cum_pos, cum_neg, P, N.
+    ``_part`` grows with the order (group, score descending); ``n_buckets``
+    range partitions, else the session's shuffle partitions.  With ``y_pred``
+    the confusion counts of the rows at each score come along.
     """
-    group_cols = list(group_cols)
     dist = pred.groupBy(*group_cols, F.col(y_prob).alias("score")).agg(
         F.count_if(F.col(y_true) == 1).alias("pos"),
         F.count_if(F.col(y_true) == 0).alias("neg"),
+        *(_confusion_aggs(y_true, y_pred) if y_pred else []),
     )
-    totals = dist.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    bucketed = quantile_buckets(dist, group_cols, "score", n_buckets=n_buckets)
-    cum = running_totals(bucketed, group_cols, ["_bucket"], ["score"], ["pos", "neg"],
-                         descending=True)
-    return cum.drop("_bucket").join(totals, on=group_cols, how="inner")
+    order = [*[F.col(c) for c in group_cols], F.col("score").desc()]
+    ranged = dist.repartitionByRange(n_buckets, *order) if n_buckets else dist.repartitionByRange(*order)
+    return checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
+
 
+def threshold_table(pred: DataFrame, group_cols: Sequence[str], y_true: str = "y_true", y_prob: str = "y_prob",
+                    y_pred: str | None = None, n_buckets: int | None = None) -> DataFrame:
+    """One row per (group, distinct score) with counts and cumulative counts from the top.
 
-def ranking_metrics(thresholds: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """W2 + W3: ROC-AUC with half ties and average precision, per group.
+    Columns: group..., score, pos, neg[, n_rows, tp, fp, tn, fn], cum_pos, cum_neg, P, N and
+    next_pos, next_neg (counts of the group's next lower score, null at its last).
+    """
+    group_cols = list(group_cols)
+    counts = score_counts(pred, group_cols, y_true, y_prob, y_pred, n_buckets)
+    keys = [*group_cols, "_part"]
+    # at most one row a group and one a range partition
+    parts = counts.groupBy(*keys).agg(
+        F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"),
+        F.max(F.struct("score", "pos", "neg")).alias("_top"))
+    group = Window.partitionBy(*group_cols)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.lead("_top").over(group.orderBy("_part"))
+    offsets = parts.select(
+        *keys,
+        F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_off_pos"),
+        F.coalesce(F.sum("_neg").over(before), F.lit(0)).alias("_off_neg"),
+        F.sum("_pos").over(group).alias("P"), F.sum("_neg").over(group).alias("N"),
+        below["pos"].alias("_below_pos"), below["neg"].alias("_below_neg"))
+    part = Window.partitionBy(*keys).orderBy(F.col("score").desc())
+    upto = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = counts.join(offsets, keys)
+    return joined.select(
+        *[c for c in counts.columns if c != "_part"],
+        (F.col("_off_pos") + F.sum("pos").over(upto)).alias("cum_pos"),
+        (F.col("_off_neg") + F.sum("neg").over(upto)).alias("cum_neg"), "P", "N",
+        F.coalesce(F.lead("pos").over(part), F.col("_below_pos")).alias("next_pos"),
+        F.coalesce(F.lead("neg").over(part), F.col("_below_neg")).alias("next_neg"))
+
+
+def ranking_metrics(thresholds: DataFrame, group_cols: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """W2 + W3: ROC-AUC with half ties and average precision, per group (and the sums of ``sums``).
 
     AUC = sum_s pos_s * (2 * (N - cum_neg_s) + neg_s) / (2 P N), all in integers
-    up to the last division; null when a class is absent.
+    (of 38 digits: P * N passes 64 bits at some 3 billion rows a class) up to the last
+    division; null when a class is absent.
     AP  = sum_s pos_s * cum_pos_s / (cum_pos_s + cum_neg_s) / P; null when P = 0.
     """
     pos, neg, cp, cn = (F.col(c) for c in ("pos", "neg", "cum_pos", "cum_neg"))
+    pairs = pos.cast("decimal(18,0)") * (2 * (F.col("N") - cn) + neg).cast("decimal(19,0)")
     agg = thresholds.groupBy(*group_cols).agg(
         F.first("P").alias("P"), F.first("N").alias("N"),
-        F.sum(pos * (2 * (F.col("N") - cn) + neg)).alias("_auc_num"),
-        F.sum(pos * cp / (cp + cn)).alias("_ap_num"),
+        F.sum(pairs).alias("_auc_num"),
+        F.sum(F.when(pos > 0, pos * (cp / (cp + cn)))).alias("_ap_num"),
+        *[F.sum(c).alias(c) for c in sums],
     )
     P, N = F.col("P"), F.col("N")
     return agg.select(
@@ -105,6 +152,7 @@ def ranking_metrics(thresholds: DataFrame, group_cols: Sequence[str]) -> DataFra
                F.col("_auc_num").cast("double") / (2.0 * P.cast("double") * N.cast("double"))
                ).alias("roc_auc"),
         F.when(P > 0, F.col("_ap_num") / P.cast("double")).alias("pr_auc"),
+        *sums,
     )
 
 
@@ -121,25 +169,15 @@ def roc_points(thresholds: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 def roc_points_reduced(points: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """Drop ROC points that lie on the segment between their neighbours.
 
-    Input: the threshold table (``threshold`` = distinct score, pos, neg,
-    cumulative counts).  Point i is kept if it is the first or the last of its
-    group, or if its step (neg_i, pos_i) is not parallel to the next step
-    (neg_i+1, pos_i+1): neg_i * pos_i+1 - pos_i * neg_i+1 != 0 (integers, no
-    float noise).  The previous point's step is the row's own counts; the
-    next one comes from an equi-join on (group, rank + 1), where the rank is
-    an exact running count -- no window over a whole group.
+    Input: the threshold table (``threshold`` = distinct score).  A point is
+    kept if it is the first or the last of its group, or if its step (neg, pos)
+    is not parallel to the next step (next_neg, next_pos):
+    neg * next_pos - pos * next_neg != 0 (38-digit integers, no float noise).
     """
-    group_cols = list(group_cols)
-    ranked = points.withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = quantile_buckets(ranked, group_cols, "threshold", n_buckets=64, name="_rb")
-    ranked = running_totals(ranked, group_cols, ["_rb"], ["threshold"], ["_one"],
-                            descending=True, prefix="_r").drop("_rb", "_one")
-    nxt = ranked.select(*group_cols, (F.col("_r_one") - 1).alias("_r_one"),
-                        F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
-    j = ranked.join(nxt, group_cols + ["_r_one"], "left")
-    turn = F.col("neg") * F.col("_npos") - F.col("pos") * F.col("_nneg")
-    keep = (F.col("_r_one") == 1) | F.col("_npos").isNull() | (turn != 0)
-    return j.filter(keep).drop("_r_one", "_npos", "_nneg")
+    wide = {c: F.col(c).cast("decimal(18,0)") for c in ("pos", "neg", "next_pos", "next_neg")}
+    first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    turn = wide["neg"] * wide["next_pos"] - wide["pos"] * wide["next_neg"]
+    return points.filter(first | F.col("next_pos").isNull() | (turn != 0)).drop("next_pos", "next_neg")
 
 
 def fold_metrics(pred: DataFrame, group_cols: Sequence[str], y_true: str = "y_true",
@@ -148,9 +186,8 @@ def fold_metrics(pred: DataFrame, group_cols: Sequence[str], y_true: str = "y_tr
     group_cols = list(group_cols)
     scored = pred.withColumn("y_pred", predict_class(y_prob, threshold)) \
         if "y_pred" not in pred.columns else pred
-    cls = classification_metrics(confusion_counts(scored, group_cols, y_true), group_cols)
-    rank = ranking_metrics(threshold_table(scored, group_cols, y_true, y_prob), group_cols)
-    return cls.join(rank, on=group_cols, how="inner")
+    ranked = ranking_metrics(threshold_table(scored, group_cols, y_true, y_prob, "y_pred"), group_cols, CONFUSION)
+    return classification_metrics(ranked.withColumnRenamed("n_rows", "n"), [*group_cols, "roc_auc", "pr_auc"])
 
 
 def metric_summary(per_fold: DataFrame, group_cols: Sequence[str],

@@ -107,3 +107,56 @@ def test_roc_reduction_keeps_ends_and_turns(spark):
         .withColumnRenamed("score", "threshold")
     kept = sorted(r["threshold"] for r in M.roc_points_reduced(th, ["g"]).collect())
     assert kept == [0.5, 0.7, 0.9]
+
+
+def _steps(p, y):
+    """Plain reduction: the first and the last score and every turn of the exact curve."""
+    levels = sorted(set(p), reverse=True)
+    step = [(sum(1 for a, b in zip(p, y) if a == t and b == 0), sum(1 for a, b in zip(p, y) if a == t and b == 1))
+            for t in levels]
+    return [t for i, t in enumerate(levels) if i in (0, len(levels) - 1)
+            or step[i][0] * step[i + 1][1] != step[i][1] * step[i + 1][0]]
+
+
+@pytest.mark.parametrize("n", [1, 7, 40])
+def test_reduction_across_partitions_equals_plain_loop(spark, n):
+    import random
+
+    rnd = random.Random(n)
+    groups = {g: ([round(rnd.random(), 2) for _ in range(size)], [rnd.randint(0, 1) for _ in range(size)])
+              for g, size in (("a", 400), ("b", 30), ("c", 1))}
+    pred = None
+    for g, (p, y) in groups.items():
+        part = _pred(spark, p, y, g)
+        pred = part if pred is None else pred.unionByName(part)
+    th = M.threshold_table(pred, ["g"], n_buckets=n).withColumnRenamed("score", "threshold")
+    kept = M.roc_points_reduced(th, ["g"]).collect()
+    for g, (p, y) in groups.items():
+        assert sorted((r["threshold"] for r in kept if r["g"] == g), reverse=True) == _steps(p, y)
+
+
+def test_input_is_read_once_and_exchanges_are_few(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    pred = _pred(spark, [i / 1000 for i in range(1000)], [i % 2 for i in range(1000)])
+    counted = pred.mapInArrow(count, pred.schema)
+    th = M.threshold_table(counted, ["g"])
+    th.collect()
+    M.ranking_metrics(th, ["g"]).collect()
+    assert reads.value == 1000
+    plan = th._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange") <= 4 and "Python" not in initial
+
+
+def test_pair_counts_beyond_64_bits(spark):
+    big = 6_000_000_000
+    th = spark.createDataFrame([("g", .9, big, 0, big, 0, big, big), ("g", .1, 0, big, big, big, big, big)],
+                               "g string, score double, pos long, neg long, cum_pos long, cum_neg long, P long, N long")
+    r = M.ranking_metrics(th, ["g"]).first()
+    assert r["roc_auc"] == 1.0 and r["pr_auc"] == 1.0
