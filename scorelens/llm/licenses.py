@@ -6,15 +6,18 @@ than a-z and 0-9 one space) and looked up among the known licence sentences.
 A known sentence may also go on over single line ends, over ``:`` and ``;`` and
 inside ``v. 2``, as notices are wrapped and written in files, but not over a
 blank line or another sentence mark; where several start, the longest counts.
-``license_sql`` looks up the cut pieces alone: on wrapped notices it finds less.
 The identifiers found, in text order, form the document's sequence; a licence
-rule matches when its ordered identifiers occur in it one after another.  A
-rule inside a longer matching rule is dropped.  Everything happens in the
-document's row: no shuffle, no join.
+rule matches where its ordered identifiers occur in it one after another.  A
+match is dropped only where a longer rule's match covers the same identifiers:
+a whole notice beside a longer one of the same words stays.  A tag with an
+expression (``MIT OR Apache-2.0``) is no known sentence.  Everything happens in
+the document's row: no shuffle, no join.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 #: Known licence sentences in normalised form, by identifier.
@@ -53,7 +56,32 @@ SENTENCES = (
     ("spdx-mit", "spdx license identifier mit"),
     ("spdx-apache2", "spdx license identifier apache 2 0"),
     ("all-rights", "all rights reserved"),
+    ("apache2-url-https", "https www apache org licenses license 2 0"),
+    ("gpl2-only-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("lgpl21-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl3-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-hope", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("lgpl-details", "see the gnu lesser general public license for more details"),
+    ("agpl3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-details", "see the gnu affero general public license for more details"),
+    ("epl2-terms", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("bsl1-distributed", "distributed under the boost software license version 1 0"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-event", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("0bsd-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("wtfpl-copy", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+)
+
+#: Further identifiers read from a tag ``SPDX-License-Identifier: <identifier>``.
+SPDX_TAGS = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+    "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 )
+SENTENCES += tuple(("spdx-" + tag.lower(), "spdx license identifier " + re.sub("[^a-z0-9]+", " ", tag.lower()))
+                   for tag in SPDX_TAGS)
 
 #: Licence rules as (licence, ordered sentence identifiers).
 RULES = (
@@ -83,7 +111,21 @@ RULES = (
     ("ISC", ("isc-grant",)),
     ("MPL-2.0", ("mpl2-form",)),
     ("Unlicense", ("unlicense-free",)),
+    ("Apache-2.0", ("apache2-licensed-the", "apache2-compliance", "apache2-copy", "apache2-url-https", "apache2-as-is")),
+    ("GPL-2.0-only", ("gpl2-only-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope", "lgpl-details")),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope", "agpl-details")),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("BSL-1.0", ("bsl1-distributed",)),
+    ("Zlib", ("zlib-as-is", "zlib-event", "zlib-grant")),
+    ("0BSD", ("0bsd-grant",)),
+    ("WTFPL", ("wtfpl-copy",)),
 )
+RULES += tuple((tag, ("spdx-" + tag.lower(),)) for tag in SPDX_TAGS)
 
 #: Every cut becomes H (a sentence ends) or S (it may go on), in this order; texts have no capitals by then.
 MARKS = (
@@ -97,6 +139,18 @@ MARKS = (
 )
 
 
+def rule_pattern(seq: tuple, rules) -> str:
+    """Regular expression of ``seq`` in ",id,id,...," at a place that no longer rule's match covers."""
+    body, longer = ",".join(seq) + ",", ""
+    for other in sorted({other for _, other in rules}):
+        for at in range(len(other) - len(seq) + 1):
+            if len(other) > len(seq) and other[at:at + len(seq)] == seq:
+                before = "".join(name + "," for name in other[:at])
+                after = "".join(name + "," for name in other[at + len(seq):])
+                longer += f"(?!(?<=,{before}){body}{after})"
+    return "(?<=,)" + longer + body
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  sentences=SENTENCES, rules=RULES) -> DataFrame:
     """One row per input row: id, n_sentences, sentence_ids, n_known, licenses, n_licenses.
@@ -110,8 +164,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = F.array(*[F.lit(name) for name, _ in sentences])
     longest = sorted((text for _, text in sentences), key=len, reverse=True)
     whole = "(?<=[HS] )(?:" + "|".join(text.replace(" ", "(?: S)* ") for text in longest) + ")(?= [HS])"
-    table = F.array(*[F.struct(F.lit(lic).alias("lic"), F.lit("," + ",".join(seq) + ",").alias("seq"))
-                      for lic, seq in rules])
 
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
                        "abcdefghijklmnopqrstuvwxyz")
@@ -125,38 +177,46 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     lambda s: F.element_at(names, F.array_position(known, F.replace(s, F.lit(" S"), F.lit(""))).cast("int"))
                     ).alias("_ids"))
     seq = found.select("*", F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(",")).alias("_seq"))
-    hit = seq.select("*", F.filter(table, lambda r: F.col("_seq").contains(r["seq"])).alias("_hit"))
-    top = F.filter("_hit", lambda r: ~F.exists("_hit", lambda s: (s["seq"] != r["seq"]) & s["seq"].contains(r["seq"])))
-    lic = F.array_sort(F.array_distinct(F.transform(top, lambda r: r["lic"])))
-    return hit.select(
+    hits = F.array_compact(F.array(*[F.when(F.col("_seq").rlike(rule_pattern(seq, rules)), F.lit(lic)) for lic, seq in rules]))
+    lic = F.when(F.size("_ids") > 0, F.array_sort(F.array_distinct(hits))).otherwise(F.array().cast("array<string>"))
+    return seq.select("*", lic.alias("_lic")).select(
         F.col(id_col), "n_sentences", F.array_join("_ids", ",").alias("sentence_ids"),
-        F.size("_ids").cast("long").alias("n_known"), F.array_join(lic, ",").alias("licenses"),
-        F.size(lic).cast("long").alias("n_licenses"))
+        F.size("_ids").cast("long").alias("n_known"), F.array_join("_lic", ",").alias("licenses"),
+        F.size("_lic").cast("long").alias("n_licenses"))
 
 
 def license_sql(sentences=SENTENCES, rules=RULES) -> str:
-    """The same scan in DuckDB SQL over the table documents."""
+    """The same scan in DuckDB SQL over the table documents.
+
+    Its expressions know no lookaround: marks are doubled, so that the one that ends a sentence
+    and the one that begins the next are two, and the covered matches go by their positions.
+    """
     known = ", ".join(f"'{t}'" for _, t in sentences)
     names = ", ".join(f"'{n}'" for n, _ in sentences)
-    table = ", ".join("{'lic': '%s', 'seq': ',%s,'}" % (lic, ",".join(seq)) for lic, seq in rules)
+    longest = sorted((text for _, text in sentences), key=len, reverse=True)
+    whole = "[HS] (?:" + "|".join(text.replace(" ", "(?: S S)* ") for text in longest) + ") [HS]"
+    table = ", ".join("{'lic': '%s', 'seq': [%s]}" % (lic, ", ".join(f"'{n}'" for n in seq)) for lic, seq in rules)
+    marked = "'H ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' H'"
+    for pattern, mark in ((r"\r\n?", r"\n"), (r"\n[ \t]*\n", " H "), (r"([^a-z0-9])v\.[ \t\n]+([0-9])", r"\1v S \2"),
+                          (r"[.!?][ \t\n]+", " H "), (r"[:;][ \t\n]+", " S "), (r"\n", " S "), ("[^a-z0-9HS]+", " ")):
+        to = "chr(10)" if mark == r"\n" else f"'{mark}'"
+        marked = f"regexp_replace({marked}, '{pattern}', {to}, 'g')"
     return rf"""
-WITH cut AS (
-  SELECT doc_id, list_filter(list_transform(
-      regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                            '[.!?:;]+[ \t\r\n]+|[\r\n]+'),
-      lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS sentences
-  FROM documents),
+WITH marked AS (SELECT doc_id, {marked} AS m FROM documents),
 found AS (
-  SELECT doc_id, len(sentences) AS n_sentences,
-         list_transform(list_filter(list_transform(sentences, lambda s: coalesce(list_position([{known}], s), 0)), lambda p: p > 0),
-                        lambda p: list_extract([{names}], p)) AS ids
-  FROM cut),
+  SELECT doc_id, len(regexp_extract_all(m, '[HS] [a-z0-9]')) AS n_sentences,
+         list_transform(regexp_extract_all(regexp_replace(m, '([HS])', '\1 \1', 'g'), '{whole}'),
+                        lambda s: list_extract([{names}], list_position([{known}], replace(s[3:-3], ' S S', '')))) AS ids
+  FROM marked),
 hit AS (
-  SELECT *, list_filter([{table}], lambda r: contains(',' || array_to_string(ids, ',') || ',', r.seq)) AS hits FROM found),
+  SELECT *, flatten(list_transform([{table}], lambda r: list_transform(
+      list_filter(range(1, len(ids) + 1), lambda p: ids[p:p + len(r.seq) - 1] = r.seq),
+      lambda p: {{'lic': r.lic, 'a': p, 'b': p + len(r.seq)}}))) AS hits
+  FROM found),
 top AS (
-  SELECT *, list_sort(list_distinct(list_transform(
-      list_filter(hits, lambda r: len(list_filter(hits, lambda s: s.seq <> r.seq AND contains(s.seq, r.seq))) = 0),
-      lambda r: r.lic))) AS lic FROM hit)
+  SELECT *, list_sort(list_distinct(list_transform(list_filter(hits, lambda r: len(list_filter(hits,
+      lambda s: s.a <= r.a AND s.b >= r.b AND s.b - s.a > r.b - r.a)) = 0), lambda r: r.lic))) AS lic
+  FROM hit)
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
        CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(lic, ','), '') AS licenses, CAST(len(lic) AS BIGINT) AS n_licenses
 FROM top"""
