@@ -23,6 +23,7 @@ from scorelens.llm.common import text_chunks
 
 SLOTS = 8192
 CHUNK_DOCS = 512
+SALTS = 64
 UNKNOWN = "und"
 _TABLE: list[np.ndarray] = []
 
@@ -167,9 +168,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           sample: int = 3000, most_languages: int = 2000) -> LanguageModel | None:
     """Fit on the rows given (leave held-out rows out); None if no row has text and language.
 
-    The fit reads at most ``sample`` documents (or one per language) and learns
-    every value of ``lang``; document frequencies cover all rows.  More than
-    ``most_languages`` values (131 MB a matrix of the model at 2000) raise.
+    The fit reads at most ``sample`` documents (or one per language), each with at
+    most ``SLOTS`` counts (64 KB), and learns every value of ``lang``; document
+    frequencies cover all rows.  More than ``most_languages`` values (131 MB a
+    matrix of the model at 2000) raise.  Rows with a null id, text or language do
+    not count; an id on several rows of a language is one document of the sample,
+    its text the smallest by hash.
     """
     rows = (docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
             .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
@@ -198,10 +202,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + df[SLOTS]) / (1 + df[:SLOTS])) + 1
 
     share = max(1, sample // len(languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    pick = (rows.select("id", "lang").withColumn("k", F.row_number().over(order))
-            .where(F.col("k") <= share).select("id", "lang").distinct())
-    chosen = rows.join(F.broadcast(pick), ["id", "lang"]).select("id", "lang", "text")
+    ids = rows.select("id", "lang").distinct().withColumn("h", F.xxhash64("id"))
+    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):  # no task ranks a whole language
+        order = Window.partitionBy(*keys).orderBy("h", "id")
+        ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).drop("k")
+    chosen = (rows.join(F.broadcast(ids.drop("h")), ["id", "lang"])
+              .groupBy("id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row"))
+              .select("id", "lang", "row.text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

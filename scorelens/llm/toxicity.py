@@ -10,7 +10,8 @@ vector, so the model stays small.
 
 Training (driver, numpy, Adam) uses a bounded sample of labelled documents:
 ``per_class`` documents of each label, the smallest by hash of the id, of at
-most ``longest`` words.  One remainder class of the training ids is kept out of
+most ``longest`` words, in that order while they have at most ``most_words``
+words together (20 bytes a word reach the driver).  One remainder class of the training ids is kept out of
 the fit and calibrates one threshold per language; the language of a text is
 guessed from its own words, the column ``lang`` is read only while learning.
 A score is the probability moved on the logit scale so that the threshold of
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scorelens.llm.common import ASCII_LOWER, release_memory, span_hashes, text_chunks
+from scorelens.llm.common import ASCII_LOWER, release_memory, span_hashes, stored, text_chunks
 
 WIDTHS = (1, 2, 3)
 PARTS = (5, 6, 7, 8)
@@ -270,8 +271,12 @@ def best_threshold(p: np.ndarray, y: np.ndarray, odds: float = 1.0) -> float:
 # ---------------------------------------------------------------- Spark side
 
 def training_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, lang_col: str | None,
-                   per_class: int, longest: int) -> DataFrame:
-    """(id, label, lang, words) of the bounded sample: ``per_class`` ids of each label, smallest by hash."""
+                   per_class: int, longest: int, most_words: int) -> DataFrame:
+    """(id, label, lang, words) of the bounded sample: ``per_class`` ids of each label, smallest by hash, one row each.
+
+    An id on several rows gives one of its texts (the smallest by hash), whatever their number.
+    Texts of more than ``longest`` words stay out; the rest, by hash of the id, count up to ``most_words`` words.
+    """
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
              .withColumn("h", F.xxhash64("id")))
@@ -281,7 +286,9 @@ def training_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         pick = part if pick is None else pick.unionByName(part)
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
-            .join(F.broadcast(pick.select("id", "label")), "id"))
+            .join(F.broadcast(pick), "id")  # at most 2 * per_class ids
+            .groupBy("id", "label", "h").agg(F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("row"))
+            .select("id", "label", "h", "row.lang", "row.text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,20 +296,28 @@ def training_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
                 h, at = hashed_words(data, off)
                 words = [h[at[d]:at[d + 1]].tobytes() if at[d + 1] - at[d] <= longest else None for d in range(j - i)]
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), part.column("lang"),
-                                                  pa.array(words, pa.binary())], names=["id", "label", "lang", "words"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "label", "h", "lang")],
+                                                  pa.array(words, pa.binary())], names=["id", "label", "h", "lang", "words"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return (rows.select("id", "label", "lang", "text")
-            .mapInArrow(run, f"id {id_type}, label int, lang string, words binary").where("words IS NOT NULL"))
+    hashed = stored(rows.mapInArrow(run, f"id {id_type}, label int, h long, lang string, words binary")
+                    .where("words IS NOT NULL"), "toxicity-sample")
+    sizes = hashed.select("h", "id", F.octet_length("words").alias("n")).orderBy("h", "id").collect()
+    fits = np.cumsum([r.n for r in sizes]) <= most_words * STRIDE * 4
+    return hashed.where(F.col("id").isin([r.id for r, ok in zip(sizes, fits, strict=True) if ok])).drop("h")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", lang_col: str | None = "lang", per_class: int = 1500,
-          longest: int = 20_000) -> ToxicityModel:
-    """Fit on the labelled rows given (leave held-out rows out of ``labels``); at most 2 * ``per_class`` documents."""
+          longest: int = 20_000, most_words: int = 4_000_000) -> ToxicityModel:
+    """Fit on the labelled rows given (leave held-out rows out of ``labels``).
+
+    At most 2 * ``per_class`` documents and ``most_words`` words are read by the fit.  Labels other than
+    0 and 1 and null ids do not count, an id with both labels has label 1, an id on several rows gives
+    one text; null texts are texts without words.  Without both labels the score is the same for every text.
+    """
     known = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0]
-    rows = training_words(docs, labels, id_col, text_col, label_col, lang_col, per_class, longest).collect()
+    rows = training_words(docs, labels, id_col, text_col, label_col, lang_col, per_class, longest, most_words).collect()
     rows.sort(key=lambda r: (str(r.id), r.words))
     words = [np.frombuffer(r.words, np.uint32).reshape(-1, STRIDE) for r in rows]
     turn = np.arange(len(rows)) % 4 == 3  # a quarter, in id order, sets the thresholds
