@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.exprs import count_char, is_blank
+from scorelens.session import checkpointed
 
 ID_LIKE = ("id", "doc_id", "entity_id", "sampleid", "sample_id", "name")
 
@@ -64,10 +64,37 @@ def split_xy(df: DataFrame, label_col: str, id_col: str,
     return df.select(id_col, label_col, *feats), feats
 
 
-def fit_label_encoder(train: DataFrame, col: str, out_col: str | None = None):
-    """Sorted categories -> 0..n-1, fitted on the training rows; unseen = error."""
-    return StringIndexer(inputCol=col, outputCol=out_col or f"{col}_code",
-                         stringOrderType="alphabetAsc", handleInvalid="error").fit(train)
+class LabelEncoder:
+    """Sorted categories -> 0..n-1, as a table (value, code) that never reaches the driver."""
+
+    def __init__(self, codes: DataFrame, col: str, out_col: str):
+        self.codes, self.col, self.out_col = codes, col, out_col
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with the code column (long); a null or unseen value ends the job."""
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+        value = F.col("row").getField(self.col)
+        unseen = F.raise_error(F.concat(F.lit(f"{self.col} holds a value without a code: "),
+                                        F.coalesce(value.cast("string"), F.lit("null"))))
+        return rows.join(self.codes, value == F.col("value"), "left").select(
+            "row.*", F.coalesce("code", unseen.cast("long")).alias(self.out_col))
+
+
+def fit_label_encoder(train: DataFrame, col: str, out_col: str | None = None) -> LabelEncoder:
+    """The encoder of the non-null values of ``train``.
+
+    Distinct values are range-partitioned and numbered inside their partition; the
+    numbers move up by the sizes of the earlier partitions (one row each).
+    """
+    values = train.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
+    part = checkpointed(values.repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_part").orderBy("value")
+    codes = part.join(F.broadcast(offsets), "_part").select(  # at most spark.sql.shuffle.partitions rows
+        "value", (F.col("_off") + F.row_number().over(inside) - 1).alias("code"))
+    return LabelEncoder(codes, col, out_col or f"{col}_code")
 
 
 def label_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -95,8 +95,7 @@ def q_split_xy(spark, sf_dir):
 @register("label_encode")
 def q_label_encode(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "event_type")
-    model = C.fit_label_encoder(ev, "event_type", "code")
-    return model.transform(ev).withColumn("code", F.col("code").cast("bigint"))
+    return C.fit_label_encoder(ev, "event_type", "code").transform(ev)
 
 
 @register("label_distribution")

@@ -51,3 +51,16 @@ def test_balanced_class_weights(spark):
     bw = MD.BalancedWeights(labelCol="label").fit(df)
     got = {r["label"]: r["class_weight"] for r in bw.transform(df).distinct().collect()}
     assert got == pytest.approx(w)
+
+
+def test_label_codes_follow_the_order_over_many_partitions(spark):
+    train = spark.range(5000).selectExpr("concat('v', id % 1000) AS t", "id AS _code").unionByName(
+        spark.createDataFrame([(None, 1)], "t string, _code long"))
+    got = {r["t"]: r["t_code"] for r in C.fit_label_encoder(train, "t").transform(train.where("t IS NOT NULL")).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(f"v{i}" for i in range(1000)))}
+    nums = spark.createDataFrame([(3,), (-1,), (10,), (3,)], "n int")
+    assert sorted((r["n"], r["c"]) for r in C.fit_label_encoder(nums, "n", "c").transform(nums).collect()) == [
+        (-1, 0), (3, 1), (3, 1), (10, 2)]
+    with pytest.raises(Exception, match="without a code"):
+        C.fit_label_encoder(nums, "n", "c").transform(spark.createDataFrame([(4,)], "n int")).collect()
+    assert C.fit_label_encoder(nums.limit(0), "n", "c").transform(nums.limit(0)).count() == 0
