@@ -14,17 +14,22 @@ rows however many of them it visits.
 ``k`` follows the number of vectors, so cells keep their size.  The number of
 probes is fitted: for a bounded sample of queries the true neighbours are found
 by brute force, and the smallest number of probes that finds ``recall`` of them
-is taken.
+is taken.  Where ``MOST_PROBES`` do not find them, ``k`` falls by one and the
+cells grow, down to ``k = 0``: one cell, in which blocks of queries meet blocks
+of all vectors, so the search is exact.  ``fitted_hashing`` tells the recall
+that the sample reached.
 
 Equal vectors are searched once.  Since ties go to the smaller id, the smallest
 ``top + 1`` ids of a group of equal vectors are all that any answer can hold.
 Vectors are dealt to cells of work by bucket, about ``cell_rows`` rows each; a
-cell that dense buckets make larger is split, and its queries visit every part.
+cell that dense buckets make larger is split, and its queries visit every part.  The
+queries of a cell are split as well, by their expected number.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +44,13 @@ TABLES = 8
 WIDTH = 2.0
 MOST_PROBES = 512
 SAMPLE_QUERIES = 100
+_log = logging.getLogger(__name__)
 
 
 def probe_order(k: int, most: int) -> list[tuple[int, ...]]:
     """Sets of wall slots (0: nearest wall of all 2k) by rising expected squared distance, own cell first."""
+    if k == 0:
+        return [()]
     walls = 2 * k
 
     def cost(j):  # expected squared distance of the j-th nearest wall, j from 1
@@ -125,7 +133,7 @@ def _matrix(column) -> np.ndarray:
 
 def fit_probes(hashing: Hashing, queries: np.ndarray, pairs: list[tuple[int, np.ndarray]], recall: float) -> tuple[int, float]:
     """Smallest number of probes whose buckets hold ``recall`` of the true pairs (query row, neighbour); and its recall."""
-    if not pairs:
+    if not pairs or hashing.k == 0:
         return 1, 1.0
     keys = hashing.probe_keys(queries, MOST_PROBES)
     near = hashing.index_keys(np.stack([v for _, v in pairs]))
@@ -234,16 +242,17 @@ def nearest(vectors: DataFrame, queries_where, id_col: str = "vec_id", vec_col:
     asked = stored(asked.join(reps.select("vec", "rep"), "vec").select("query_id", "rep"), "ann-queries")
     searched = reps.join(asked.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("q"), "vec")
 
-    hashing = Hashing(dim, int(np.clip(np.rint(np.log2(max(n, 2)) / 2 - 0.6), 2, 24)), longest)
-    probes, _ = _fitted(searched, reps, hashing, top, recall)
-    found = _search(searched.withColumn("least", F.lit(float("-inf"))), reps, hashing, 0, 1, n, top + 1, cell_rows)
+    hashing, probes, reached = fitted_hashing(searched, reps, dim, longest, n, top, recall)
+    _log.info("%d projections, %d probes: recall %.4f on the sample", hashing.k, probes, reached)
+    n_asked = searched.count()
+    found = _search(searched.withColumn("least", F.lit(float("-inf"))), reps, hashing, 0, 1, n, n_asked, top + 1, cell_rows)
     if probes > 1:
         found = stored(found, "ann-own")
         worst = found.groupBy("q").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("held")).where(F.col("held") > top)
         slack = 1e-12 * longest ** 2  # more than a product's rounding
         bounded = searched.join(worst, "q", "left").select(
             "q", "vec", F.coalesce(F.col("worst") - slack, F.lit(float("-inf"))).alias("least"))
-        rest = _search(bounded, reps, hashing, 1, probes, n, top + 1, cell_rows)
+        rest = _search(bounded, reps, hashing, 1, probes, n, n_asked, top + 1, cell_rows)
         found = found.unionByName(rest).groupBy("q", "rep").agg(F.max("score").alias("score"))
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vid")
@@ -255,11 +264,24 @@ def nearest(vectors: DataFrame, queries_where, id_col: str = "vec_id", vec_col:
     return answers.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vid").alias(id_col), "score")
 
 
-def _fitted(searched: DataFrame, reps: DataFrame, hashing: Hashing, top: int, recall: float) -> tuple[int, float]:
-    """Number of probes from a sample of at most SAMPLE_QUERIES queries and their true neighbours."""
+def fitted_hashing(searched: DataFrame, reps: DataFrame, dim: int, longest: float, n: int, top: int,
+                   recall: float) -> tuple[Hashing, int, float]:
+    """(hashing, probes, recall reached on the sample): the finest cells from ``n`` on that find ``recall`` with MOST_PROBES."""
+    matrix, pairs = _true_neighbours(searched, reps, top)
+    k = int(np.clip(np.rint(np.log2(max(n, 2)) / 2 - 0.6), 2, 24))
+    while True:
+        hashing = Hashing(dim, k, longest)
+        probes, reached = fit_probes(hashing, matrix, pairs, recall)
+        if reached >= recall or k == 0:
+            return hashing, probes, reached
+        k -= 1
+
+
+def _true_neighbours(searched: DataFrame, reps: DataFrame, top: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """A sample of at most SAMPLE_QUERIES queries and the pairs (query row, neighbour) that brute force finds."""
     some = searched.orderBy(F.xxhash64("q"), "q").limit(SAMPLE_QUERIES).collect()
     if not some:
-        return 1, 1.0
+        return np.zeros((0, 0)), []
     names = np.array([r.q for r in some])
     matrix = np.array([list(r.vec) for r in some], dtype=np.float64)
 
@@ -278,19 +300,20 @@ def _fitted(searched: DataFrame, reps: DataFrame, hashing: Hashing, top: int, re
             .where(F.col("score") > float("-inf"))
             .withColumn("i", F.row_number().over(order)).where(F.col("i") <= top))
     pairs = [(r.q, np.array(r.vec, dtype=np.float64)) for r in true.join(reps.select("rep", "vec"), "rep").select("q", "vec").collect()]
-    return fit_probes(hashing, matrix, pairs, recall)
+    return matrix, pairs
 
 
-def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, first: int, last: int, n: int, top: int,
+def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, first: int, last: int, n: int, n_asked: int, top: int,
             cell_rows: int) -> DataFrame:
     """(q, rep, score) of the best candidates that probes [first, last) find for each (q, vec, least) and that score ``least`` or more."""
-    cells = -(-n * TABLES // cell_rows)
+    tables = TABLES if hashing.k else 1  # one cell holds every vector once
+    cells = -(-n * tables // cell_rows)
     vec_type = reps.schema["vec"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = hashing.index_keys(_matrix(batch.column(1)))
-            take = pa.array(np.repeat(np.arange(len(batch)), TABLES))
+            keys = hashing.index_keys(_matrix(batch.column(1)))[:, :tables]
+            take = pa.array(np.repeat(np.arange(len(batch)), tables))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(take), batch.column(1).take(take)],
                                              names=["bucket", "rep", "vec"])
 
@@ -300,7 +323,7 @@ def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, first: int,
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 who, cell, buckets = [], [], []
-                for n, keys in enumerate(hashing.probe_keys(_matrix(part.column(1)), last)[:, :, first:].reshape(len(part), -1)):
+                for n, keys in enumerate(hashing.probe_keys(_matrix(part.column(1)), last)[:, :tables, first:].reshape(len(part), -1)):
                     keys = np.unique(keys)
                     home = keys % cells
                     order = np.argsort(home, kind="stable")
@@ -318,11 +341,19 @@ def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, first: int,
     split = (indexed.groupBy("home").count().where(F.col("count") > 2 * cell_rows)
              .select("home", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
+    # a cell is asked by the queries whose buckets fall into it: ``parts`` times the mean, at most all
+    asks_of_cell = F.least(F.lit(float(n_asked)), F.lit(n_asked * tables * (last - first) / cells) * parts)
+    shares = F.greatest(F.lit(1), F.ceil(asks_of_cell / cell_rows)).cast("int")
+
+    def share(count):
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
     rows = (indexed.join(split, "home", "left").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-            .select("home", "part", "bucket", "rep", "vec"))
+            .select("home", "part", share(shares).alias("share"), "bucket", "rep", "vec"))
     asks = (searched.select("q", "vec", "least")
             .mapInArrow(probe, f"home long, q long, buckets array<long>, vec {vec_type}, least double").join(split, "home", "left")
-            .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"))
+            .withColumn("share", F.pmod(F.xxhash64("q"), shares).cast("int"))
+            .withColumn("part", share(parts)).drop("parts"))
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -333,7 +364,7 @@ def _search(searched: DataFrame, reps: DataFrame, hashing: Hashing, first: int,
             right["least"].to_numpy(np.float64))
         return pd.DataFrame({"q": right["q"].to_numpy(np.int64)[q], "rep": rep, "score": score})
 
-    found = (rows.groupBy("home", "part").cogroup(asks.groupBy("home", "part"))
+    found = (rows.groupBy("home", "part", "share").cogroup(asks.groupBy("home", "part", "share"))
              .applyInPandas(work, "q long, rep long, score double")
              .groupBy("q", "rep").agg(F.max("score").alias("score")))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")

@@ -65,6 +65,23 @@ def test_few_candidates(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 20, -1.0), (20, 1, 1, 1.0), (20, 2, 0, -1.0)]
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_too_few_probes_make_cells_larger_until_the_recall_is_reached(spark, monkeypatch, most):
+    monkeypatch.setattr(ann, "MOST_PROBES", most)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = brute(rows), {}
+    for r in ann.nearest(df, "vec_id % 20 = 0", recall=1.0, cell_rows=15).collect():  # 20 queries: two shares a part
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [i for _, i in sorted(a)] for q, a in got.items()} == {q: [i for _, i in w] for q, w in want.items()}
+    named = df.select(ann.F.col("vec_id").alias("rep"), ann.F.col("embedding").alias("vec"))
+    asked = named.where("rep % 20 = 0").withColumnRenamed("rep", "q")
+    longest = max(np.linalg.norm(v) for _, v in rows)
+    hashing, probes, reached = ann.fitted_hashing(asked, named, 24, longest, 400, 20, 1.0)
+    assert reached == 1.0 and probes <= most and hashing.k < 4
+
+
 def test_probe_order_is_by_cost_and_never_both_walls():
     for k in (2, 5):
         sets = ann.probe_order(k, 200)
