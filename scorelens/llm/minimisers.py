@@ -6,7 +6,7 @@ a run.  Equal windows have equal minimisers, so only runs whose minimiser
 occurs again can hold a repeated window.
 
 ``repeated`` finds those: runs are dealt to buckets by minimiser, packed as
-arrays.  A minimiser that a task already sees twice sends one mark instead of
+arrays; their number follows the bytes of text.  A minimiser that a task already sees twice sends one mark instead of
 all its rows, so a passage in a third of all documents costs its bucket one
 mark for each megabyte of text.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from scorelens.llm.common import shuffle_partitions, sliding_min, text_chunks
 
 _LOW = np.uint64(0xFFFFFF)
+BUCKET_TEXT = 128 << 20  # a run takes 12 bytes and comes every 4 to 5 words, so a bucket holds some 60 MB
 
 
 @dataclass
@@ -60,12 +61,18 @@ def codes(mer: np.ndarray, buckets: int) -> np.ndarray:
     return ((mer >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | (mer & np.uint64(0xFFFFFFFF))).view(np.int64)
 
 
+def bucket_count(text_bytes: int, least: int) -> int:
+    """Buckets of about BUCKET_TEXT bytes of text each (one bucket is one pandas group), ``least`` or more."""
+    return max(least, -(-text_bytes // BUCKET_TEXT))
+
+
 def repeated(rows: DataFrame, find: Callable[[np.ndarray, np.ndarray], Runs], within: bool) -> tuple[DataFrame, int]:
     """(key, codes): the minimisers of each row that occur again, and the number of buckets.
 
     ``rows``: (key long, text).  ``within``: an occurrence in the same row counts as another.
     """
-    buckets = shuffle_partitions(rows.sparkSession)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = bucket_count(int(total), shuffle_partitions(rows.sparkSession))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -88,10 +95,9 @@ def repeated(rows: DataFrame, find: Callable[[np.ndarray, np.ndarray], Runs], wi
                 several = np.repeat(size > 1, size)
                 send = first | ~several
                 b, h, k, s = code[send] >> 32, code[send], key[send], several[send]
-                cut = np.searchsorted(b, np.arange(buckets + 1))
-                held = np.flatnonzero(np.diff(cut))
-                out = [(int(x), h[cut[x]:cut[x + 1]].astype(np.uint32).tobytes(), k[cut[x]:cut[x + 1]].tobytes(),
-                        np.packbits(s[cut[x]:cut[x + 1]]).tobytes()) for x in held]
+                cut = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
+                out = [(int(b[x]), h[x:y].astype(np.uint32).tobytes(), k[x:y].tobytes(), np.packbits(s[x:y]).tobytes())
+                       for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 turn = (turn * 31 + int(key[0])) % buckets
                 if several.any():  # known here: they go on as they are, spread over all buckets
                     out.append((buckets + turn, code[several].tobytes(), key[several].tobytes(), b""))

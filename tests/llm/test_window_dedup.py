@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from scorelens.llm import minimisers
 from scorelens.llm.common import text_chunks
 from scorelens.llm.minimisers import window_runs
 from scorelens.llm.queries import op4_window_dedup
@@ -70,6 +71,16 @@ def test_query_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_buckets_follow_the_bytes_of_text(spark, monkeypatch):
+    assert [minimisers.bucket_count(n, 8) for n in (0, 1, 9 << 27, (9 << 27) + 1)] == [8, 8, 9, 10]
+    monkeypatch.setattr(minimisers, "BUCKET_TEXT", 16)
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in drop_repeated_windows(df, 5).collect()]
+    assert sorted(got) == sorted(brute(rows, 5))
+    assert sum(r[2] for r in got) > 0
+
+
 def test_odd_rows(spark, odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in drop_repeated_windows(odd_docs, 5).collect()]
