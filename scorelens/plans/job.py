@@ -22,7 +22,7 @@ from scorelens.operators.folds import stratified_folds
 from scorelens.operators.tokens import TOKEN_SPLIT
 from scorelens.plans import inputs
 from scorelens.session import checkpointed, ensure_checkpoint_dir, scratch_path
-from scorelens.sources.files import results_base, scan_predictions
+from scorelens.sources.files import discover_datasets, results_base, scan_predictions
 from scorelens.sources.tables import table_version
 
 FLAGSHIP_SETS = ("Descriptors", "Combined_Scaled")
@@ -93,6 +93,29 @@ def run_nested_cv(spark: SparkSession, sf_dir: str, feature_sets=FLAGSHIP_SETS,
     return out, info
 
 
+DATASET_SCHEMA = "doc_id long, text string, n_chars long, label int"
+
+
+def run_folder(spark: SparkSession, raw_dir: str, out: str, feature_sets=FLAGSHIP_SETS, models=FLAGSHIP_MODELS,
+               quick: bool = True, encoding: str = "UTF-8", **cv) -> tuple[list[dict], dict[str, int]]:
+    """Nested CV of every dataset in a folder of CSV files; one results tree, partitioned by dataset first.
+
+    Each dataset is screened, folded and fitted on its own.  Returns the infos of all jobs, and
+    the datasets left out with their number of valid rows: those with fewer than folds.
+    ``cv`` goes to ``tuning.nested_cv``.
+    """
+    raw = discover_datasets(spark, raw_dir, DATASET_SCHEMA, encoding)
+    infos, left_out = [], {}
+    for row in raw.select("dataset").distinct().orderBy("dataset").collect():  # one row per CSV of the folder
+        name = row["dataset"]
+        feats, counts = job_features(raw.where(F.col("dataset") == name).where("label IS NOT NULL").drop("dataset"))
+        if counts["n_valid"] < inputs.N_FOLDS:
+            left_out[name] = counts["n_valid"]
+            continue
+        infos += T.nested_cv(feats, out, feature_sets, models, quick=quick, dataset=name, **cv)
+    return infos, left_out
+
+
 def summary_from_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Entry 2: scan every prediction partition, metrics per fold, then mean/std."""
     pred = scan_predictions(spark, path)

@@ -31,20 +31,22 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8",
-              mode: str = "overwrite") -> None:
-    """Headered delimited text (no row-number column)."""
+              mode: str = "overwrite", trim: bool = True) -> None:
+    """Headered delimited text (no row-number column); ``trim``: values lose white space at their ends."""
     (df.write.mode(mode).option("header", True).option("sep", sep)
+     .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim)
      .option("encoding", encoding).option("escape", '"').csv(path))
 
 
-def discover_datasets(spark: SparkSession, raw_dir: str, schema: StructType | str) -> DataFrame:
-    """Every ``*.csv`` in a folder is one dataset named after the file stem.
+def discover_datasets(spark: SparkSession, raw_dir: str, schema: StructType | str, encoding: str = LATIN1) -> DataFrame:
+    """Every ``<name>.csv`` in a folder is one dataset of that name, be it a file or a folder of part files.
 
-    All datasets are read in one scan; ``dataset`` comes from the file name.
-    Raises if the folder holds no CSV file.
+    All datasets are read in one scan; ``dataset`` comes from the path, and a filter on
+    it leaves the other datasets' files unread.  Raises if the folder holds no CSV row.
     """
-    df = read_csv(spark, f"{raw_dir.rstrip('/')}/*.csv", schema)
-    df = df.withColumn("dataset", F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.csv$", 1))
+    df = read_csv(spark, f"{raw_dir.rstrip('/')}/*.csv", schema, encoding=encoding)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    df = df.withColumn("dataset", F.regexp_extract(path, r"/([^/]+)\.csv(?:/[^/]+)?$", 1))
     if df.select("dataset").limit(1).count() == 0:
         raise FileNotFoundError(f"no CSV datasets in {raw_dir}")
     return df
