@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from scorelens.operators import models as MD
+from scorelens.operators import tuning as T
+from scorelens.plans import fitted as FT
 
 
 def rows_of(spark, x, y, w):
@@ -37,9 +39,9 @@ def test_turned_fits_reach_the_same_optimum_in_fewer_passes(spark, monkeypatch):
     rows = rows_of(spark, x, y, w).coalesce(1).cache()
     passes, fit = [], LogisticRegression.fit
     monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: (passes.append(fit(self, df)), passes[-1])[1])
-    turned = MD.LogRegByC(C=1.0).fit(rows)
+    turned = MD.LogRegByC(C=1.0, turned=True).fit(rows)
     monkeypatch.setattr(MD, "turned_fit", lambda *a: None)
-    plain = MD.LogRegByC(C=1.0).fit(rows)
+    plain = MD.LogRegByC(C=1.0, turned=True).fit(rows)
     assert len(passes) == 2 and passes[0].summary.totalIterations < passes[1].summary.totalIterations / 2
     assert turned.getRegParam() == plain.getRegParam() == pytest.approx(1 / w.sum(), rel=1e-12)
     assert objective(turned, x, y, w) <= objective(plain, x, y, w) + 2e-6 and turned.numFeatures == 80
@@ -51,6 +53,14 @@ def test_turned_fits_reach_the_same_optimum_in_fewer_passes(spark, monkeypatch):
 def test_one_class_and_narrow_rows_are_fitted_as_they_are(spark, monkeypatch):
     monkeypatch.setattr(MD, "PCA", lambda **k: pytest.fail("nothing to turn here"))
     x, y, w = data(30)
-    assert MD.LogRegByC().fit(rows_of(spark, x, np.ones(30), w)).intercept == float("inf")
-    assert MD.LogRegByC().fit(rows_of(spark, x[:, 8:13], y, w)).numFeatures == 5
-    assert MD.LogRegByC().fit(rows_of(spark, x[:, 10:], y, w)).numFeatures == 70
+    assert MD.LogRegByC().fit(rows_of(spark, x, y, w)).numFeatures == 80  # not asked for
+    assert MD.LogRegByC(turned=True).fit(rows_of(spark, x, np.ones(30), w)).intercept == float("inf")
+    assert MD.LogRegByC(turned=True).fit(rows_of(spark, x[:, 8:13], y, w)).numFeatures == 5
+    assert MD.LogRegByC(turned=True).fit(rows_of(spark, x[:, 10:], y, w)).numFeatures == 70
+
+
+def test_the_fitted_run_asks_for_turned_fits():
+    turned = [FT.run_builder("Combined_Naive", m, FT.RUN_PARAMS[m]).getStages()[-1] for m in ("logreg", "rf", "gbt")]
+    assert turned[0].getOrDefault("turned") and not any(s.hasParam("turned") for s in turned[1:])
+    assert not T.default_builder("Combined_Naive", "logreg", {"C": 1.0}).getStages()[-1].getOrDefault("turned")
+    assert "turned" not in FT.RUN_PARAMS["logreg"]
